@@ -6,20 +6,73 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import exact_dedup
+from .exact_dedup import exact_groups
+from .hilbert_shards import document_shards
 from .jaccard_join import jaccard_classes
+from .media import media_columns
+from .packing import pack_documents
+from .quality import score_quality
+from .repeated_spans import remove_repeats
+from .source_mixing import mix_digest
+from .toxicity import score_toxicity
+from .warc import capture_histories
 
 
-def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_table(spark, sf_dir))
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_digest(_table(spark, sf_dir))
+
+
+def op3_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_shards(_table(spark, sf_dir))
+
+
+def op4_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capture_histories(_table(spark, sf_dir, "pages"))
+
+
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(_table(spark, sf_dir), with_arrays=False)
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_classes(_docs(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+    return jaccard_classes(_table(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+def op7_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_table(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir), tokenizer=tokenizer_path())
+
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(_table(spark, sf_dir))
+
+
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_ngram_jaccard_join,)}
+    ops = (op1_quality_classifier, op2_source_mixing, op3_hilbert_sharding, op4_warc_index_merge, op5_media_columns, op6_ngram_jaccard_join, op7_toxicity_pu, op8_packing, op9_exact_dedup, op10_suffix_array_dedup)
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_exact_dedup": exact_dedup.ORACLE_SQL}

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
 _own: list[str] = []
@@ -52,6 +53,17 @@ class Scratch:
                 _delete(self.spark, path)
 
 
+def without(rows: DataFrame, gone: DataFrame, on: list[str], broadcast_rows: int = 500_000) -> DataFrame:
+    """Rows whose key (nulls are equal) is not in ``gone``, a written table; it is broadcast only if it is small."""
+    small = gone.count() <= broadcast_rows
+    side = (F.broadcast(gone) if small else gone).alias("_gone")
+    match = None
+    for c in on:
+        same = F.col(f"_rows.{c}").eqNullSafe(F.col(f"_gone.{c}"))
+        match = same if match is None else match & same
+    return rows.alias("_rows").join(side, match, "left_anti")
+
+
 @atexit.register
 def _clean() -> None:
     for spark, root in _made:
