@@ -290,9 +290,7 @@ def _sets(k: int):
             for _, counts, hashes in shingle_sets(batch.column("text"), k):
                 c1, _ = _set_keys(counts, hashes)
                 off = np.concatenate([[0], np.cumsum(counts)])
-                yield pa.RecordBatch.from_arrays(
-                    [_longs(c1), pa.array(counts.astype(np.int64)), pa.array([hashes[off[i] : off[i + 1]].tobytes() for i in range(len(counts))], pa.binary())], names=["c1", "n", "shingles"]
-                )
+                yield pa.RecordBatch.from_arrays([_longs(c1), pa.array([hashes[off[i] : off[i + 1]].tobytes() for i in range(len(counts))], pa.binary())], names=["c1", "shingles"])
 
     return run
 
@@ -331,6 +329,14 @@ def _tiled(members: DataFrame, parts: F.Column) -> DataFrame:
     )
 
 
+def _without_subsets(part: DataFrame) -> DataFrame:
+    """Groups whose members all share one larger group are joined there already."""
+    largest = part.groupBy("c1").agg(F.max(F.struct("m", "g")).alias("top"))
+    spread = part.join(largest, "c1").groupBy("g", "m").agg(F.min("top").alias("lo"), F.max("top").alias("hi"))
+    keep = spread.where((F.col("lo") != F.col("hi")) | (F.col("lo.g") == F.col("g"))).select("g", "m")
+    return part.join(keep, ["g", "m"]).select("g", "m", "c1")
+
+
 def jaccard_classes(
     docs: DataFrame,
     *,
@@ -381,16 +387,17 @@ def jaccard_classes(
     grouped = _tiled(member, F.ceil(F.col("m") / tile_rows).cast("long")).join(sig, "c1").select(*_GROUP, "c1", "n", "bits")
     grouped = grouped.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
     part = scratch.save(grouped.mapInArrow(_candidates(percent), "g long, m long, c1 long").dropDuplicates(), "part")
-
-    ids = scratch.save(rows.join(part.select("c1").distinct(), "c1", "left_semi").groupBy("c1").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "ids")
+    part = scratch.save(_without_subsets(part), "largest")
+    members_n = rows.select("c1", "n", "doc_id").join(part.select("c1").distinct(), "c1", "left_semi").groupBy("c1").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"))
+    members_n = scratch.save(members_n, "reps")
+    ids = members_n.select("doc_id").distinct()
     chosen = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
-    sets = docs.join(chosen, "doc_id", "left_semi").select("text").mapInArrow(_sets(k), "c1 long, n long, shingles binary")
-    sets = scratch.save(sets.join(part.select("c1").distinct(), "c1", "left_semi").dropDuplicates(["c1"]), "sets")
-    heavy = part.join(sets.select("c1", "n"), "c1").groupBy("g", "m").agg(F.sum("n").alias("load"))
+    sets = docs.join(chosen, "doc_id", "left_semi").select("text").mapInArrow(_sets(k), "c1 long, shingles binary")
+    heavy = part.join(members_n, "c1").groupBy("g", "m").agg(F.sum("n").alias("load"))
     tiled = _tiled(part.join(heavy, ["g", "m"]), F.greatest(F.ceil(F.col("m") / tile_rows), F.ceil(F.col("load") / tile_shingles)).cast("long"))
-    tiled = tiled.join(sets.select("c1", "shingles"), "c1").select(*_GROUP, "c1", "shingles").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
-    links = scratch.save(tiled.mapInArrow(_links(percent), "a long, b long").dropDuplicates(), "links")
-    scratch.drop(member, part, ids, sets)
+    tiled = tiled.join(sets, "c1").select(*_GROUP, "c1", "shingles").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+    links = scratch.save(tiled.mapInArrow(_links(percent), "a long, b long").where("a <> b").dropDuplicates(), "links")
+    scratch.drop(member, part, members_n)
 
     label = components(links, scratch)
     classes = rows.where("n > 0").groupBy("c1").agg(F.min("doc_id").alias("least"))
