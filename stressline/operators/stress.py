@@ -25,13 +25,13 @@ def ecdf_columns(df: DataFrame, specs: Mapping[str, str], train_rows: int, flags
         counts = df.where(v.isNotNull()).groupBy("symbol", v.alias("_v")).agg(F.count_if(train).alias("_t"))
         w = Window.partitionBy("symbol").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
         whole = Window.partitionBy("symbol")
-        counts = counts.select("symbol", "_v", F.sum("_t").over(w).alias("_le"), F.sum("_t").over(whole).alias("_n"), F.max(F.when(F.col("_t") > 0, F.col("_v"))).over(whole).alias("_max"))
-        df = df.join(counts, (df["symbol"] == counts["symbol"]) & (v == counts["_v"]), "left").drop(counts["symbol"])
+        counts = counts.select(F.col("symbol").alias("_s"), "_v", F.sum("_t").over(w).alias("_le"), F.sum("_t").over(whole).alias("_n"), F.max(F.when(F.col("_t") > 0, F.col("_v"))).over(whole).alias("_max"))
+        df = df.join(counts, (F.col("symbol") == F.col("_s")) & (v == F.col("_v")), "left")
         share = F.coalesce(F.try_divide(F.col("_le").cast("double"), F.col("_n")), F.lit(0.0))
         new = {name: F.when(v.isNotNull(), share)}
         if flags:
             new[f"{name}_exceeds"] = F.when(v.isNotNull(), F.coalesce(v > F.col("_max"), F.lit(False)))
-        df = df.withColumns(new).drop("_v", "_le", "_n", "_max")
+        df = df.withColumns(new).drop("_s", "_v", "_le", "_n", "_max")
     return df
 
 

@@ -388,7 +388,7 @@ def hs_var(spark: SparkSession, d: str) -> DataFrame:
 @query(
     SINGLE
     + RET
-    + f", l as (select *, -100 * ret loss from r), q9 as (select *, count(loss) over {_w(750)} n, quantile_cont(loss, 0.95) over {_w(750)} a, list(loss) over {_w(750)} held from l) select symbol, date, case when n >= 375 then round(a, 6) end var_hs_95, case when n >= 375 then round(list_avg(list_filter(held, x -> x >= a)), 6) end es_hs_95 from q9"
+    + f", l as (select *, -100 * ret loss from r), q9 as (select *, count(loss) over {_w(750)} n, quantile_cont(loss, 0.95) over {_w(750)} a, list(loss) over {_w(750)} held from l) select symbol, date, case when n >= 375 then round(a, 6) end var_hs_95, case when n >= 375 then round(list_avg(list_filter(held, lambda x: x >= a)), 6) end es_hs_95 from q9"
 )
 def hs_es(spark: SparkSession, d: str) -> DataFrame:
     return rounded(RK.historical_var(FT.add_returns(single_bars(spark, d)), 0.95).select("symbol", "date", "var_hs_95", "es_hs_95"))
@@ -580,7 +580,7 @@ _REG = f", g0 as (select *, {_g('stddev_samp', 'ret', 20)} v, close / max(close)
     PANEL + RET + _REG
     + """, ag as (select symbol, regime, count(*) n, avg(ret) m, stddev_samp(ret) s, skewness(ret) * (count(*) - 2) / sqrt(count(*) * (count(*) - 1.0)) sk, kurtosis_pop(ret) ku, avg(drawdown) dd, quantile_cont(ret, 0.05) q from g1 group by 1, 2),
 dim as (select symbol, regime, regime_name from (select distinct symbol from g1), (values (0, 'Calm'), (1, 'Elevated'), (2, 'Stress'), (3, 'Unseen')) t(regime, regime_name))
-select symbol, regime, regime_name, coalesce(n, 0) days, round(100.0 * coalesce(n, 0) / sum(n) over (partition by symbol), 2) occupancy_pct, case when n > 5 then round(m * 25200, 2) end ann_mean_pct, case when n > 5 then round(s * 100 * sqrt(252.0), 2) end ann_vol_pct,
+select symbol, regime, regime_name, coalesce(n, 0) as days, round(100.0 * coalesce(n, 0) / sum(n) over (partition by symbol), 2) occupancy_pct, case when n > 5 then round(m * 25200, 2) end ann_mean_pct, case when n > 5 then round(s * 100 * sqrt(252.0), 2) end ann_vol_pct,
 case when n > 5 then round(sk, 2) end skew, case when n > 5 then round(ku, 2) end excess_kurtosis, case when n > 5 then round(dd * 100, 2) end mean_drawdown_pct, case when n > 5 then round(q * 100, 2) end var5_pct from dim left join ag using (symbol, regime)"""
 )
 def regime_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -598,8 +598,8 @@ def value_shares(spark: SparkSession, d: str) -> DataFrame:
 # --- stress -----------------------------------------------------------------------------------------------------------
 
 _STRESS_FEATURES = f", s0 as (select *, {_g('stddev_samp', 'ret', 20)} vol, abs(close / ({_g('max', 'close', 252)}) - 1) dd, (rn % 101) / 100.0 prob, (rn % 37) / 36.0 anom from r)"
-_ECDF = """, sc as (select s.symbol, s.date, s.rn, prob c_hmm, anom c_anomaly, case when vol is not null then round(coalesce((select count(*) * 1.0 from s0 t where t.symbol = s.symbol and t.rn < 600 and t.vol <= s.vol) / nullif((select count(vol) from s0 t where t.symbol = s.symbol and t.rn < 600), 0), 0), 8) end c_vol,
-case when dd is not null then round(coalesce((select count(*) * 1.0 from s0 t where t.symbol = s.symbol and t.rn < 600 and t.dd <= s.dd) / nullif((select count(dd) from s0 t where t.symbol = s.symbol and t.rn < 600), 0), 0), 8) end c_drawdown from s0 s)"""
+_ECDF = """, sc as (select s.symbol, s.date, s.rn, round(prob, 4) c_hmm, round(anom, 4) c_anomaly, case when vol is not null then round(coalesce((select count(*) * 1.0 from s0 t where t.symbol = s.symbol and t.rn < 600 and t.vol <= s.vol) / nullif((select count(vol) from s0 t where t.symbol = s.symbol and t.rn < 600), 0), 0), 4) end c_vol,
+case when dd is not null then round(coalesce((select count(*) * 1.0 from s0 t where t.symbol = s.symbol and t.rn < 600 and t.dd <= s.dd) / nullif((select count(dd) from s0 t where t.symbol = s.symbol and t.rn < 600), 0), 0), 4) end c_drawdown from s0 s)"""
 _COMP = ("c_hmm", "c_vol", "c_drawdown", "c_anomaly")
 
 
@@ -607,7 +607,7 @@ def _stress_components(spark: SparkSession, d: str) -> DataFrame:
     df = FT.add_drawdowns(FT.add_volatility(FT.add_returns(FT.with_row_number(panel_bars(spark, d)))))
     df = df.withColumns({"conditional_vol": F.round(F.col("rv_20"), 10), "drawdown_252": F.round("drawdown_252", 10), "prob_stress": (F.col("rn") % 101) / 100.0, "anomaly_percentile": (F.col("rn") % 37) / 36.0})
     df = SX.build_components(df, 600)
-    return df.withColumns({c: F.round(c, 8) for c in ("c_vol", "c_drawdown")})
+    return df.withColumns({c: F.round(c, 4) for c in _COMP})
 
 
 _SX_SQL = PANEL + RET + _STRESS_FEATURES.replace("vol, abs(", "vol0, abs(").replace(" from r)", " from r), s1 as (select * exclude (vol0, dd), round(vol0 * sqrt(252.0), 10) vol, abs(round(-dd, 10)) dd from s0)") + _ECDF.replace("s0", "s1")
@@ -733,7 +733,7 @@ def _per_symbol(df: DataFrame, value: str, fn: Callable[[np.ndarray], list[dict]
 def garch_fit(spark: SparkSession, d: str) -> DataFrame:
     def fit(x: np.ndarray) -> list[dict]:
         g = E.fit_garch(x)
-        return [{k: float(v) for k, v in (g | E.garch_summary(g)).items() if k not in ("sigma", "z")}]
+        return [{k: float(v) for k, v in (g | E.garch_summary(g)).items() if k not in ("sigma", "z", "n", "n_params", "start")}]
 
     return rounded(_per_symbol(FT.add_returns(panel_bars(spark, d)), "return_pct", fit, ", ".join(f"{k} double" for k in ("mu", "omega", "alpha", "gamma", "beta", "nu", "loglik", "persistence", "unconditional_variance", "half_life", "aic", "bic"))), 4)
 
