@@ -67,7 +67,8 @@ def test_bar_stream_drops_late_events(spark, tmp_path):
     rows = [("a", t + dt.timedelta(minutes=m), float(m)) for m in (5, 20, 70, 300)]
     schema = "event_type string, ts timestamp, value double"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/0")
-    spark.createDataFrame([("a", t + dt.timedelta(minutes=30), 99.0), ("a", t + dt.timedelta(minutes=600), 1.0)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/1")
+    for i, late in enumerate(([(400, 1.0)], [(30, 99.0), (900, 1.0)]), 1):  # a watermark counts from the second batch after it
+        spark.createDataFrame([("a", t + dt.timedelta(minutes=m), v) for m, v in late], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
     src = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     q = SM.stream_bars(src, late="1 hour").writeStream.format("memory").queryName("bars_").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination()
