@@ -183,25 +183,34 @@ def fit_student_df(z: np.ndarray) -> float:
 # --- regimes ----------------------------------------------------------------------------------------------------------
 
 
-def _logsumexp(a: np.ndarray, axis: int) -> np.ndarray:
-    top = a.max(axis=axis, keepdims=True)
-    return np.squeeze(top + np.log(np.exp(a - top).sum(axis=axis, keepdims=True)), axis=axis)
+def _products(mats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Products of the first 1 .. n matrices and the logs of what they were divided by: a doubling scan, log2(n) vectorised steps."""
+    out, log = mats.copy(), np.zeros(len(mats))
+    step = 1
+    while step < len(mats):
+        new = out[:-step] @ out[step:]
+        size = np.maximum(new.max(axis=(1, 2)), 1e-300)
+        total = log[:-step] + log[step:] + np.log(size)
+        out[step:], log[step:] = new / size[:, None, None], total
+        step *= 2
+    return out, log
 
 
 def _scaled(logs: np.ndarray, start: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+    """Forward and backward vectors (each row adds up to one), log likelihood, and scaled emissions."""
     top = logs.max(axis=1, keepdims=True)
-    b = np.exp(logs - top)
-    n, k = b.shape
-    fwd, back, scale = np.empty((n, k)), np.ones((n, k)), np.empty(n)
-    a = start * b[0]
-    for t in range(n):
-        if t:
-            a = (fwd[t - 1] @ trans) * b[t]
-        scale[t] = max(a.sum(), 1e-300)
-        fwd[t] = a / scale[t]
-    for t in range(n - 2, -1, -1):
-        back[t] = trans @ (b[t + 1] * back[t + 1]) / scale[t + 1]
-    return fwd, back, float(np.log(scale).sum() + top.sum()), b / scale[:, None]
+    b = np.maximum(np.exp(logs - top), 1e-300)
+    first = start * b[0]
+    fwd, back = np.empty_like(b), np.full_like(b, 1 / b.shape[1])
+    fwd[0], ll = first, float(np.log(first.sum()) + top.sum())
+    if len(b) > 1:
+        mats = trans[None] * b[1:, None, :]
+        ahead, log = _products(mats)
+        fwd[1:] = first @ ahead
+        ll = float(np.log(max(fwd[-1].sum(), 1e-300)) + log[-1] + top.sum())
+        behind, _ = _products(mats[::-1].transpose(0, 2, 1))
+        back[:-1] = behind.sum(axis=1)[::-1]
+    return fwd / fwd.sum(axis=1, keepdims=True), back / back.sum(axis=1, keepdims=True), ll, b
 
 
 def hmm_parameters(k: int, d: int, full: bool = True) -> int:
@@ -220,7 +229,8 @@ def baum_welch(x: np.ndarray, p: dict, *, rounds: int = 200, tol: float = 1e-4,
         if ll - last < tol:
             break
         last = ll
-        pairs = trans * (fwd[:-1].T @ (b[1:] * back[1:]))
+        joint = fwd[:-1, :, None] * trans * (b[1:] * back[1:])[:, None, :]
+        pairs = (joint / np.maximum(joint.sum(axis=(1, 2), keepdims=True), 1e-300)).sum(axis=0)
         start = g[0]
         trans = np.maximum(pairs, 1e-12) / np.maximum(pairs, 1e-12).sum(axis=1, keepdims=True)
         w = g.sum(axis=0) + 1e-10

@@ -150,7 +150,9 @@ def fit_refits(panel: DataFrame, c: WalkForwardConfig) -> DataFrame:
         head = {"symbol": first["symbol"], "refit_idx": int(first["refit_idx"]), "t_refit": int(first["t_refit"]), "t_next": int(first["t_next"]), "train_start": pdf["date"].iloc[0], "train_end": pdf["date"].iloc[-1]}
         return pd.DataFrame([head | fit_refit(pdf, c)])
 
-    return prefix.groupBy("symbol", "refit_idx").applyInPandas(run, REFIT_SCHEMA)
+    # Small rows, heavy fits: a fixed number of partitions, so that adaptive execution does not put all refits into one task.
+    parts = max(int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions")), panel.sparkSession.sparkContext.defaultParallelism)
+    return prefix.repartition(parts, "symbol", "refit_idx").groupBy("symbol", "refit_idx").applyInPandas(run, REFIT_SCHEMA)
 
 
 OOS_SCHEMA = (
