@@ -18,6 +18,8 @@ from stressline.operators import risk as RK
 from stressline.operators import statistics as ST
 from stressline.operators import stress as SX
 from stressline.operators import validation as VA
+from stressline.plans import arma as AR
+from stressline.plans import reports as RP
 from stressline.plans import walk_forward as WF
 from stressline.sources import bars as B
 from stressline.streaming import stateful as SM
@@ -377,6 +379,23 @@ def block_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return rounded(EV.block_bootstrap(_alarmed(EV.label_events(panel_bars(spark, d))), "score", "event_label", resamples=200))
 
 
+@query(
+    PANEL + EVENTS_SQL + _ALARM
+    + """, src as (select *, -dd score from al), g as (select symbol, score threshold, sum(event_label) p, count(*) n from src where score is not null group by 1, 2)
+select symbol, round(threshold, 8) threshold, round(sum(p) over w * 1.0 / sum(n) over w, 8) as precision, round(coalesce(sum(p) over w * 1.0 / nullif(sum(p) over (partition by symbol), 0), 0), 8) recall from g window w as (partition by symbol order by threshold desc rows unbounded preceding)"""
+)
+def precision_recall_points(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(RP.precision_recall_points(_alarmed(EV.label_events(panel_bars(spark, d))), "score", "event_label"), 8)
+
+
+@query()
+def lead_histogram(spark: SparkSession, d: str) -> DataFrame:
+    df = _alarmed(_events(spark, d))
+    episodes = df.where("crisis_onset").select("symbol", "episode_id", F.col("rn").alias("onset_rn"))
+    leads = EV.match_leads(episodes, EV.alarm_spells(df, "alarm")).groupBy("symbol", "episode_id").agg(F.min("lead").alias("lead"))
+    return RP.lead_histogram(leads)
+
+
 # --- risk -------------------------------------------------------------------------------------------------------------
 
 
@@ -793,6 +812,12 @@ def arma_select(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_per_symbol(FT.add_returns(panel_bars(spark, d)), "return_pct", fit, "p int, q int, constant boolean, n_params int, bic double, forecast double"), 3)
 
 
+@query()
+def arma_walk_forward(spark: SparkSession, d: str) -> DataFrame:
+    df = FT.add_returns(FT.with_row_number(single_bars(spark, d)))
+    return rounded(AR.compare(AR.arma_walk_forward(df, "return_pct", initial=700, refit=400, reselect=800, p_max=1, q_max=1)), 4)
+
+
 SMALL_WALK = WF.WalkForwardConfig(initial_train=700, cadence=400, hmm_starts=1, trees=60, hs_window=500)
 
 
