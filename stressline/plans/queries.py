@@ -818,18 +818,25 @@ def arma_walk_forward(spark: SparkSession, d: str) -> DataFrame:
     return rounded(AR.compare(AR.arma_walk_forward(df, "return_pct", initial=700, refit=400, reselect=800, p_max=1, q_max=1)), 4)
 
 
+def _held(df: DataFrame, _: str) -> DataFrame:
+    """Kept and filled at once: several later plans read it. A lost block is computed again."""
+    df = df.persist()
+    df.count()
+    return df
+
+
 SMALL_WALK = WF.WalkForwardConfig(initial_train=700, cadence=400, hmm_starts=1, trees=60, hs_window=500)
 
 
 @query()
 def walk_forward(spark: SparkSession, d: str) -> DataFrame:
     """The out-of-sample table of one series with few, large blocks."""
-    return rounded(WF.walk_forward(FT.build_features(VA.validate_ohlc(single_bars(spark, d))), SMALL_WALK).oos)
+    return rounded(WF.walk_forward(FT.build_features(VA.validate_ohlc(single_bars(spark, d))), SMALL_WALK, keep=_held).oos)
 
 
 @query()
 def walk_forward_scorecard(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(WF.walk_forward(FT.build_features(VA.validate_ohlc(single_bars(spark, d))), SMALL_WALK).scorecard)
+    return rounded(WF.walk_forward(FT.build_features(VA.validate_ohlc(single_bars(spark, d))), SMALL_WALK, keep=_held).scorecard)
 
 
 # --- event-time bars --------------------------------------------------------------------------------------------------
