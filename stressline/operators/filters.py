@@ -78,3 +78,19 @@ def hmm_forward(df: DataFrame, features: Sequence[str], p: Mapping) -> DataFrame
     cols = [F.col(f).cast("double").alias(n) for f, n in zip(features, names, strict=True)]
     out = df.select("symbol", "date", *cols).groupBy("symbol").applyInPandas(run, "symbol string, date date, probs array<double>")
     return out.withColumn("regime", (F.array_position("probs", F.array_max("probs")) - 1).cast("int"))
+
+
+def stress_ahead(filtered: DataFrame, transmat: Sequence[Sequence[float]], horizons: Sequence[int] = (1, 5, 10)) -> DataFrame:
+    """Probability of the last state some rows ahead: a constant weighted sum of the filtered probabilities."""
+    cols = {}
+    for h in horizons:
+        ahead = np.linalg.matrix_power(np.asarray(transmat, float), h)[:, -1]
+        cols[f"stress_{h}"] = sum((F.col("probs")[i] * float(w) for i, w in enumerate(ahead)), F.lit(0.0))
+    return filtered.withColumns(cols)
+
+
+def garch_summary_columns(df: DataFrame) -> DataFrame:
+    """persistence, unconditional_variance and half_life from parameter columns; NULL where the variance has no mean."""
+    total = F.col("alpha") + F.col("beta") + F.col("gamma") / 2
+    stable = total < 1
+    return df.withColumns({"persistence": total, "unconditional_variance": F.when(stable, F.col("omega") / (1 - total)), "half_life": F.when(stable, F.lit(-0.6931471805599453) / F.ln(total))})

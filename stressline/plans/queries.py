@@ -388,6 +388,20 @@ def precision_recall_points(spark: SparkSession, d: str) -> DataFrame:
     return rounded(RP.precision_recall_points(_alarmed(EV.label_events(panel_bars(spark, d))), "score", "event_label"), 8)
 
 
+@query(
+    _recursive(
+        PANEL + EVENTS_SQL + ONSETS_SQL
+        + ", al as (select *, close / max(close) over (partition by symbol order by date rows between 59 preceding and current row) - 1 <= -0.05 as alarm from onsets)"
+        + _SPELLS
+        + " select e.symbol, cast(e.episode_id as bigint) episode_id, cast(c.sid as bigint) spell_id, e.rn - c.s as lead from al e join sc c on e.symbol = c.symbol and e.crisis_onset and e.rn - c.s between 1 and 30"
+    )
+)
+def lead_matches(spark: SparkSession, d: str) -> DataFrame:
+    df = _alarmed(_events(spark, d))
+    episodes = df.where("crisis_onset").select("symbol", "episode_id", F.col("rn").alias("onset_rn"))
+    return EV.match_leads(episodes, EV.alarm_spells(df, "alarm"))
+
+
 @query()
 def lead_histogram(spark: SparkSession, d: str) -> DataFrame:
     df = _alarmed(_events(spark, d))
@@ -732,6 +746,32 @@ def hmm_forward(spark: SparkSession, d: str) -> DataFrame:
     return out.select("symbol", "date", F.round(out["probs"][0], 7).alias("prob_calm"), F.round(out["probs"][1], 7).alias("prob_stress"), "regime")
 
 
+@query(
+    """with p as (select p_partkey, 0.02 as omega, 0.05 + p_size / 1000.0 alpha, 0.80 + p_size / 1000.0 beta, p_size / 2000.0 gamma from part), t as (select *, alpha + beta + gamma / 2 total from p)
+select p_partkey, round(total, 8) persistence, round(case when total < 1 then omega / (1 - total) end, 6) unconditional_variance, round(case when total < 1 then ln(0.5) / ln(total) end, 6) half_life from t"""
+)
+def garch_summary(spark: SparkSession, d: str) -> DataFrame:
+    s = F.col("p_size")
+    df = _read(spark, d, "part").select("p_partkey", F.lit(0.02).alias("omega"), (0.05 + s / 1000).alias("alpha"), (0.80 + s / 1000).alias("beta"), (s / 2000).alias("gamma"))
+    out = FL.garch_summary_columns(df).select("p_partkey", F.round("persistence", 8).alias("persistence"), "unconditional_variance", "half_life")
+    return rounded(out, keep=("persistence",))
+
+
+@query(
+    _recursive(
+        SINGLE + RET
+        + """, x as (select row_number() over (order by date) i, date, 100 * ret v from r where ret is not null),
+b as (select i, date, exp(-0.5 * power(v - 0.02, 2) / 0.500001) / sqrt(0.500001) b0, exp(-0.5 * power(v + 0.1, 2) / 2.500001) / sqrt(2.500001) b1 from x),
+h as (select i, date, cast(0.6 * b0 / (0.6 * b0 + 0.4 * b1) as double) a from b where i = 1 union all
+ select b.i, b.date, (h.a * 0.95 + (1 - h.a) * 0.1) * b.b0 / ((h.a * 0.95 + (1 - h.a) * 0.1) * b.b0 + (h.a * 0.05 + (1 - h.a) * 0.9) * b.b1) from h join b on b.i = h.i + 1)
+select 'IDX' symbol, date, round(1.0 / 3 + (1 - a - 1.0 / 3) * 0.85, 7) stress_1, round(1.0 / 3 + (1 - a - 1.0 / 3) * power(0.85, 5), 7) stress_5, round(1.0 / 3 + (1 - a - 1.0 / 3) * power(0.85, 10), 7) stress_10 from h"""
+    )
+)
+def regime_ahead(spark: SparkSession, d: str) -> DataFrame:
+    df = FT.add_returns(single_bars(spark, d)).where("return_pct is not null")
+    return rounded(FL.stress_ahead(FL.hmm_forward(df, ["return_pct"], HMM), HMM["transmat"]).select("symbol", "date", "stress_1", "stress_5", "stress_10"), 7)
+
+
 @query()
 def garch_forecast(spark: SparkSession, d: str) -> DataFrame:
     return rounded(FL.garch_forecasts(FL.garch_filter(FT.add_returns(panel_bars(spark, d)), GARCH), GARCH))
