@@ -136,7 +136,8 @@ def mix_sources(
     start = F.greatest(F.col("at"), F.col("block") * b)
     pieces = pieces.select("source_key", "block", "at", (start - F.col("at")).alias("first_word"), (start - F.col("block") * b).alias("in_block"), (F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * b) - start).alias("has"))
     words = F.least(F.col("has"), F.col("take") - F.col("in_block"))
-    segments = pieces.join(slots, ["source_key", "block"]).withColumn("words", words).where("words > 0")
+    # Sizes after explode are guessed too small: a merge join, so that no side that grows with the data is broadcast.
+    segments = pieces.join(slots.hint("merge"), ["source_key", "block"]).withColumn("words", words).where("words > 0")
     return documents, segments.select("source_key", "at", "shard", "place", "epoch", "block", "first_word", "words")
 
 
