@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Callable
 
 import numpy as np
@@ -411,11 +412,13 @@ def fit_arma(x: np.ndarray, p: int, q: int, constant: bool) -> dict:
             base[i:] -= a * x[:-i]
         if not q:
             return base[lag:]
-        e = np.zeros(n)
-        rev = ma[::-1]
-        for t in range(lag, n):
-            e[t] = base[t] - rev @ e[t - q : t]
-        return e[lag:]
+        m, past, e = ma.tolist(), deque([0.0] * q, q), []
+        for v in base[lag:].tolist():
+            for c, u in zip(m, past):
+                v -= c * u
+            past.appendleft(v)
+            e.append(v)
+        return np.array(e)
 
     b = np.zeros(k)
     if constant:

@@ -780,6 +780,12 @@ def garch_forecast(spark: SparkSession, d: str) -> DataFrame:
 # --- estimators -------------------------------------------------------------------------------------------------------
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Small rows, heavy fits: a fixed number of partitions, so that adaptive execution does not put all series into one task."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(parts, "symbol")
+
+
 def _per_symbol(df: DataFrame, value: str, fn: Callable[[np.ndarray], list[dict]], schema: str) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("date")["v"].to_numpy(float)
@@ -846,10 +852,10 @@ def pelt(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def arma_select(spark: SparkSession, d: str) -> DataFrame:
     def fit(x: np.ndarray) -> list[dict]:
-        m = E.select_arma(x[-600:], p_max=2, q_max=2)
+        m = E.select_arma(x)
         return [{k: m[k] for k in ("p", "q", "constant", "n_params", "bic", "forecast")}]
 
-    return rounded(_per_symbol(FT.add_returns(panel_bars(spark, d)), "return_pct", fit, "p int, q int, constant boolean, n_params int, bic double, forecast double"), 3)
+    return rounded(_per_symbol(_spread(FT.add_returns(panel_bars(spark, d))), "return_pct", fit, "p int, q int, constant boolean, n_params int, bic double, forecast double"), 3)
 
 
 @query()
