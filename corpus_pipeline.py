@@ -39,8 +39,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fixed windows of tokens: a row for each piece of a mixed text."""
-    return pack_documents(docs, tokenizer=registry.tokenizer_path())
+    """Fixed windows of tokens: a row for each piece of a mixed text, with its token ids."""
+    return pack_documents(docs, tokenizer=registry.tokenizer_path(), with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
