@@ -376,7 +376,7 @@ def baseline_comparison(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def block_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(EV.block_bootstrap(_alarmed(EV.label_events(panel_bars(spark, d))), "score", "event_label", resamples=200))
+    return rounded(EV.block_bootstrap(_alarmed(EV.label_events(panel_bars(spark, d))), "score", "event_label"))
 
 
 @query(
@@ -818,26 +818,26 @@ def hmm_fit(spark: SparkSession, d: str) -> DataFrame:
         x = pdf.sort_values("date")[["return", "ln_rv20", "drawdown"]].dropna().to_numpy(float)
         if len(x) < 100:
             return pd.DataFrame(columns=["symbol", "regime", "occupancy", "mean_ln_rv20", "expected_days", "stationary", "bic"])
-        m = E.fit_hmm(x, 3, starts=3)
+        m = E.fit_hmm(x, 3)
         return pd.DataFrame({"symbol": pdf["symbol"].iloc[0], "regime": [0, 1, 2], "occupancy": m["occupancy"], "mean_ln_rv20": m["means"][:, 1], "expected_days": E.expected_durations(m["transmat"]), "stationary": E.stationary(m["transmat"]), "bic": m["bic"]})
 
-    df = FT.add_drawdowns(FT.add_volatility(FT.add_returns(panel_bars(spark, d)))).select("symbol", "date", "return", "ln_rv20", "drawdown")
+    df = _spread(FT.add_drawdowns(FT.add_volatility(FT.add_returns(panel_bars(spark, d)))).select("symbol", "date", "return", "ln_rv20", "drawdown"))
     return rounded(df.groupBy("symbol").applyInPandas(fit, "symbol string, regime int, occupancy double, mean_ln_rv20 double, expected_days double, stationary double, bic double"), 3)
 
 
 @query()
 def iforest(spark: SparkSession, d: str) -> DataFrame:
-    cols = ["return", "ln_rv20", "vol_ratio_5_20", "momentum_20", "ln_parkinson"]
+    cols = list(WF.WalkForwardConfig().forest_features)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date").dropna()
         x = pdf[cols].to_numpy(float)
-        m = E.fit_forest(x[: max(50, len(x) // 2)], trees=100)
+        m = E.fit_forest(x[: max(50, len(x) // 2)])
         score = E.forest_score(m, x)
         pct, _ = E.ecdf(m["train"], score)
         return pd.DataFrame({"symbol": pdf["symbol"], "date": pdf["date"], "score": score, "percentile": pct, "flag": pct >= 0.99})
 
-    df = FT.add_volatility(FT.add_returns(panel_bars(spark, d))).select("symbol", "date", *cols)
+    df = _spread(FT.add_drawdowns(FT.add_volatility(FT.add_returns(panel_bars(spark, d)))).select("symbol", "date", *cols))
     return rounded(df.groupBy("symbol").applyInPandas(fit, "symbol string, date date, score double, percentile double, flag boolean"))
 
 
@@ -861,7 +861,7 @@ def arma_select(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def arma_walk_forward(spark: SparkSession, d: str) -> DataFrame:
     df = FT.add_returns(FT.with_row_number(single_bars(spark, d)))
-    return rounded(AR.compare(AR.arma_walk_forward(df, "return_pct", initial=700, refit=400, reselect=800, p_max=1, q_max=1)), 4)
+    return rounded(AR.compare(AR.arma_walk_forward(df, "return_pct")), 4)
 
 
 def _held(df: DataFrame, _: str) -> DataFrame:
@@ -871,18 +871,15 @@ def _held(df: DataFrame, _: str) -> DataFrame:
     return df
 
 
-SMALL_WALK = WF.WalkForwardConfig(initial_train=700, cadence=400, hmm_starts=1, trees=60, hs_window=500)
-
-
 @query()
 def walk_forward(spark: SparkSession, d: str) -> DataFrame:
-    """The out-of-sample table of one series with few, large blocks."""
-    return rounded(WF.walk_forward(FT.build_features(VA.validate_ohlc(single_bars(spark, d))), SMALL_WALK, keep=_held).oos)
+    """The out-of-sample table of one series."""
+    return rounded(WF.walk_forward(FT.build_features(VA.validate_ohlc(single_bars(spark, d))), keep=_held).oos)
 
 
 @query()
 def walk_forward_scorecard(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(WF.walk_forward(FT.build_features(VA.validate_ohlc(single_bars(spark, d))), SMALL_WALK, keep=_held).scorecard)
+    return rounded(WF.walk_forward(FT.build_features(VA.validate_ohlc(single_bars(spark, d))), keep=_held).scorecard)
 
 
 # --- event-time bars --------------------------------------------------------------------------------------------------

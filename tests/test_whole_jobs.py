@@ -31,3 +31,32 @@ def test_arma_select_tries_all_orders_on_all_rows(spark, long_orders):
     assert len(x) > 700 and want["p"] == 3 and len(got) == 1
     assert (got[0]["p"], got[0]["q"], got[0]["constant"]) == (want["p"], want["q"], want["constant"])
     assert got[0]["bic"] == pytest.approx(want["bic"], abs=1e-3) and got[0]["forecast"] == pytest.approx(want["forecast"], abs=1e-3)
+
+
+def test_walks_and_forests_use_the_default_settings(spark, long_orders, monkeypatch):
+    seen = {}
+
+    def note(name):
+        def call(*args, **kwargs):
+            seen[name] = (len(args), {k for k in kwargs if k not in ("keep",)})
+            raise StopIteration
+
+        return call
+
+    for owner, f, name in ((Q.WF, "walk_forward", "walk_forward"), (Q.WF, "walk_forward", "walk_forward_scorecard"), (Q.AR, "arma_walk_forward", "arma_walk_forward"), (Q.EV, "block_bootstrap", "block_bootstrap")):
+        with monkeypatch.context() as m:
+            m.setattr(owner, f, note(name))
+            if name.startswith("walk"):
+                m.setattr(Q, "single_bars", lambda *_: Q.panel_bars(spark, long_orders))
+            with pytest.raises(StopIteration):
+                Q.QUERIES[name](spark, long_orders)
+    assert seen == {"walk_forward": (1, set()), "walk_forward_scorecard": (1, set()), "arma_walk_forward": (2, set()), "block_bootstrap": (3, set())}
+
+
+def test_iforest_uses_all_features_and_trees(spark, long_orders):
+    df = FT.add_drawdowns(FT.add_volatility(FT.add_returns(Q.panel_bars(spark, long_orders)))).orderBy("date").toPandas()
+    rows = df[["date", *Q.WF.WalkForwardConfig().forest_features]].dropna()
+    x = rows.iloc[:, 1:].to_numpy(float)
+    want = E.forest_score(E.fit_forest(x[: max(50, len(x) // 2)], trees=300), x)
+    got = Q.QUERIES["iforest"](spark, long_orders).orderBy("date").toPandas()
+    assert len(got) == len(want) and np.allclose(got["score"], want, atol=1e-5)
