@@ -5,15 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from stressline.llm import registry
 from stressline.llm.exact_dedup import keep_one_of_each
-from stressline.llm.jaccard_join import jaccard_classes
+from stressline.llm.jaccard_join import keep_one_of_component
 from stressline.llm.packing import pack_documents
 from stressline.llm.quality import keep_good
 from stressline.llm.source_mixing import mixed_texts
-from stressline.llm.storage import Scratch, without
+from stressline.llm.storage import Scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +26,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest doc_id, of each near-duplicate component."""
-    classes = jaccard_classes(docs).select("doc_id", "component_id")
-    gone = Scratch(spark, "near").save(classes.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return without(docs, gone, ["doc_id"]).select(*docs.columns)
+    """One row, the one with the smallest doc_id (nulls last), of each near-duplicate component."""
+    return keep_one_of_component(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

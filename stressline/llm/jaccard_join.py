@@ -31,13 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrowgroups import stream_groups
 from .bytehash import mix, shingle_sets
 from .graph import components, unite
-from .storage import Scratch
+from .storage import Scratch, without
 
 _FAN = 8
 
@@ -179,28 +179,28 @@ def _set_keys(counts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.nd
     return out[0], out[1]
 
 
-_SCAN = "doc_id long, n long, c1 long, c2 long, bits binary, term long, held long"
+_SCAN = "doc_id long, digest long, n long, c1 long, c2 long, bits binary, term long, held long"
 
 
 def _scan(k: int, flush: int = 1 << 22, least: int = 4):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("bits", pa.binary()), ("term", pa.int64()), ("held", pa.int64())])
+        schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("bits", pa.binary()), ("term", pa.int64()), ("held", pa.int64())])
         kept: list[np.ndarray] = []
 
         def common() -> pa.RecordBatch:
             terms, held = np.unique(np.concatenate(kept), return_counts=True)
             terms, held = terms[held >= least], held[held >= least]
             none = pa.nulls(len(terms), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(terms), pa.binary()), _longs(terms), pa.array(held.astype(np.int64))], schema=schema)
+            return pa.RecordBatch.from_arrays([none, none, none, none, none, pa.nulls(len(terms), pa.binary()), _longs(terms), pa.array(held.astype(np.int64))], schema=schema)
 
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, digests = batch.column("doc_id"), batch.column("digest")
             for lo, counts, hashes in shingle_sets(batch.column("text"), k):
                 c1, c2 = _set_keys(counts, hashes)
                 off = np.concatenate([[0], np.cumsum(counts)])
                 bits = [bitmap(hashes[off[i] : off[i + 1]]).tobytes() if counts[i] else None for i in range(len(counts))]
                 none = pa.nulls(len(counts), pa.int64())
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, len(counts)), pa.array(counts.astype(np.int64)), _longs(c1), _longs(c2), pa.array(bits, pa.binary()), none, none], schema=schema)
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, len(counts)), digests.slice(lo, len(counts)), pa.array(counts.astype(np.int64)), _longs(c1), _longs(c2), pa.array(bits, pa.binary()), none, none], schema=schema)
                 kept.append(hashes)
                 if sum(map(len, kept)) >= flush:
                     yield common()
@@ -337,6 +337,10 @@ def _without_subsets(part: DataFrame) -> DataFrame:
     return part.join(keep, ["g", "m"]).select("g", "m", "c1")
 
 
+def _digest(text: str) -> Column:
+    return F.xxhash64(F.col(text).cast("string"))
+
+
 def jaccard_classes(
     docs: DataFrame,
     *,
@@ -348,15 +352,18 @@ def jaccard_classes(
     tile_rows: int = 2048,
     tile_shingles: int = 1 << 22,
     broadcast_ids: int = 500_000,
+    with_keys: bool = False,
 ) -> DataFrame:
     """doc_id, n_shingles, class_key (one value per distinct shingle set) and
-    component_id (smallest doc_id reachable by links; its own where it has none)."""
+    component_id (smallest doc_id reachable by links; its own where it has none; null where all are null).
+    Where asked for, also component_key (one value per component, whatever its ids; null without shingles)
+    and digest (of the text)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("digest", _digest("text"))
 
     scan = scratch.save(docs.mapInArrow(_scan(k), _SCAN), "scan")
-    rows = scan.where("term is null").select("doc_id", "n", "c1", "c2")
+    rows = scan.where("term is null").select("doc_id", "digest", "n", "c1", "c2")
     clash = rows.groupBy("c1").agg(F.min("c2").alias("lo"), F.max("c2").alias("hi")).where("lo <> hi").limit(1).count()
     if clash:
         raise RuntimeError("two shingle sets share a 64-bit class key; choose other keys in bytehash")
@@ -388,12 +395,17 @@ def jaccard_classes(
     grouped = grouped.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
     part = scratch.save(grouped.mapInArrow(_candidates(percent), "g long, m long, c1 long").dropDuplicates(), "part")
     part = scratch.save(_without_subsets(part), "largest")
-    members_n = rows.select("c1", "n", "doc_id").join(part.select("c1").distinct(), "c1", "left_semi").groupBy("c1").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"))
+    # A class is fetched by the key of one of its rows (id and text), so that null and repeated ids lose nothing.
+    row_key = F.xxhash64("digest", "doc_id")
+    held_by = rows.select("c1", "n", row_key.alias("row_key")).join(part.select("c1").distinct(), "c1", "left_semi").groupBy("c1", "row_key").agg(F.max("n").alias("n"), F.count("*").alias("same"))
+    members_n = held_by.groupBy("c1").agg(F.max("n").alias("n"), F.min(F.struct("row_key", "same")).alias("rep")).select("c1", "n", "rep.row_key", "rep.same")
     members_n = scratch.save(members_n, "reps")
-    ids = members_n.select("doc_id").distinct()
-    chosen = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
-    sets = docs.join(chosen, "doc_id", "left_semi").select("text").mapInArrow(_sets(k), "c1 long, shingles binary")
-    heavy = part.join(members_n, "c1").groupBy("g", "m").agg(F.sum("n").alias("load"))
+    keys = members_n.select("row_key").distinct()
+    chosen = F.broadcast(keys) if keys.count() <= broadcast_ids else keys
+    sets = docs.withColumn("row_key", row_key).join(chosen, "row_key", "left_semi").select("text").mapInArrow(_sets(k), "c1 long, shingles binary")
+    if members_n.where("same > 1").limit(1).count():  # whole rows are repeated
+        sets = sets.dropDuplicates(["c1"])
+    heavy = part.join(members_n.select("c1", "n"), "c1").groupBy("g", "m").agg(F.sum("n").alias("load"))
     tiled = _tiled(part.join(heavy, ["g", "m"]), F.greatest(F.ceil(F.col("m") / tile_rows), F.ceil(F.col("load") / tile_shingles)).cast("long"))
     tiled = tiled.join(sets, "c1").select(*_GROUP, "c1", "shingles").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
     links = scratch.save(tiled.mapInArrow(_links(percent), "a long, b long").where("a <> b").dropDuplicates(), "links")
@@ -403,11 +415,31 @@ def jaccard_classes(
     classes = rows.where("n > 0").groupBy("c1").agg(F.min("doc_id").alias("least"))
     classes = classes.join(label.withColumnRenamed("node", "c1"), "c1", "left").withColumn("label", F.coalesce("label", "c1"))
     lowest = classes.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = scratch.save(classes.join(lowest, "label").select("c1", "component_id"), "named")
+    named = scratch.save(classes.join(lowest, "label").select("c1", "component_id", "label"), "named")
     out = rows.join(named, "c1", "left")
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("c1")).alias("class_key"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        *([F.when(F.col("n") > 0, F.col("label")).alias("component_key"), "digest"] if with_keys else []),
     )
+
+
+def keep_one_of_component(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of docs, all columns, without those that link with a row that stays. Of each component one row stays: the smallest
+    id (nulls last), then the smallest text digest; rows are told apart by id and text. Rows without shingles all stay."""
+    scratch = Scratch(docs.sparkSession, "near")
+    found = jaccard_classes(docs, id_col=id_col, text_col=text_col, with_keys=True).where("component_key is not null")
+    pairs = scratch.save(found.groupBy("component_key", F.col("doc_id").alias("_id"), F.col("digest").alias("_text")).agg(F.count("*").alias("_n")), "pairs")
+    order = F.struct(F.col("_id").isNull().alias("none"), "_id", "_text")
+    best = pairs.groupBy("component_key").agg(F.min(order).alias("best"), F.sum("_n").alias("size")).where("size > 1")
+    pairs = scratch.save(pairs.join(best, "component_key").select("_id", "_text", "_n", (F.col("_id").eqNullSafe(F.col("best._id")) & (F.col("_text") == F.col("best._text"))).alias("stays")), "marked")
+    keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_text": _digest(text_col)})
+    left = without(keyed, scratch.save(pairs.where("not stays").select("_id", "_text"), "gone"), ["_id", "_text"])
+    repeats = scratch.save(pairs.where("stays and _n > 1").select("_id", "_text"), "repeats")
+    if repeats.limit(1).count():
+        same = F.col("k._id").eqNullSafe(F.col("r._id")) & (F.col("k._text") == F.col("r._text"))
+        once = left.alias("k").join(repeats.alias("r"), same, "left_semi").dropDuplicates(["_id", "_text"])
+        left = without(left, repeats, ["_id", "_text"]).unionByName(once)
+    return left.select(*docs.columns)
