@@ -60,6 +60,8 @@ def garch_variances(e: np.ndarray, omega: float, alpha: float, gamma: float, bet
 
 def fit_garch(returns: np.ndarray, *, leverage: bool = False, density: str = "t") -> dict:
     """GARCH(1,1), with a leverage term if asked, constant mean, normal or Student t shocks, on percent returns."""
+    if density not in ("t", "normal"):
+        raise ValueError(f"unknown density {density}")
     r = np.asarray(returns, float)
     r = r[~np.isnan(r)]
     m, v = float(r.mean()), float(max(r.var(), 1e-8))

@@ -60,3 +60,8 @@ def test_iforest_uses_all_features_and_trees(spark, long_orders):
     want = E.forest_score(E.fit_forest(x[: max(50, len(x) // 2)], trees=300), x)
     got = Q.QUERIES["iforest"](spark, long_orders).orderBy("date").toPandas()
     assert len(got) == len(want) and np.allclose(got["score"], want, atol=1e-5)
+
+
+def test_unknown_density_is_refused():
+    with pytest.raises(ValueError):
+        E.fit_garch(np.arange(50.0), density="skewt")
