@@ -26,14 +26,17 @@ from pyspark.sql import functions as F
 from .storage import Scratch
 
 
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class WordTokenizer:
     """Ids of whole texts for a tokenizer that never joins words across white space.
 
     Words are encoded by the tokenizer the first time they come up and joined from a
-    bounded cache after that. ASCII upper case is folded before, as the vocabulary
+    bounded cache after that; new words are encoded in lots of ``lot`` joined by blanks. ASCII upper case is folded before, as the vocabulary
     is lower case; texts with the strings of special tokens go to the tokenizer whole."""
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 1_500_000, lot: int = 512):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -44,31 +47,45 @@ class WordTokenizer:
         for token, i in vocab.items():
             self.final[i] = token.endswith("</w>")
         self.cache: dict[bytes, bytes] = {}
-        self.most = most
+        self.most, self.lot = most, lot
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _bytes(self, ids: list[int]) -> bytes:
         return array(self.kind, ids).tobytes()
 
     def _learn(self, words: set[bytes]) -> None:
-        tail = [w for w in words if len(w) > 1 and w[-1] in b".,|" and w[-2:-1].isalnum()]
-        whole = words.difference(tail)
-        for w in tail:
-            whole.add(w[:-1])
-            whole.add(w[-1:])
-        texts = [(w, w.decode()) for w in whole if w not in self.cache]
-        plain = [x for x in texts if x[1].isalpha()]
-        ids = np.array(self.tokenizer.encode(" ".join(t for _, t in plain), add_special_tokens=False).ids, np.int64)
-        ends = np.flatnonzero(self.final[ids]) + 1 if len(ids) else ids
-        if len(ends) == len(plain) and (not len(ends) or ends[-1] == len(ids)):
-            raw, step, lo = ids.astype(self.kind).tobytes(), array(self.kind).itemsize, 0
-            for (w, _), hi in zip(plain, (ends * step).tolist(), strict=True):
-                self.cache[w] = raw[lo:hi]
+        parts: dict[bytes, int] = {}  # length of the letters of a word that ends in ASCII punctuation
+        whole: set[bytes] = set()
+        for w in words:
+            n = len(w.rstrip(_MARKS))
+            if 0 < n < len(w) and (w[n - 1 : n].isalnum() or w[:n].decode()[-1].isalnum()):
+                parts[w] = n
+                whole.add(w[:n])
+                whole.add(w[n:])
+            else:
+                whole.add(w)
+        keys = list(whole.difference(self.cache))
+        texts = [w.decode() for w in keys]
+        plain = [i for i, t in enumerate(texts) if t.isalpha()]
+        other = [i for i, t in enumerate(texts) if not t.isalpha()]
+        lots = [plain[i : i + self.lot] for i in range(0, len(plain), self.lot)]
+        step = array(self.kind).itemsize
+        for lot, e in zip(lots, self._ids([" ".join([texts[i] for i in lot]) for lot in lots]), strict=True):
+            ids = np.array(e, np.int64)
+            ends = np.flatnonzero(self.final[ids]) + 1 if len(ids) else ids
+            if len(ends) != len(lot) or ends[-1] != len(ids):  # a word of several parts, or none
+                other += lot
+                continue
+            raw, lo = ids.astype(self.kind).tobytes(), 0
+            for i, hi in zip(lot, (ends * step).tolist(), strict=True):
+                self.cache[keys[i]] = raw[lo:hi]
                 lo = hi
-            texts = [x for x in texts if x[0] not in self.cache]
-        for (w, _), e in zip(texts, self.tokenizer.encode_batch([t for _, t in texts], add_special_tokens=False), strict=True):
-            self.cache[w] = self._bytes(e.ids)
-        for w in tail:
-            self.cache[w] = self.cache[w[:-1]] + self.cache[w[-1:]]
+        for i, e in zip(other, self._ids([texts[i] for i in other]), strict=True):
+            self.cache[keys[i]] = self._bytes(e)
+        for w, n in parts.items():
+            self.cache[w] = self.cache[w[:n]] + self.cache[w[n:]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian ids of each text."""
@@ -80,7 +97,7 @@ class WordTokenizer:
         for words in split:
             if words is not None:
                 new.update(words)
-        new -= self.cache.keys()
+        new = new.difference(self.cache)
         if new:
             self._learn(new)
         get = self.cache.__getitem__
