@@ -1,28 +1,33 @@
 """N-gram Jaccard self-join with signature trees.
 
-Plan, all of it exact:
-
 1. One scan gives each document its number of distinct 5-word shingles, a
-   128-bit hash of the set, an OR-able bitmap, and the shingles that are common
+   128-bit key of the set, an OR-able bitmap, and the shingles that are common
    inside a task. Documents with equal sets form one class.
 2. A second scan emits, for one document of each class and task, the prefix of
    its shingles in a global order with common shingles last. Sets with
    Jaccard >= t share a shingle of these prefixes. The order is a heuristic
-   (top ``order_terms`` shingles by count); any order gives all pairs.
-3. Shingles held by the same classes collapse into one candidate group. In a
+   (the ``order_terms`` shingles with the highest counts; any other is held by at most that part of
+   all shingles); every order gives all pairs.
+3. Shingles held by the same classes collapse into one candidate group; the classes of a
+   common shingle are counted in slices, so none meets in one task. In a
    group a signature tree (OR-combined bitmaps, size ranges) is traversed
    against itself; node pairs whose largest possible overlap is too small are
    pruned. What is left falls apart into candidate components.
 4. Only members of those get their sets computed (from the text, once per class) and
-   are verified exactly, pair by pair of the tree's leaves, skipping pairs that
+   are verified by the shingles they share, pair by pair of the tree's leaves, skipping pairs that
    are connected already. A spanning forest of links leaves each task.
-5. Links become components with a distributed label propagation.
+5. Links become components by hooking and contraction in shared tables.
+
+Shingles are compared by hash. Two words get numbers from two tables of random numbers by place and byte (longer
+words by xxh3), so different shingles agree with odds of 2**-64 for the first hash, whatever they look like; verification needs
+32 bits of the second, independent hash to agree as well, and the key of a class has 64 bits of each.
 
 Groups above ``tile_rows`` members or ``tile_shingles`` shingles are cut into tiles and
 every pair of tiles is joined in its own task, so no task holds a whole hot
-group. Null and empty texts have no shingles and link with nothing; texts with
-fewer than k words have one shingle. Repeated rows and repeated doc_ids are
-kept, one output row per input row.
+group. Null, empty and blank texts have no shingles and link with nothing; texts with
+fewer than k words have one shingle. Very long texts are hashed whole, one at a time. Repeated rows and repeated doc_ids are
+kept, one output row per input row; ties cannot matter, as the component is the smallest id. Other columns, whatever their
+names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,13 +36,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrowgroups import stream_groups
 from .bytehash import mix, shingle_sets
 from .graph import components, unite
-from .storage import Scratch, without
+from .storage import Scratch, fresh, once_each, without
 
 _FAN = 8
 
@@ -168,13 +173,13 @@ def _longs(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values).astype(np.uint64, copy=False).view(np.int64))
 
 
-def _set_keys(counts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit keys of each set."""
+def _set_keys(counts: np.ndarray, hashes: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit keys of each set, of the first and of the second hashes."""
     ends = np.cumsum(counts)
     out = []
-    for salt in (0x51, 0xA7):
+    for values, salt in ((hashes, 0x51), (other, 0xA7)):
         with np.errstate(over="ignore"):
-            sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(hashes ^ np.uint64(salt)))])
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(values ^ np.uint64(salt)))])
             out.append(mix(sums[ends] - sums[ends - counts] + counts.astype(np.uint64)))
     return out[0], out[1]
 
@@ -195,8 +200,8 @@ def _scan(k: int, flush: int = 1 << 22, least: int = 4):
 
         for batch in batches:
             ids, digests = batch.column("doc_id"), batch.column("digest")
-            for lo, counts, hashes in shingle_sets(batch.column("text"), k):
-                c1, c2 = _set_keys(counts, hashes)
+            for lo, counts, hashes, other in shingle_sets(batch.column("text"), k):
+                c1, c2 = _set_keys(counts, hashes, other)
                 off = np.concatenate([[0], np.cumsum(counts)])
                 bits = [bitmap(hashes[off[i] : off[i + 1]]).tobytes() if counts[i] else None for i in range(len(counts))]
                 none = pa.nulls(len(counts), pa.int64())
@@ -211,15 +216,15 @@ def _scan(k: int, flush: int = 1 << 22, least: int = 4):
     return run
 
 
-def _postings(k: int, percent: int, terms):
+def _postings(k: int, percent: int, terms, slices: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, rank = terms.value
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for _, counts, hashes in shingle_sets(batch.column("text"), k):
-                c1, _ = _set_keys(counts, hashes)
+            for _, counts, hashes, other in shingle_sets(batch.column("text"), k):
+                c1, c2 = _set_keys(counts, hashes, other)
                 new = np.zeros(len(counts), bool)
-                for i, c in enumerate(c1.tolist()):
+                for i, c in enumerate(zip(c1.tolist(), c2.tolist(), strict=True)):
                     if counts[i] and c not in seen:
                         seen.add(c)
                         new[i] = True
@@ -235,12 +240,14 @@ def _postings(k: int, percent: int, terms):
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                     place = np.where(common[at] == h, rank[at], 0)
                 at = np.lexsort((h, place, owner))
-                owner, h = owner[at], h[at]
+                owner, h, place = owner[at], h[at], place[at]
                 n = np.where(new, counts, 0)
                 nth = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
                 keep = nth < n[owner] + (-percent * n[owner]) // 100 + 1
-                owner, h = owner[keep], h[keep]
-                yield pa.RecordBatch.from_arrays([_longs(h), _longs(c1[owner])], names=["term", "c1"])
+                owner, h, place = owner[keep], h[keep], place[keep]
+                # A common shingle is dealt over slices by the class; 0 where it is not common.
+                part = np.where(place > 0, 1 + (mix(c1[owner]) % np.uint64(slices)).astype(np.int64), 0)
+                yield pa.RecordBatch.from_arrays([_longs(h), _longs(c1[owner]), pa.array(part.astype(np.int32))], names=["term", "c1", "part"])
 
     return run
 
@@ -255,17 +262,17 @@ def _group_key(members: np.ndarray) -> tuple[int, int]:
 
 def _candidates(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int, np.ndarray]] = []
+        out: list[tuple[int, int, np.ndarray, np.ndarray]] = []
         held = 0
         for t in stream_groups(batches, _GROUP):
-            c1 = t["c1"].to_numpy()
+            c1, c2 = t["c1"].to_numpy(), t["c2"].to_numpy()
             sizes = t["n"].to_numpy()
             bits = [np.frombuffer(b, np.uint64) for b in t["bits"].to_pylist()]
             label = forest(bits, sizes, c1, percent)
             at = np.argsort(label, kind="stable")
             for part in np.split(at, np.flatnonzero(np.diff(label[at])) + 1):
                 if len(part) > 1:
-                    out.append((*_group_key(c1[part]), c1[part]))
+                    out.append((*_group_key(c2[part]), c1[part], c2[part]))
                     held += len(part)
             if held > 1 << 16:
                 yield _members(out)
@@ -276,42 +283,53 @@ def _candidates(percent: int):
     return run
 
 
-def _members(out: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
-    size = [len(x) for _, _, x in out]
+def _members(out: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    size = [x[1] for x in out]
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.repeat([g for g, _, _ in out], size)), pa.array(np.repeat([m for _, m, _ in out], size)), pa.array(np.concatenate([x for _, _, x in out]))],
-        names=["g", "m", "c1"],
+        [pa.array(np.repeat([x[i] for x in out], size)) for i in (0, 1)] + [pa.array(np.concatenate([x[i] for x in out])) for i in (2, 3)],
+        names=["g", "m", "c1", "c2"],
     )
 
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, counts, hashes in shingle_sets(batch.column("text"), k):
-                c1, _ = _set_keys(counts, hashes)
+            for _, counts, hashes, other in shingle_sets(batch.column("text"), k):
+                c1, c2 = _set_keys(counts, hashes, other)
                 off = np.concatenate([[0], np.cumsum(counts)])
-                yield pa.RecordBatch.from_arrays([_longs(c1), pa.array([hashes[off[i] : off[i + 1]].tobytes() for i in range(len(counts))], pa.binary())], names=["c1", "shingles"])
+                both = [pa.array([x[off[i] : off[i + 1]].tobytes() for i in range(len(counts))], pa.binary()) for x in (hashes, (other >> np.uint64(32)).astype(np.uint32))]
+                yield pa.RecordBatch.from_arrays([_longs(c1), _longs(c2), *both], names=["c1", "c2", "shingles", "others"])
 
     return run
 
 
+_NODE = pa.struct([("c1", pa.int64()), ("c2", pa.int64())])
+_LINKS = "a struct<c1: long, c2: long>, b struct<c1: long, c2: long>"
+
+
+def shared(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
+    """Shingles of both sets, each given by its hashes in rising order and their second hashes."""
+    both, second = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+    order = np.argsort(both, kind="stable")
+    both, second = both[order], second[order]
+    return int(((both[1:] == both[:-1]) & (second[1:] == second[:-1])).sum())
+
+
 def _links(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in stream_groups(batches, _GROUP):
-            c1 = t["c1"].to_numpy()
-            sets = [np.frombuffer(b, np.uint64) for b in t["shingles"].to_pylist()]
-            sizes = np.array([len(s) for s in sets])
+            c1, c2 = t["c1"].to_numpy(), t["c2"].to_numpy()
+            sets = [(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint32)) for x, y in zip(t["shingles"].to_pylist(), t["others"].to_pylist(), strict=True)]
+            sizes = np.array([len(s) for s, _ in sets])
 
             def verify(i: int, j: int, sets=sets, sizes=sizes) -> bool:
-                both = np.concatenate([sets[i], sets[j]])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
+                common = shared(sets[i], sets[j])
                 return 100 * common >= percent * int(sizes[i] + sizes[j] - common)
 
-            label = forest([bitmap(s) for s in sets], sizes, c1, percent, verify)
+            label = forest([bitmap(s) for s, _ in sets], sizes, c1, percent, verify)
             at = np.flatnonzero(label != np.arange(len(label)))
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(c1[label[at]]), pa.array(c1[at])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([pa.array(c1[x]), pa.array(c2[x])], fields=list(_NODE)) for x in (label[at], at)], names=["a", "b"])
 
     return run
 
@@ -329,12 +347,15 @@ def _tiled(members: DataFrame, parts: F.Column) -> DataFrame:
     )
 
 
+_KEY = ["c1", "c2"]
+
+
 def _without_subsets(part: DataFrame) -> DataFrame:
     """Groups whose members all share one larger group are joined there already."""
-    largest = part.groupBy("c1").agg(F.max(F.struct("m", "g")).alias("top"))
-    spread = part.join(largest, "c1").groupBy("g", "m").agg(F.min("top").alias("lo"), F.max("top").alias("hi"))
+    largest = part.groupBy(*_KEY).agg(F.max(F.struct("m", "g")).alias("top"))
+    spread = part.join(largest, _KEY).groupBy("g", "m").agg(F.min("top").alias("lo"), F.max("top").alias("hi"))
     keep = spread.where((F.col("lo") != F.col("hi")) | (F.col("lo.g") == F.col("g"))).select("g", "m")
-    return part.join(keep, ["g", "m"]).select("g", "m", "c1")
+    return part.join(keep, ["g", "m"]).select("g", "m", *_KEY)
 
 
 def _digest(text: str) -> Column:
@@ -351,6 +372,7 @@ def jaccard_classes(
     order_terms: int = 1 << 16,
     tile_rows: int = 2048,
     tile_shingles: int = 1 << 22,
+    slices: int = 64,
     broadcast_ids: int = 500_000,
     with_keys: bool = False,
 ) -> DataFrame:
@@ -364,9 +386,6 @@ def jaccard_classes(
 
     scan = scratch.save(docs.mapInArrow(_scan(k), _SCAN), "scan")
     rows = scan.where("term is null").select("doc_id", "digest", "n", "c1", "c2")
-    clash = rows.groupBy("c1").agg(F.min("c2").alias("lo"), F.max("c2").alias("hi")).where("lo <> hi").limit(1).count()
-    if clash:
-        raise RuntimeError("two shingle sets share a 64-bit class key; choose other keys in bytehash")
     top = (
         scan.where("term is not null").groupBy("term").agg(F.sum("held").alias("held")).orderBy(F.desc("held"), "term").limit(order_terms).collect()
     )  # at most order_terms rows
@@ -375,52 +394,54 @@ def jaccard_classes(
     at = np.argsort(common)
     terms = spark.sparkContext.broadcast((common[at], rank[at]))
 
-    held = docs.select("text").mapInArrow(_postings(k, percent, terms), "term long, c1 long").repartition("term").dropDuplicates(["term", "c1"])
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("term")
-    member = (
+    held = docs.select("text").mapInArrow(_postings(k, percent, terms, slices), "term long, c1 long, part int").repartition("term", "part").dropDuplicates(["term", "part", "c1"])
+    w = Window.partitionBy("term", "part")  # one shingle that is not common, or a slice of a common one
+    spread = (
         held.withColumn("m", F.count("*").over(w))
-        .withColumn("g", F.sum(F.xxhash64("c1").bitwiseAND(F.lit((1 << 40) - 1))).over(w))
+        .withColumn("g1", F.sum(F.xxhash64("c1").bitwiseAND(F.lit((1 << 40) - 1))).over(w))
         .withColumn("g2", F.sum(F.xxhash64("c1", F.lit(5)).bitwiseAND(F.lit((1 << 40) - 1))).over(w))
-        .where("m > 1")
-        .select(F.xxhash64("g", "g2").alias("g"), "m", "c1")
-        .dropDuplicates()
+        .where("m > 1 or part > 0")
     )
+    spread = scratch.save(spread, "spread")
+    slices_of = spread.where("part > 0").groupBy("term", "part").agg(*(F.first(c).alias(c) for c in ("m", "g1", "g2")))
+    whole = scratch.save(slices_of.groupBy("term").agg(*(F.sum(c).alias(c) for c in ("m", "g1", "g2"))).where("m > 1"), "whole")
+    spread = spread.where("part = 0").union(spread.where("part > 0").drop("m", "g1", "g2").join(F.broadcast(whole), "term").select(*spread.columns))  # at most order_terms rows
+    member = spread.select(F.xxhash64("g1", "g2").alias("g"), "m", "c1").dropDuplicates()
     member = scratch.save(member, "member")
 
     wanted = member.select("c1").distinct()
-    sig = scan.where("term is null and n > 0").select("c1", "n", "bits").join(wanted, "c1", "left_semi").dropDuplicates(["c1"])
-    grouped = _tiled(member, F.ceil(F.col("m") / tile_rows).cast("long")).join(sig, "c1").select(*_GROUP, "c1", "n", "bits")
+    # By c1 alone: two classes that share it are both looked at.
+    sig = scan.where("term is null and n > 0").select(*_KEY, "n", "bits").join(wanted, "c1", "left_semi").dropDuplicates(_KEY)
+    grouped = _tiled(member, F.ceil(F.col("m") / tile_rows).cast("long")).join(sig, "c1").select(*_GROUP, *_KEY, "n", "bits")
     grouped = grouped.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
-    part = scratch.save(grouped.mapInArrow(_candidates(percent), "g long, m long, c1 long").dropDuplicates(), "part")
+    part = scratch.save(grouped.mapInArrow(_candidates(percent), "g long, m long, c1 long, c2 long").dropDuplicates(), "part")
     part = scratch.save(_without_subsets(part), "largest")
     # A class is fetched by the key of one of its rows (id and text), so that null and repeated ids lose nothing.
     row_key = F.xxhash64("digest", "doc_id")
-    held_by = rows.select("c1", "n", row_key.alias("row_key")).join(part.select("c1").distinct(), "c1", "left_semi").groupBy("c1", "row_key").agg(F.max("n").alias("n"), F.count("*").alias("same"))
-    members_n = held_by.groupBy("c1").agg(F.max("n").alias("n"), F.min(F.struct("row_key", "same")).alias("rep")).select("c1", "n", "rep.row_key", "rep.same")
+    held_by = rows.select(*_KEY, "n", row_key.alias("row_key")).join(part.select(*_KEY).distinct(), _KEY, "left_semi").groupBy(*_KEY, "row_key").agg(F.max("n").alias("n"), F.count("*").alias("same"))
+    members_n = held_by.groupBy(*_KEY).agg(F.max("n").alias("n"), F.min(F.struct("row_key", "same")).alias("rep")).select(*_KEY, "n", "rep.row_key", "rep.same")
     members_n = scratch.save(members_n, "reps")
     keys = members_n.select("row_key").distinct()
     chosen = F.broadcast(keys) if keys.count() <= broadcast_ids else keys
-    sets = docs.withColumn("row_key", row_key).join(chosen, "row_key", "left_semi").select("text").mapInArrow(_sets(k), "c1 long, shingles binary")
+    sets = docs.withColumn("row_key", row_key).join(chosen, "row_key", "left_semi").select("text").mapInArrow(_sets(k), "c1 long, c2 long, shingles binary, others binary")
     if members_n.where("same > 1").limit(1).count():  # whole rows are repeated
-        sets = sets.dropDuplicates(["c1"])
-    heavy = part.join(members_n.select("c1", "n"), "c1").groupBy("g", "m").agg(F.sum("n").alias("load"))
+        sets = sets.dropDuplicates(_KEY)
+    heavy = part.join(members_n.select(*_KEY, "n"), _KEY).groupBy("g", "m").agg(F.sum("n").alias("load"))
     tiled = _tiled(part.join(heavy, ["g", "m"]), F.greatest(F.ceil(F.col("m") / tile_rows), F.ceil(F.col("load") / tile_shingles)).cast("long"))
-    tiled = tiled.join(sets, "c1").select(*_GROUP, "c1", "shingles").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
-    links = scratch.save(tiled.mapInArrow(_links(percent), "a long, b long").where("a <> b").dropDuplicates(), "links")
-    scratch.drop(member, part, members_n)
+    tiled = tiled.join(sets, _KEY).select(*_GROUP, *_KEY, "shingles", "others").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+    links = scratch.save(tiled.mapInArrow(_links(percent), _LINKS).dropDuplicates(), "links")
+    scratch.drop(member, part, members_n, whole)
 
-    label = components(links, scratch)
-    classes = rows.where("n > 0").groupBy("c1").agg(F.min("doc_id").alias("least"))
-    classes = classes.join(label.withColumnRenamed("node", "c1"), "c1", "left").withColumn("label", F.coalesce("label", "c1"))
+    label = components(links, scratch).select("node.c1", "node.c2", "label")
+    classes = rows.where("n > 0").groupBy(*_KEY).agg(F.min("doc_id").alias("least"))
+    classes = classes.join(label, _KEY, "left").withColumn("label", F.coalesce("label", F.struct(*_KEY)))
     lowest = classes.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = scratch.save(classes.join(lowest, "label").select("c1", "component_id", "label"), "named")
-    out = rows.join(named, "c1", "left")
+    named = scratch.save(classes.join(lowest, "label").select(*_KEY, "component_id", "label"), "named")
+    out = rows.join(named.hint("merge"), _KEY, "left")
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("c1")).alias("class_key"),
+        F.when(F.col("n") > 0, F.struct(*_KEY)).alias("class_key"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         *([F.when(F.col("n") > 0, F.col("label")).alias("component_key"), "digest"] if with_keys else []),
     )
@@ -428,18 +449,17 @@ def jaccard_classes(
 
 def keep_one_of_component(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of docs, all columns, without those that link with a row that stays. Of each component one row stays: the smallest
-    id (nulls last), then the smallest text digest; rows are told apart by id and text. Rows without shingles all stay."""
+    id (nulls last), then the smallest text digest; rows are told apart by id and text. Rows without shingles all stay.
+    Columns of any name pass through."""
     scratch = Scratch(docs.sparkSession, "near")
+    ident, text = fresh(docs, "_id", "_text")
     found = jaccard_classes(docs, id_col=id_col, text_col=text_col, with_keys=True).where("component_key is not null")
-    pairs = scratch.save(found.groupBy("component_key", F.col("doc_id").alias("_id"), F.col("digest").alias("_text")).agg(F.count("*").alias("_n")), "pairs")
-    order = F.struct(F.col("_id").isNull().alias("none"), "_id", "_text")
-    best = pairs.groupBy("component_key").agg(F.min(order).alias("best"), F.sum("_n").alias("size")).where("size > 1")
-    pairs = scratch.save(pairs.join(best, "component_key").select("_id", "_text", "_n", (F.col("_id").eqNullSafe(F.col("best._id")) & (F.col("_text") == F.col("best._text"))).alias("stays")), "marked")
-    keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_text": _digest(text_col)})
-    left = without(keyed, scratch.save(pairs.where("not stays").select("_id", "_text"), "gone"), ["_id", "_text"])
-    repeats = scratch.save(pairs.where("stays and _n > 1").select("_id", "_text"), "repeats")
-    if repeats.limit(1).count():
-        same = F.col("k._id").eqNullSafe(F.col("r._id")) & (F.col("k._text") == F.col("r._text"))
-        once = left.alias("k").join(repeats.alias("r"), same, "left_semi").dropDuplicates(["_id", "_text"])
-        left = without(left, repeats, ["_id", "_text"]).unionByName(once)
-    return left.select(*docs.columns)
+    pairs = scratch.save(found.groupBy("component_key", F.col("doc_id").alias(ident), F.col("digest").alias(text)).agg(F.count("*").alias("times")), "pairs")
+    order = F.struct(F.col(ident).isNull().alias("none"), F.col(ident).alias("id"), F.col(text).alias("text"))
+    best = scratch.save(pairs.groupBy("component_key").agg(F.min(order).alias("best"), F.sum("times").alias("size")).where("size > 1"), "best")
+    stays = F.col(ident).eqNullSafe(F.col("best.id")) & (F.col(text) == F.col("best.text"))
+    pairs = scratch.save(pairs.join(best.hint("merge"), "component_key").select(ident, text, "times", stays.alias("stays")), "marked")
+    keyed = docs.withColumns({ident: F.col(id_col).cast("long"), text: _digest(text_col)})
+    gone = scratch.save(pairs.where("not stays").select(ident, text), "gone")
+    repeats = scratch.save(pairs.where("stays and times > 1").select(ident, text), "repeats")
+    return once_each(without(keyed, gone, [ident, text]), repeats, [ident, text]).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -5,10 +5,12 @@ Expectation-maximisation over the vote patterns (counted over all rows; the
 number of patterns depends on the labellers alone) estimates how each labeller
 votes on good and on bad texts, without any given label, and so the posterior of every
 pattern. A linear scorer over hashed word endings, word shapes and
-repeats is then fitted to the posteriors of at most ``fit_rows`` texts, the
-first by a hash of the id, and scores all texts. A text stays when its score is ``keep_from`` or more.
+repeats is then fitted to the posteriors of at most ``fit_rows`` texts, one for each of the
+first ids by a hash, none longer than ``fit_chars``, and scores all texts. A text stays when its score is ``keep_from`` or more.
 
-Null, empty and blank texts score 0 and go. Repeated rows score alike.
+Null, empty and blank texts score 0 and go. Repeated rows score alike; a score equal to ``keep_from`` stays; of several texts
+under one sampled id the first by digest is used. Very long texts are scored whole. An empty table gives no rows. Other columns, whatever
+their names, are not read; ``keep_good`` passes them through.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytehash import BYTE_CODE, document_chunks, mix, prefix, span_hash, word_hashes
+from .bytehash import document_chunks, ending_keys, mix, word_hashes
 from .linear import Rows, fit_soft, sigmoid
 
 #: A labeller says bad from the first value on, good up to the second, nothing between.
@@ -37,10 +39,13 @@ LABELLERS: dict[str, tuple[float, float]] = {
 BAD, GOOD, NONE = 1, 2, 0
 
 
-def measures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(documents x labellers, words of each document)."""
+Words = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def measures(data: np.ndarray, offsets: np.ndarray, found: Words | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(documents x labellers, words of each document); found is word_hashes where that is known already."""
     n_docs = len(offsets) - 1
-    h, s, e, doc = word_hashes(data, offsets)
+    h, s, e, doc = found or word_hashes(data, offsets)
     words = np.bincount(doc, minlength=n_docs)
     owner = np.repeat(np.arange(n_docs), np.diff(offsets))
     upper, lower = (data >= 65) & (data <= 90), (data >= 97) & (data <= 122)
@@ -73,9 +78,9 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, words
 
 
-def votes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def votes(data: np.ndarray, offsets: np.ndarray, found: Words | None = None) -> np.ndarray:
     """Vote pattern of each document: one base-3 digit a labeller."""
-    value, words = measures(data, offsets)
+    value, words = measures(data, offsets, found)
     code = np.zeros(len(words), np.int64)
     for j, (bad, good) in enumerate(LABELLERS.values()):
         v = np.where(value[:, j] >= bad, BAD, np.where(value[:, j] <= good, GOOD, NONE))
@@ -116,10 +121,10 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, *, rounds
     return post, theta, good
 
 
-def hashed_features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hashed_features(data: np.ndarray, offsets: np.ndarray, bits: int, found: Words | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, feature, value): the share of a document's words with each ending, shape, word start and repeat."""
     n_docs = len(offsets) - 1
-    h, s, e, doc = word_hashes(data, offsets)
+    h, s, e, doc = found or word_hashes(data, offsets)
     if not len(h):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(0)
@@ -130,7 +135,6 @@ def hashed_features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[n
     kind[65:91] = 2
     kind[48:58] = 3
     shape = kind[data]
-    pre = prefix(BYTE_CODE[data])
     turn = np.ones(len(data), bool)
     turn[1:] = shape[1:] != shape[:-1]
     turns = np.concatenate([[0], np.cumsum(turn)])
@@ -139,8 +143,8 @@ def hashed_features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[n
     key = lambda x, salt: (x ^ (np.uint64(salt) * np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(64 - bits)
     with np.errstate(over="ignore"):
         feats = [
-            key(span_hash(pre, np.maximum(s, e - 2), e), 1),
-            key(span_hash(pre, np.maximum(s, e - 3), e), 2),
+            key(ending_keys(data, s, e, 2), 1),
+            key(ending_keys(data, s, e, 3), 2),
             key(mix(shape[s].astype(np.uint64) * np.uint64(64) + shape[e - 1] * np.uint64(8) + np.minimum(turns[e] - turns[s], 7).astype(np.uint64)), 3),
             key(mix(again.astype(np.uint64) + np.uint64(77)), 4),
             key(mix(np.minimum(e - s, 20).astype(np.uint64) + np.uint64(999)), 5),
@@ -158,18 +162,20 @@ _VOTES = "doc_id long, pattern long, n_words long"
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, offsets in document_chunks(batch.column("text")):
-            words = np.bincount(word_hashes(data, offsets)[3], minlength=hi - lo)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(votes(data, offsets)), pa.array(words.astype(np.int64))], names=["doc_id", "pattern", "n_words"])
+            found = word_hashes(data, offsets)
+            words = np.bincount(found[3], minlength=hi - lo)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(votes(data, offsets, found)), pa.array(words.astype(np.int64))], names=["doc_id", "pattern", "n_words"])
 
 
 def _features(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in document_chunks(batch.column("text")):
-                doc, feat, value = hashed_features(data, offsets, bits)
+                found = word_hashes(data, offsets)
+                doc, feat, value = hashed_features(data, offsets, bits, found)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=hi - lo))]).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (feat.astype(np.int32), value)]
-                yield pa.RecordBatch.from_arrays([batch.column("key").slice(lo, hi - lo), pa.array(votes(data, offsets)), *lists], names=["key", "pattern", "features", "shares"])
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(lo, hi - lo), pa.array(votes(data, offsets, found)), *lists], names=["key", "pattern", "features", "shares"])
 
     return run
 
@@ -179,12 +185,13 @@ def _score(model, bits: int):
         codes, post, weight = model.value
         for batch in batches:
             for lo, hi, data, offsets in document_chunks(batch.column("text")):
-                doc, feat, share = hashed_features(data, offsets, bits)
+                found = word_hashes(data, offsets)
+                doc, feat, share = hashed_features(data, offsets, bits, found)
                 z = np.bincount(doc, weight[feat] * share, minlength=hi - lo) + weight[-1]
                 has = np.bincount(doc, minlength=hi - lo) > 0
-                pattern = votes(data, offsets)
+                pattern = votes(data, offsets, found)
                 at = np.minimum(np.searchsorted(codes, pattern), len(codes) - 1)
-                words = np.bincount(word_hashes(data, offsets)[3], minlength=hi - lo)
+                words = np.bincount(found[3], minlength=hi - lo)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(lo, hi - lo), pa.array(words.astype(np.int64)), pa.array(pattern), pa.array(post[at]), pa.array(np.where(has, sigmoid(z), 0.0))],
                     names=["doc_id", "n_words", "pattern", "posterior", "score"],
@@ -193,7 +200,7 @@ def _score(model, bits: int):
     return run
 
 
-def train(docs: DataFrame, *, bits: int = 16, fit_rows: int = 8000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def train(docs: DataFrame, *, bits: int = 16, fit_rows: int = 8000, fit_chars: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(patterns, posterior of good, scorer weights, P(vote | class))."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counted = texts.mapInArrow(_vote, _VOTES).where("n_words > 0").groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()  # 3**labellers rows at most
@@ -202,8 +209,9 @@ def train(docs: DataFrame, *, bits: int = 16, fit_rows: int = 8000) -> tuple[np.
     codes, counts = np.array([r["pattern"] for r in counted]), np.array([r["n"] for r in counted], float)
     post, theta, _ = expectation_maximisation(pattern_votes(codes, len(LABELLERS)), counts)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64(F.col("doc_id"), F.lit(3)), "doc_id").limit(fit_rows)
-    sample = texts.join(F.broadcast(ids), "doc_id").select("text", F.xxhash64("text").alias("key"))
-    sample = sample.mapInArrow(_features(bits), "key long, pattern long, features array<int>, shares array<double>").toArrow().sort_by("key")  # fit_rows texts, in an order of their own
+    sample = texts.join(F.broadcast(ids), "doc_id").where(F.length("text") <= fit_chars).withColumn("key", F.xxhash64("text"))
+    sample = sample.groupBy("doc_id").agg(F.min(F.struct("key", "text")).alias("one")).select("one.text", "one.key")  # fit_rows texts of fit_chars at most
+    sample = sample.mapInArrow(_features(bits), "key long, pattern long, features array<int>, shares array<double>").toArrow().sort_by("key")  # in an order of its own
     if not sample.num_rows:
         return codes, post, np.zeros((1 << bits) + 1), theta
     feats, shares = sample["features"].combine_chunks(), sample["shares"].combine_chunks()

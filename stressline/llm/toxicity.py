@@ -7,9 +7,11 @@ class-prior-corrected risk, whose negative part is kept from going below zero.
 
 Labels are read only for training rows (crc32 of the id as text, modulo ``folds``, is not
 ``held_out``); lang, source, doc_id and labels are no inputs of a score. The fit
-uses at most ``positives`` toxic and ``unlabelled`` other rows, the first by a hash of the id; scores
-cover whole texts of all rows. A feature gets a weight if at least ``least`` positives have it and their share
-exceeds the usual one by ``z_score`` standard errors. Null and empty texts get the bias; without labels every score is the prior.
+uses at most ``positives`` toxic and ``unlabelled`` other texts, one for each of the first ids by a hash (of several texts the first by
+digest), none longer than ``fit_chars``; scores cover whole texts of all rows. A feature gets a weight if at least ``least`` positives have it and their share
+exceeds the usual one by ``z_score`` standard errors. Null, empty and blank texts get the bias; without labels every score is the prior. A score equal to the
+threshold is predicted toxic; repeated rows score alike; very long texts are scored whole; an empty table gives no rows. Of a labelled id
+that is repeated any toxic row counts. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytehash import LOWER_CODE, document_chunks, prefix, span_hash, word_spans
+from .bytehash import LOWER, document_chunks, word_keys, word_prefix, word_spans
 from .linear import Rows, fit_nnpu, sigmoid
 
 BEGINNINGS = (4, 6, 8)
@@ -36,13 +38,14 @@ def token_features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np
     letter[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = False
     for _ in range(4):
         e = np.where((e - s > 1) & ~letter[data[e - 1]], e - 1, e)
-    pre = prefix(LOWER_CODE[data])
+    low = LOWER[data]
+    pre = word_prefix(low, s)
     shift = np.uint64(64 - bits)
-    docs, feats = [doc], [span_hash(pre, s, e) >> shift]
+    docs, feats = [doc], [word_keys(low, pre, s, e) >> shift]
     for n in BEGINNINGS:
         long = e - s > n
         docs.append(doc[long])
-        feats.append(span_hash(pre, s[long], s[long] + n) >> shift)
+        feats.append(word_keys(low, pre, s[long], s[long] + n) >> shift)
     return np.concatenate(docs), np.concatenate(feats).astype(np.int64)
 
 
@@ -96,7 +99,7 @@ def _rows(table: pa.Table, known: np.ndarray) -> Rows:
     return Rows(flat[keep].astype(np.int64), shares.flatten().to_numpy()[keep].astype(float), upto)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, folds: int = 4, held_out: int = 2, bits: int = 18, positives: int = 3000, unlabelled: int = 9000, least: int = 3, z_score: float = 4.0) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, *, folds: int = 4, held_out: int = 2, bits: int = 18, positives: int = 3000, unlabelled: int = 9000, least: int = 3, z_score: float = 4.0, fit_chars: int = 20_000) -> np.ndarray:
     """Weights of the hashed features and, last, the bias."""
     seen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold_of(F.col("doc_id"), folds) != held_out))
     n, n_toxic = seen.agg(F.count("*"), F.sum("toxic")).first()
@@ -110,7 +113,8 @@ def train(docs: DataFrame, labels: DataFrame, *, folds: int = 4, held_out: int =
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id"), folds) != held_out)).distinct()
     u = ids.orderBy(F.xxhash64(F.col("doc_id"), F.lit(8)), "doc_id").limit(unlabelled).withColumn("toxic", F.lit(0))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = texts.join(F.broadcast(p.union(u)), "doc_id").select("toxic", "text", F.xxhash64("text").alias("key"))  # positives + unlabelled ids at most
+    sample = texts.join(F.broadcast(p.union(u)), "doc_id").where(F.length("text") <= fit_chars).withColumn("key", F.xxhash64("text"))  # positives + unlabelled ids at most
+    sample = sample.groupBy("doc_id", "toxic").agg(F.min(F.struct("key", "text")).alias("one")).select("toxic", "one.text", "one.key")
     table = sample.mapInArrow(_feature_sets(bits), "key long, toxic int, features array<int>, shares array<float>").toArrow().sort_by("key")
     toxic = table["toxic"].to_numpy() == 1
     pos, unl = table.filter(pa.array(toxic)), table.filter(pa.array(~toxic))
