@@ -18,7 +18,9 @@ Offsets in a source are prefix sums in two levels, over about sqrt(rows) buckets
 a hot source is spread over tasks; draws are made in chunks for the same reason. All is a
 function of the rows and the seed: reruns agree.
 
-Null and blank texts have no words and are not taken; repeated rows are separate documents.
+Null, empty and blank texts have no words and are not taken; repeated rows are separate documents, told apart by a running
+number, so ties cannot matter. A very long text spans many blocks and is cut in place. An empty table gives no rows. Other columns, whatever their names, are not read
+(``mixed_texts`` passes them through).
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import Scratch
+from .storage import Scratch, fresh
 
 WORD = r"[^\x20\x09-\x0D]+"
 _TOKEN = r"(?:^[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
@@ -120,15 +122,18 @@ def mix_sources(
     epochs = plan.select("source_key", "blocks", "missing", F.explode(F.sequence(F.lit(0).cast("long"), "epoch")).alias("e"), "epoch", "draws", "over")
     last = F.col("e") == F.col("epoch")
     epochs = epochs.select("source_key", "blocks", "missing", F.col("e").alias("epoch"), F.when(last, F.col("draws")).otherwise(F.col("blocks")).alias("draws"), F.when(last, F.col("over")).otherwise(F.lit(0)).alias("over")).where("draws > 0")
-    epochs = epochs.withColumn("all_draws", F.sum("draws").over(Window.partitionBy(F.lit(0))))  # at most three rows a source
-    chunk = 1 << 14
-    slots = epochs.withColumn("chunk", F.explode(F.expr(f"sequence(0L, (draws - 1) div {chunk}L)"))).repartition("source_key", "epoch", "chunk")
+    epochs = scratch.save(epochs, "epochs")  # at most three rows a source
+    every = epochs.agg(F.sum("draws")).first()[0] or 0
+    chunk = 1 << 12
+    # A number of its own, as the few rows that are dealt become very many draws.
+    tasks = max(1, min(-(-every // chunk), max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), every >> 20)))
+    slots = epochs.withColumn("chunk", F.explode(F.expr(f"sequence(0L, (draws - 1) div {chunk}L)"))).repartition(tasks, "source_key", "epoch", "chunk")
     slots = slots.withColumn("draw", F.explode(F.expr(f"sequence(chunk * {chunk}L, least(draws, (chunk + 1) * {chunk}L) - 1)")))
     key = [F.col("source_key"), F.col("epoch")]
     slots = slots.withColumn("block", permuted(F.col("draw"), F.col("blocks"), key, rounds, seed))
     length = b - F.when(F.col("block") == F.col("blocks") - 1, F.col("missing")).otherwise(F.lit(0))
     take = length - F.when(F.col("draw") == F.col("draws") - 1, F.col("over")).otherwise(F.lit(0))
-    shards = F.greatest(F.lit(1), F.ceil(F.col("all_draws") / shard_blocks))
+    shards = F.greatest(F.lit(1), F.lit(-(-every // shard_blocks)))
     place = F.xxhash64(F.lit(seed + 2), F.col("source_key"), F.col("epoch"), F.col("draw"))
     slots = slots.select("source_key", "epoch", "block", take.alias("take"), place.alias("place"), F.pmod(F.xxhash64(place), shards).alias("shard"))
 
@@ -150,17 +155,23 @@ def mix_digest(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix as rows of docs, a row for each segment, its text cut to the words taken (white space kept)."""
+    """The mix as rows of docs, a row for each segment, its text cut to the words taken (white space kept). Columns of any name pass through."""
     documents, segments = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    parts = segments.join(documents.select("doc_id", "digest", "copy", "source_key", "at", "size"), ["source_key", "at"])
-    parts = parts.where("size > 0").groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.collect_list(F.struct("copy", "first_word", "words", "epoch")).alias("_parts"))  # twice the blocks of a text at most
+    ident, digest, copy, parts_, words = fresh(docs, "_id", "_digest", "_copy", "_parts", "_words")
+    parts = segments.join(documents.select("doc_id", "digest", "copy", "source_key", "at", "size"), ["source_key", "at"]).where("size > 0")
+    parts = parts.groupBy(F.col("doc_id").alias("part_id"), F.col("digest").alias("part_digest"), F.col("copy").alias("part_copy")).agg(
+        F.sort_array(F.collect_list(F.struct("first_word", "words", "epoch"))).alias(parts_)
+    )  # twice the blocks of a text at most
     names = docs.columns
-    keyed = docs.withColumn("_digest", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    both = keyed.join(parts, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (keyed["_digest"] == parts["_digest"])).drop(parts["_digest"])
-    both = both.withColumn("_copy", F.row_number().over(Window.partitionBy("_id", "_digest").orderBy(_source_key(F.col(source_col).cast("string")))))
-    both = both.withColumn("_words", F.regexp_extract_all(F.col(text_col), F.lit(_TOKEN), 0)).withColumn("_p", F.explode(F.array_sort("_parts"))).where("_p.copy = _copy")
-    piece = F.array_join(F.slice("_words", F.col("_p.first_word").cast("int") + 1, F.col("_p.words").cast("int")), "")
-    out = both.withColumn(text_col, piece)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+    keyed = docs.withColumns({ident: F.col(id_col).cast("long"), digest: F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+    keyed = keyed.withColumn(copy, F.row_number().over(Window.partitionBy(ident, digest).orderBy(_source_key(F.col(source_col).cast("string")))))
+    same = F.col(f"k.{ident}").eqNullSafe(F.col("p.part_id")) & (F.col(f"k.{digest}") == F.col("p.part_digest")) & (F.col(f"k.{copy}") == F.col("p.part_copy"))
+    both = keyed.alias("k").join(parts.alias("p"), same).select("k.*", f"p.{parts_}")
+    # The word array is bound once for all pieces of a text, and not copied beside each of them.
+    taken = F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(_TOKEN), 0)
+    piece_of = lambda w: lambda p: F.array_join(F.slice(w, p["first_word"].cast("int") + 1, p["words"].cast("int")), "")
+    both = both.withColumn(words, F.transform(F.array(taken), lambda w: F.transform(parts_, piece_of(w)))[0])
+    both = both.select(*(F.col(f"`{c}`") for c in names if c != text_col), F.explode(words).alias(words))
+    piece = F.col(words).cast(docs.schema[text_col].dataType).alias(text_col)
+    count = {c: F.length(words).cast(docs.schema[c].dataType).alias(c) for c in names if c == "n_chars"}
+    return both.select(*(piece if c == text_col else count.get(c, F.col(f"`{c}`")) for c in names))
