@@ -9,19 +9,22 @@ executor can read again (``export_archives`` joins them into files).
 Reading: every segment is unpacked and parsed; response payloads are hashed again and
 compared with their header. A segment's index entries, sorted by (URL key, time, page), are one run.
 
-Merging: entries are cut into ranges of (URL key, time, page, run), so a hot URL is cut as well;
-in each range a loser tree merges the runs. Ranges follow one another, so the
+Merging: the entries are written once. Their number gives the number of ranges of (URL key, time, page, run, offset), about
+``range_rows`` entries each (index entries without payloads, which is what a task holds), so a hot URL is cut as well. In a range the
+runs lie one after another in rising order and a loser tree merges them. Ranges follow one another, so the
 capture histories are in global order; ``merge_part`` and ``merge_place`` give it.
 
 Null html is the empty payload, a null url the empty one. Rows with a null page_id
 are written last among their equals and are revisits where another page has their
-payload. A page_id that is repeated with the same payload and is the largest gives responses only.
+payload; of ties in URL and time the smaller page_id comes first. A page_id that is repeated with the same payload and is the largest gives responses only.
+Very long payloads are one record each. Other columns, whatever their names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 import uuid
 import zlib
@@ -49,9 +52,13 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + ")" + (rest or "/")
 
 
+#: Seconds to the end of the year 9999, the last that a WARC date can name.
+_LAST = int((datetime(9999, 12, 31, 23, 59, 59, tzinfo=timezone.utc) - _EPOCH).total_seconds())
+
+
 def capture_time(page_id: int | None) -> datetime:
-    """Pages carry no time; one second per id stands for it."""
-    return _EPOCH + timedelta(seconds=(page_id or 0) % 1_000_000_000)
+    """Pages carry no time; one second per id stands for it. Ids beyond the year 9999 get its last second; the page orders them."""
+    return _EPOCH + timedelta(seconds=min(max(page_id or 0, 0), _LAST))
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -191,16 +198,26 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _ENTRY_KINDS, strict=True)], names=_ENTRY_NAMES)
 
 
+def _rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+    return zip(*(batch.column(c).to_pylist() for c in _ENTRY_NAMES), strict=True)
+
+
+def _batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _ENTRY_KINDS, strict=True)], names=_ENTRY_NAMES)
+
+
+def merge_runs(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """k-way merge of rows that come as rising runs, one after another; a run is told by its number, field 7."""
+    runs = [list(run) for _, run in itertools.groupby(rows, key=lambda x: x[7])]  # one range of bounded size
+    yield from LoserTree([iter(r) for r in runs], _sort_key)
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
-    runs: dict[int, list[tuple]] = {}
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in _ENTRY_NAMES), strict=True):
-            runs.setdefault(row[7], []).append(row)
-    merged = iter(LoserTree([iter(r) for r in runs.values()], _sort_key))
+    merged = merge_runs(row for batch in batches for row in _rows_of(batch))
     place = 0
-    while rows := [row for _, row in zip(range(4096), merged, strict=False)]:
-        cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _ENTRY_KINDS, strict=True)]
+    while rows := list(itertools.islice(merged, 4096)):
+        cols = _batch_of(rows).columns
         yield pa.RecordBatch.from_arrays([*cols, pa.array([part] * len(rows)), pa.array(range(place, place + len(rows)))], names=[*_ENTRY_NAMES, "merge_part", "merge_place"])
         place += len(rows)
 
@@ -220,20 +237,24 @@ def write_archives(pages: DataFrame, scratch: Scratch, *, least: int = 1000, seg
     return scratch.save(named.select("page_id", "url", "payload", "digest", refers.alias("refers_to")).mapInArrow(_write(segment_bytes), _SEGMENT), "archives")
 
 
-def merge_captures(archives: DataFrame) -> DataFrame:
+def read_entries(archives: DataFrame) -> DataFrame:
+    """The index entries of all segments; every record is unpacked, parsed and, where it has a payload, hashed again."""
+    return archives.select("archive", "segment", "content").mapInArrow(_read, _ENTRY)
+
+
+def merge_captures(archives: DataFrame, scratch: Scratch, *, range_rows: int = 1 << 17) -> DataFrame:
     """All captures in (URL key, time, page) order: the index entries with merge_part and merge_place."""
-    spark = archives.sparkSession
     order = ["url_key", "captured", "page_id", "run", "record_offset"]
-    entries = archives.select("archive", "segment", "content").mapInArrow(_read, _ENTRY)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    runs = entries.repartitionByRange(parts, *order).sortWithinPartitions("run", *order[:3], "record_offset")
+    entries = scratch.save(read_entries(archives), "entries")
+    least = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = entries.repartitionByRange(max(least, entries.count() // range_rows + 1), *order).sortWithinPartitions("run", *order[:3], "record_offset")
     return runs.mapInArrow(_merge, _ENTRY + ", merge_part long, merge_place long")
 
 
 def capture_histories(pages: DataFrame, **options) -> DataFrame:
     """Pages through archives and back: page_id, payload_bytes, payload_digest, record_type, refers_to, and the index columns."""
     scratch = Scratch(pages.sparkSession, "warc")
-    return merge_captures(write_archives(pages, scratch, **options))
+    return merge_captures(write_archives(pages, scratch, **options), scratch)
 
 
 def export_archives(archives: DataFrame, folder: str) -> list[str]:
@@ -246,3 +267,11 @@ def export_archives(archives: DataFrame, folder: str) -> list[str]:
         if path not in paths:
             paths.append(path)
     return paths
+
+
+#: The digest columns of capture_histories.
+ORACLE_SQL = """
+with p as (select page_id, coalesce(html, '') html from pages), q as (select *, strlen(html) n from p),
+f as (select *, case when n >= 1000 then max(page_id) over (partition by html) end last_ from q)
+select page_id, cast(n as bigint) payload_bytes, sha1(html) payload_digest, case when last_ is not null and last_ is distinct from page_id then 'revisit' else 'response' end record_type, case when last_ is distinct from page_id then last_ end refers_to from f
+"""
