@@ -6,8 +6,11 @@ read back, and a short-time Fourier transform of the samples gives the strongest
 each band and frame. Pairs of such peaks, a few frames apart, are packed into
 long integers of time code and hash: the fingerprint array.
 
+The files are written as a table in the shared folder and read back from it; the features come from the stored bytes.
 Each document is transformed alone, so equal texts give equal values whatever stands
-beside them. Null is the empty text: one unit of zeros. Every row gives one row.
+beside them; of equal peaks in a band the lowest bin counts. Null is the empty text: one unit of zeros. Very long texts are
+transformed in blocks of frames. Every row gives one row, repeated rows too; an empty table gives none. Other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import string_buffers
+from .storage import Scratch
 
 RATE = 8000
 FRAME, HOP, REACH = 1024, 512, 3
@@ -53,14 +57,20 @@ def read_wav(media: bytes) -> bytes:
         return w.readframes(w.getnframes())
 
 
-def peaks(payload: bytes) -> np.ndarray:
-    """Strongest bin of each frame (rows) and band (columns)."""
-    x = np.frombuffer(payload, np.uint8).astype(np.float64) - 128.0
+def peaks(payload: bytes, frames_at_once: int = 1024) -> np.ndarray:
+    """Strongest bin (the lowest of equal ones) of each frame (rows) and band (columns), block by block of frames."""
+    x = np.frombuffer(payload, np.uint8)
     n = max(1, -(-max(0, len(x) - FRAME) // HOP) + 1)
-    x = np.concatenate([x, np.zeros((n - 1) * HOP + FRAME - len(x))])
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
-    power = np.abs(np.fft.rfft(frames * _WINDOW, axis=1)) ** 2
-    return np.stack([lo + power[:, lo:hi].argmax(axis=1) for lo, hi in zip(BANDS, BANDS[1:], strict=False)], axis=1)
+    out = np.empty((n, len(BANDS) - 1), np.int64)
+    for lo in range(0, n, frames_at_once):
+        hi = min(n, lo + frames_at_once)
+        part = x[lo * HOP : (hi - 1) * HOP + FRAME].astype(np.float64) - 128.0
+        part = np.concatenate([part, np.zeros((hi - 1 - lo) * HOP + FRAME - len(part))])
+        frames = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP]
+        power = np.abs(np.fft.rfft(frames * _WINDOW, axis=1)) ** 2
+        for j, (a, b) in enumerate(zip(BANDS, BANDS[1:], strict=False)):
+            out[lo:hi, j] = a + power[:, a:b].argmax(axis=1)
+    return out
 
 
 def fingerprint(peak: np.ndarray) -> np.ndarray:
@@ -91,10 +101,23 @@ def matches(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return int(shift[count.argmax()]), int(count.max())
 
 
+_STORED = "doc_id long, n_bytes long, media binary"
 _COLUMNS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, fingerprint array<long>, media binary"
 
 
-def _media(unit: int, with_arrays: bool):
+def _store(unit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                data, offsets = string_buffers(part.column("text"))
+                media = [write_wav(pad(data[a:b].tobytes(), unit)) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+    return run
+
+
+def _features(with_media: bool):
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
     names = [c.split()[0] for c in _COLUMNS.split(", ")]
 
@@ -102,23 +125,32 @@ def _media(unit: int, with_arrays: bool):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                data, offsets = string_buffers(part.column("text"))
                 rows = []
-                for i, doc in enumerate(part.column("doc_id").to_pylist()):
-                    raw = data[offsets[i] : offsets[i + 1]].tobytes()
-                    media = write_wav(pad(raw, unit))
+                for doc, size, stored in zip(part.column("doc_id").to_pylist(), part.column("n_bytes").to_pylist(), part.column("media"), strict=True):
+                    media = stored.as_py()
                     payload = read_wav(media)
                     peak = peaks(payload)
                     code = fingerprint(peak)
                     feature = f"frames={len(peak)};pairs={len(code)};sha256={hashlib.sha256(code.astype('<i8').tobytes()).hexdigest()}"
-                    rows.append((doc, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(peak), code if with_arrays else None, media if with_arrays else None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    rows.append((doc, size, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(peak), code, media if with_media else None))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return run
 
 
-def media_columns(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", unit: int = 64, with_arrays: bool = True) -> DataFrame:
-    """The digest columns, and with_arrays the fingerprint and the stored file."""
+def store_media(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", unit: int = 64) -> DataFrame:
+    """doc_id, n_bytes and media: the table of WAV files, written in the shared folder."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = texts.mapInArrow(_media(unit, with_arrays), _COLUMNS)
-    return out if with_arrays else out.drop("fingerprint", "media")
+    return scratch.save(texts.mapInArrow(_store(unit), _STORED), "media")
+
+
+def media_features(stored: DataFrame, *, with_media: bool = True) -> DataFrame:
+    """The digest columns and the fingerprint of each stored file, and with_media the file."""
+    out = stored.mapInArrow(_features(with_media), _COLUMNS)
+    return out if with_media else out.drop("media")
+
+
+def media_columns(docs: DataFrame, *, with_media: bool = True, **options) -> DataFrame:
+    """Texts stored as WAV files and read back: the digest columns, the fingerprint array and, with_media, the file."""
+    return media_features(store_media(docs, Scratch(docs.sparkSession, "media"), **options), with_media=with_media)
