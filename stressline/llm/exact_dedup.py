@@ -3,13 +3,14 @@
 Texts are equal when they are identical after every character of
 ``[\\x20\\x09-\\x0D]`` is deleted; null counts as empty. Of equal texts the row with
 the most code points in the original text stays, then the smallest doc_id
-(nulls last), then the smallest original text.
-
-Rows are first merged by (hash, normalised bytes, code points): the bytes are part of
-the grouping key, so two texts with one hash stay apart, and the partial
-aggregate leaves one row of a hot group in each task. Only short rows (hash,
-digest, counts) move after that; the join that hands every document its group
-has the two plain exchanges that adaptive execution splits on a hot key.
+(nulls last), then the smallest digest of the original text. Empty and blank texts are one group.
+
+Rows are first merged by (hash, normalised bytes); the partial aggregate leaves one row
+of a hot group in each task. A hash with one normalised text names its group; where bytes of one
+hash differ (a collision) its rows meet their group by hash and bytes instead, so bytes decide in both
+cases. The merged table is written, so that the join which hands every document its group
+has two plain exchanges, and adaptive execution splits it on a hot key. Very long texts are moved once, like
+any other. Other columns, whatever their names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import Scratch, without
+from .storage import Scratch, fresh, once_each, without
 
 _SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
@@ -34,27 +35,36 @@ def content_hash(norm: Column) -> Column:
     return F.unhex(F.md5(norm.cast("binary")))
 
 
-def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hash_fn=content_hash) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256; one row per input row.
+def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hash_fn=content_hash, with_digest: bool = False) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256; one row per input row; where asked for, also digest (of the original text).
 
     One row of each group has kept set. Where the row that stays is repeated
-    (same doc_id, same code points), any one of the repeats is it."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("norm"), F.coalesce(F.length(F.col(text_col).cast("string")), F.lit(0)).alias("points"))
-    keyed = base.select("doc_id", "points", "norm", hash_fn(F.col("norm")).alias("h"), F.sha2(F.col("norm").cast("binary"), 256).alias("sha"))
-    merged = keyed.groupBy("h", "points", "norm").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
-    merged = merged.select("h", "points", "n", "doc_id", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"))
-    best = F.max(F.struct("points", F.col("doc_id").isNotNull().alias("has"), (-F.col("doc_id")).alias("neg")))
-    groups = merged.groupBy("h", "sha").agg(F.sum("n").alias("group_size"), best.alias("best"))
-    groups = groups.select("h", "sha", "group_size", (-F.col("best.neg")).alias("keep_id"), F.col("best.points").alias("keep_points"))
-    out = keyed.select("doc_id", "points", "h", "sha").join(groups, ["h", "sha"])
-    # Repeats of a row meet by digest and id, an exchange of its own, so that the join above can still be split.
-    nth = F.row_number().over(Window.partitionBy("sha", "doc_id", "points").orderBy("points"))
+    (same doc_id, same text), any one of the repeats is it."""
+    scratch = Scratch(docs.sparkSession, "exact")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("norm"), F.length(text).alias("points"), F.xxhash64(text).alias("digest"))
+    keyed = base.withColumn("h", hash_fn(F.col("norm")))
+    order = F.struct((-F.col("points")).alias("less"), F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    merged = keyed.groupBy("h", "norm").agg(F.count("*").alias("group_size"), F.min(order).alias("best"))
+    groups = scratch.save(merged.select("h", "group_size", "best"), "groups")
+    clash = scratch.save(groups.groupBy("h").count().where("count > 1").select("h"), "clash")  # hashes that several texts share
+    rows = keyed.withColumn("sha", F.sha2(F.col("norm").cast("binary"), 256))
+    short = rows.select("doc_id", "points", "digest", "h", "sha")
+    if clash.limit(1).count():
+        exact = scratch.save(merged.join(clash.hint("merge"), "h", "left_semi"), "exact")
+        out = short.join(groups.join(clash, "h", "left_anti"), "h").unionByName(rows.join(exact, ["h", "norm"]).drop("norm"))
+    else:
+        out = short.join(groups.hint("merge"), "h")
+    # Repeats of a row meet by its own digest and id, an exchange of its own, so that the join above can still be split.
+    nth = F.row_number().over(Window.partitionBy("sha", "doc_id", "digest").orderBy("points"))
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("digest") == F.col("best.digest")) & (F.col("points") == -F.col("best.less"))
     return out.withColumn("nth", nth).select(
         "doc_id",
-        "keep_id",
+        F.col("best.doc_id").alias("keep_id"),
         "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("keep_points")) & (F.col("nth") == 1)).alias("kept"),
+        (stays & (F.col("nth") == 1)).alias("kept"),
         F.col("sha").alias("text_sha256"),
+        *(["digest"] if with_digest else []),
     )
 
 
@@ -70,16 +80,13 @@ from d window w as (partition by norm order by length(text) desc, doc_id)
 
 
 def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of docs, all columns, without those that exact_groups does not keep. Of a kept row's
-    repeats (same id, same text up to white space) one stays."""
+    """Rows of docs, all columns, without those that exact_groups does not keep: rows are told apart by id and
+    text, and of wholly repeated ones one stays. Columns of any name pass through."""
     scratch = Scratch(docs.sparkSession, "exact")
-    found = scratch.save(exact_groups(docs, id_col=id_col, text_col=text_col), "groups").where("group_size > 1")
-    pairs = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_n"))
-    keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_sha": F.sha2(normalised(F.col(text_col)).cast("binary"), 256)})
-    left = without(keyed, scratch.save(pairs.where("not _kept").select("_id", "_sha"), "gone"), ["_id", "_sha"])
-    repeats = scratch.save(pairs.where("_kept and _n > 1").select("_id", "_sha"), "repeats")
-    if repeats.limit(1).count():
-        same = [F.col(f"k.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("_id", "_sha")]
-        once = left.alias("k").join(repeats.alias("r"), same[0] & same[1], "left_semi").dropDuplicates(["_id", "_sha"])
-        left = without(left, repeats, ["_id", "_sha"]).unionByName(once)
-    return left.select(*docs.columns)
+    ident, digest = fresh(docs, "_id", "_digest")
+    found = scratch.save(exact_groups(docs, id_col=id_col, text_col=text_col, with_digest=True), "found").where("group_size > 1")
+    pairs = found.groupBy(F.col("doc_id").alias(ident), F.col("digest").alias(digest)).agg(F.max("kept").alias("stays"), F.count("*").alias("times"))
+    keyed = docs.withColumns({ident: F.col(id_col).cast("long"), digest: F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+    gone = scratch.save(pairs.where("not stays").select(ident, digest), "gone")
+    repeats = scratch.save(pairs.where("stays and times > 1").select(ident, digest), "repeats")
+    return once_each(without(keyed, gone, [ident, digest]), repeats, [ident, digest]).select(*(F.col(f"`{c}`") for c in docs.columns))
