@@ -463,3 +463,17 @@ def keep_one_of_component(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     gone = scratch.save(pairs.where("not stays").select(ident, text), "gone")
     repeats = scratch.save(pairs.where("stays and times > 1").select(ident, text), "repeats")
     return once_each(without(keyed, gone, [ident, text]), repeats, [ident, text]).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+#: For small tables: every pair of rows that shares a shingle, and all rows reachable over links.
+ORACLE_SQL = r"""
+with recursive w as (select row_number() over () rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
+s as (select rid, unnest(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')] else list_distinct([array_to_string(ws[i:i + 4], ' ') for i in range(1, len(ws) - 3)]) end) sh from w),
+n as (select rid, count(*) n from s group by 1),
+pairs as (select a.rid x, b.rid y, count(*) c from s a join s b on a.sh = b.sh and a.rid < b.rid group by 1, 2),
+links as (select x, y from pairs join n nx on nx.rid = x join n ny on ny.rid = y where 100 * c >= 80 * (nx.n + ny.n - c)),
+edges as (select x, y from links union all select y, x from links),
+reach(x, y) as (select rid, rid from n union select r.x, e.y from reach r join edges e on e.x = r.y),
+least_ as (select r.x rid, min(w.doc_id) component_id from reach r join w on w.rid = r.y group by 1)
+select w.doc_id, coalesce(n.n, 0) n_shingles, case when n.n is null then w.doc_id else l.component_id end component_id from w left join n using (rid) left join least_ l using (rid)
+"""

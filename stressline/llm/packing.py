@@ -7,7 +7,8 @@ cuts each document at the window borders: a document that crosses a border
 gives a record on either side. Only the last window can be short, so the padding is
 less than one window in all.
 
-Null and empty texts are a single end id; repeated rows are packed once each.
+Null and empty texts are a single end id; repeated rows are packed once each, and as ids go by place in the stream, ties cannot matter.
+A very long text is tokenised whole and cut into many pieces. An empty table gives no rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

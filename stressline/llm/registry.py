@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, jaccard_join
 from .exact_dedup import exact_groups
 from .hilbert_shards import document_shards
 from .jaccard_join import jaccard_classes
@@ -46,7 +46,7 @@ def op4_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_columns(_table(spark, sf_dir), with_arrays=False)
+    return media_columns(_table(spark, sf_dir), with_media=False)
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op6_ngram_jaccard_join": jaccard_join.ORACLE_SQL, "op9_exact_dedup": exact_dedup.ORACLE_SQL}

@@ -128,3 +128,63 @@ def test_votes_do_not_depend_on_neighbours():
     whole = np.concatenate([Q.votes(a, o) for _, _, a, o in document_chunks(pa.array(texts))])
     single = [int(Q.votes(a, o)[0]) for t in texts for _, _, a, o in document_chunks(pa.array([t]))]
     assert whole.tolist() == single
+
+
+def test_expectation_maximisation_row_by_row():
+    """The same rounds with plain loops over rows instead of pattern counts."""
+    import math
+
+    r = random.Random(9)
+    n = 3
+    rows = [tuple(r.choices((0, 1, 2), (5, 4, 1) if bad else (5, 1, 14))[0] for _ in range(n)) for bad in (r.random() < 0.25 for _ in range(200))]
+    kinds = sorted(set(rows))
+    post, theta, good = Q.expectation_maximisation(np.array(kinds), np.array([rows.count(k) for k in kinds], float), rounds=25)
+    t = [[[0.3, 0.3, 0.4], [0.3, 0.01, 0.69]] for _ in range(n)]
+    g, p = 0.8, []
+    for _ in range(25):
+        p = []
+        for row in rows:
+            a, b = math.log(1 - g), math.log(g)
+            for j, v in enumerate(row):
+                a, b = a + math.log(t[j][0][v]), b + math.log(t[j][1][v])
+            p.append(1 / (1 + math.exp(a - b)))
+        g = sum(p) / len(p)
+        for j in range(n):
+            bad, ok = [0.5] * 3, [0.5] * 3
+            for row, w in zip(rows, p, strict=True):
+                bad[row[j]] += 1 - w
+                ok[row[j]] += w
+            bad, ok = [x / sum(bad) for x in bad], [x / sum(ok) for x in ok]
+            ok[1] = min(ok[1], 0.01)
+            t[j] = [bad, [x / sum(ok) for x in ok]]
+    by = dict(zip(rows, p, strict=True))
+    assert np.allclose(post, [by[k] for k in kinds], atol=1e-5) and abs(good - g) < 1e-5 and np.allclose(theta, t, atol=1e-5)
+
+
+def test_unlabelled_risk_and_its_gradient(monkeypatch):
+    """One step of the fit against a risk by plain loops and its numerical slope, on both sides of zero."""
+    import math
+
+    size = 4
+    docs = {"pos": [[(0, 1.0), (1, 0.5)], [(0, 2.0)]], "unl": [[(1, 1.0)], [(2, 1.0), (0, 0.3)], [(3, 1.5)]]}
+    made = {k: L.Rows(np.array([i for d in v for i, _ in d]), np.array([x for d in v for _, x in d]), np.cumsum([len(d) for d in v])) for k, v in docs.items()}
+    steps = []
+    monkeypatch.setattr(L.Adam, "step", lambda self, w, g: steps.append((w.copy(), g.copy())))
+
+    def parts(w, prior):
+        score = lambda d: sum(w[i] * x for i, x in d) + w[-1]
+        plus = prior * sum(math.log1p(math.exp(-score(d))) for d in docs["pos"]) / 2
+        minus = sum(math.log1p(math.exp(score(d))) for d in docs["unl"]) / 3 - prior * sum(math.log1p(math.exp(score(d))) for d in docs["pos"]) / 2
+        return plus, minus
+
+    for prior in (0.2, 0.9):
+        for beta in (0.0, -10.0):  # the second bound is never met, so the negative part is followed upwards
+            steps.clear()
+            L.fit_nnpu(made["pos"], made["unl"], prior, size, l2=0.0, steps=1, beta=beta)
+            w, g = steps[0]
+            assert (parts(w, prior)[1] < -beta) == (beta < 0)
+            risk = (lambda v: -parts(v, prior)[1]) if beta < 0 else (lambda v: sum(parts(v, prior)))  # noqa: B023
+            for i in range(size + 1):
+                e = np.zeros(size + 1)
+                e[i] = 1e-6
+                assert abs((risk(w + e) - risk(w - e)) / 2e-6 - g[i]) < 1e-6
