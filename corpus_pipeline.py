@@ -16,27 +16,34 @@ from stressline.llm.storage import Scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject. Null, empty and blank texts are rejected; repeated rows
+    and rows with nulls elsewhere go or stay by their text alone; a score at the threshold stays; very long texts are scored whole; an empty table
+    stays empty; all columns pass through, whatever their names."""
     return keep_good(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts: most code points, then smallest doc_id (nulls last), then smallest text digest; of
+    wholly repeated rows one. Null, empty and blank texts are one group; very long texts count like others; an empty table stays empty; all columns
+    pass through."""
     return keep_one_of_each(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row, the one with the smallest doc_id (nulls last), of each near-duplicate component."""
+    """One row, the one with the smallest doc_id (nulls last), then the smallest text digest, of each near-duplicate component; of wholly
+    repeated rows one. Rows without words link with nothing and all stay; very long texts are compared whole; an empty table stays empty; all columns pass through."""
     return keep_one_of_component(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for each run of words that a draw takes from a document."""
+    """The mix: a row for each run of words that a draw takes from a document, with the document's columns. Rows without words are
+    never drawn; a null source is a source of its own; repeated rows are separate documents; a very long text gives many rows; an empty table stays empty."""
     return mixed_texts(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fixed windows of tokens: a row for each piece of a mixed text, with its token ids."""
+    """Fixed windows of tokens: a row for each piece of a mixed text, with its token ids. Null and empty texts are one end id; repeated rows
+    are packed once each; a very long text gives many pieces; an empty table gives none."""
     return pack_documents(docs, tokenizer=registry.tokenizer_path(), with_ids=True)
 
 
