@@ -37,7 +37,7 @@ class WordTokenizer:
     bounded cache after that; new words are encoded in lots of ``lot`` joined by blanks. ASCII upper case is folded before, as the vocabulary
     is lower case; texts with the strings of special tokens go to the tokenizer whole."""
 
-    def __init__(self, path: str, most: int = 1_500_000, lot: int = 512):
+    def __init__(self, path: str, most: int = 1_000_000, lot: int = 512):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
