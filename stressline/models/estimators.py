@@ -221,10 +221,12 @@ def hmm_parameters(k: int, d: int, full: bool = True) -> int:
     return k - 1 + k * (k - 1) + k * d + k * (d * (d + 1) // 2 if full else d)
 
 
-def baum_welch(x: np.ndarray, p: dict, *, rounds: int = 200, tol: float = 1e-4, least_cov: float = 1e-3) -> dict:
-    """Maximises the likelihood of a full-covariance Gaussian hidden Markov model from a starting point."""
+def baum_welch(x: np.ndarray, p: dict, *, rounds: int = 200, tol: float = 1e-4, least_cov: float = 1e-3, diagonal: bool = False) -> dict:
+    """Maximises the likelihood of a Gaussian hidden Markov model, with full or diagonal covariances, from a starting point."""
     start, trans, means, covars = (np.array(p[c], float) for c in ("startprob", "transmat", "means", "covars"))
     d, last = x.shape[1], -math.inf
+    shape = np.eye(d) if diagonal else np.ones((d, d))
+    covars = covars * shape
     for _ in range(rounds):
         fwd, back, ll, b = _scaled(emission_logs(x, means, covars), np.maximum(start, 1e-12), np.maximum(trans, 1e-12))
         g = fwd * back
@@ -238,7 +240,7 @@ def baum_welch(x: np.ndarray, p: dict, *, rounds: int = 200, tol: float = 1e-4,
         trans = np.maximum(pairs, 1e-12) / np.maximum(pairs, 1e-12).sum(axis=1, keepdims=True)
         w = g.sum(axis=0) + 1e-10
         means = g.T @ x / w[:, None]
-        covars = np.stack([((x - m).T * g[:, j]) @ (x - m) / w[j] + least_cov * np.eye(d) for j, m in enumerate(means)])
+        covars = np.stack([((x - m).T * g[:, j]) @ (x - m) / w[j] * shape + least_cov * np.eye(d) for j, m in enumerate(means)])
     return {"startprob": start, "transmat": trans, "means": means, "covars": covars, "loglik": ll, "occupancy": g.mean(axis=0)}
 
 
@@ -266,12 +268,12 @@ def relabel(p: dict, sort_by: int, tie: int) -> dict:
     return out
 
 
-def fit_hmm(x: np.ndarray, k: int = 3, *, starts: int = 10, seed: int = 42, sort_by: int = 1, tie: int = 0, warm: dict | None = None, least_cov: float = 1e-3) -> dict:
+def fit_hmm(x: np.ndarray, k: int = 3, *, starts: int = 10, seed: int = 42, sort_by: int = 1, tie: int = 0, warm: dict | None = None, least_cov: float = 1e-3, diagonal: bool = False) -> dict:
     """The best of several random starts and, where given, the last fit; states in rising order of ``sort_by``."""
     tries = [hmm_start(x, k, seed + 100 * i) for i in range(starts)] + ([warm] if warm else [])
-    fits = [baum_welch(x, p, least_cov=least_cov) for p in tries]
+    fits = [baum_welch(x, p, least_cov=least_cov, diagonal=diagonal) for p in tries]
     best = max(fits, key=lambda f: f["loglik"])
-    best["bic"] = hmm_parameters(k, x.shape[1]) * math.log(len(x)) - 2 * best["loglik"]
+    best["bic"] = hmm_parameters(k, x.shape[1], not diagonal) * math.log(len(x)) - 2 * best["loglik"]
     return relabel(best, sort_by, tie)
 
 
@@ -279,11 +281,16 @@ def fit_hmm(x: np.ndarray, k: int = 3, *, starts: int = 10, seed: int = 42, sort
 REGIME_NAMES = {
     2: ("Calm", "Stress"),
     3: ("Calm", "Elevated", "Stress"),
-    4: ("Calm", "Normal", "Elevated", "Stress"),
-    5: ("Calm", "Normal", "Elevated", "Stress", "Turbulent"),
+    4: ("Calm", "Moderate", "Elevated", "Stress"),
+    5: ("Calm", "Moderate", "Elevated", "Stress", "Turbulent"),
 }
 
 
+def regime_names(k: int) -> tuple[str, ...]:
+    """Names of k regimes; numbered states where there are no names for k."""
+    return REGIME_NAMES.get(k) or tuple(f"State_{i}" for i in range(k))
+
+
 def stationary(trans: np.ndarray) -> np.ndarray:
     k = len(trans)
     a = np.vstack([trans.T - np.eye(k), np.ones(k)])

@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stressline.functions.columns import by_symbol, ratio
 
@@ -40,13 +42,14 @@ def scan_onsets(labels: np.ndarray, refractory: int) -> tuple[np.ndarray, np.nda
 def crisis_onsets(labelled: DataFrame, *, refractory: int = 20) -> DataFrame:
     """Adds crisis_onset and episode_id (-1 outside). The scan depends on the last onset taken, so it runs per symbol."""
 
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rn")
-        onset, episode = scan_onsets(pdf["event_label"].to_numpy(), refractory)
-        return pd.DataFrame({"symbol": pdf["symbol"], "date": pdf["date"], "crisis_onset": onset, "episode_id": episode})
+    def scan(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("rn")
+        onset, episode = scan_onsets(rows["event_label"].to_numpy(), refractory)
+        return rows.append_column("crisis_onset", pa.array(onset)).append_column("episode_id", pa.array(episode))
 
-    flags = labelled.select("symbol", "date", "rn", "event_label").groupBy("symbol").applyInPandas(scan, "symbol string, date date, crisis_onset boolean, episode_id long")
-    return labelled.join(flags, ["symbol", "date"])
+    # The group function carries all columns, so the input is read once and not joined with itself.
+    kind = T.StructType([*labelled.schema.fields, T.StructField("crisis_onset", T.BooleanType()), T.StructField("episode_id", T.LongType())])
+    return labelled.groupBy("symbol").applyInArrow(scan, kind)
 
 
 def crisis_episodes(events: DataFrame, *, before: int = 5, after: int = 30, price: str = "close") -> DataFrame:
@@ -138,8 +141,7 @@ def compare_baselines(df: DataFrame, *, msi: str = "msi_headline", vix: str | No
     """One row a model: the index against volatility, drawdown and level rules, evaluated in one pass over a long table.
 
     The volatility threshold is the 90th percentile of the evaluated slice."""
-    cut = df.groupBy("symbol").agg(F.expr(f"percentile({vol}, 0.9)").alias("_cut"))
-    df = df.join(F.broadcast(cut), "symbol")  # one row a symbol
+    df = df.withColumn("_cut", F.percentile(vol, F.lit(0.9)).over(Window.partitionBy("symbol")))
     level = F.col(vix) if vix else F.lit(None).cast("double")
     models = [("Stress index", F.col(msi) >= 50, F.col(msi)), ("Realised volatility", F.col(vol) >= F.col("_cut"), F.col(vol)), ("Drawdown", F.col(drawdown) <= -0.05, -F.col(drawdown)), ("Level", level >= 24, level)]
     parts = F.array(*(F.struct(F.lit(n).alias("model"), a.alias("alarm"), s.cast("double").alias("score")) for n, a, s in models))
@@ -147,9 +149,12 @@ def compare_baselines(df: DataFrame, *, msi: str = "msi_headline", vix: str | No
     return evaluate_alarms(long, "alarm", "score", max_gap=max_gap, keys=("symbol", "model"))
 
 
-def block_bootstrap(df: DataFrame, score: str, label: str, *, resamples: int = 1000, block: int = 20, seed: int = 42, tasks: int = 8) -> DataFrame:
-    """Moving-block percentile interval of the ROC area of each symbol; resamples are dealt over tasks, each with its own
+def block_bootstrap(df: DataFrame, score: str, label: str, *, metric: str = "pr_auc", resamples: int = 1000, block: int = 20, seed: int = 42, tasks: int = 8) -> DataFrame:
+    """Moving-block percentile interval of the precision-recall or ROC area of each symbol; resamples are dealt over tasks, each with its own
     generator, so the result does not depend on where they run. Needs rn; fewer than 50 valid resamples give the point."""
+    if metric not in ("pr_auc", "roc_auc"):
+        raise ValueError(f"unknown metric {metric}")
+    measure = precision_recall_area if metric == "pr_auc" else area
     rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select("symbol", "rn", F.col(score).alias("s"), F.col(label).alias("y"))
     per = -(-resamples // tasks)
     dealt = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
@@ -163,16 +168,28 @@ def block_bootstrap(df: DataFrame, score: str, label: str, *, resamples: int = 1
         for _ in range(max(0, min(per, resamples - chunk * per))):
             starts = rng.integers(0, n - width + 1, -(-n // width))
             at = (starts[:, None] + np.arange(width)).ravel()[:n]
-            out.append(area(s[at], y[at]))
+            out.append(measure(s[at], y[at]))
         return pd.DataFrame({"symbol": pdf["symbol"].iloc[0], "auc": out or [None]})
 
     boot = dealt.groupBy("symbol", "chunk").applyInPandas(run, "symbol string, auc double").where("auc is not null and not isnan(auc)")
     ci = boot.groupBy("symbol").agg(F.count("*").alias("valid"), F.expr("percentile(auc, 0.025)").alias("lo"), F.expr("percentile(auc, 0.975)").alias("hi"))
-    point = curve_areas(rows, "s", "y").select("symbol", F.col("roc_auc").alias("point"))
+    point = curve_areas(rows, "s", "y").select("symbol", F.col(metric).alias("point"))
     few = F.coalesce("valid", F.lit(0)) < 50
     return point.join(ci, "symbol", "left").select("symbol", "point", F.when(few, F.col("point")).otherwise(F.col("lo")).alias("lower"), F.when(few, F.col("point")).otherwise(F.col("hi")).alias("upper"), F.coalesce("valid", F.lit(0)).alias("valid"))
 
 
+def precision_recall_area(s: np.ndarray, y: np.ndarray) -> float:
+    """Trapezoids under precision over recall at every distinct score, from recall 0 and precision 1 on; NaN where a class is missing."""
+    pos = int(y.sum())
+    if pos in (0, len(y)):
+        return float("nan")
+    order = np.argsort(-s, kind="stable")
+    last = np.append(np.flatnonzero(np.diff(s[order])), len(s) - 1)
+    hits = np.cumsum(y[order])[last]
+    recall, precision = np.append(0.0, hits / pos), np.append(1.0, hits / (last + 1))
+    return float(((precision[1:] + precision[:-1]) / 2 * np.diff(recall)).sum())
+
+
 def area(s: np.ndarray, y: np.ndarray) -> float:
     """ROC area by ranks; NaN where a class is missing."""
     pos = int(y.sum())

@@ -99,9 +99,12 @@ def build_features(bars: DataFrame, f: FeatureWindows = DEFAULT, use_volume: boo
 
 def align_to_calendar(master: DataFrame, secondary: DataFrame, columns: Sequence[str], *, lag: int = 0, limit: int = 3, prefix: str = "sec_") -> DataFrame:
     """Columns of a secondary series on the master's calendar: shifted ``lag`` rows on its own calendar, joined on the
-    exact date, then carried forward ``limit`` rows at most. Master rows are never added or dropped."""
+    exact date, then carried forward ``limit`` rows at most. Master rows are never added or dropped: of several
+    secondary rows of one date (two series, or a repeated date) the query fails, as none of them is the series meant."""
     own = Window.orderBy("date") if "symbol" not in secondary.columns else Window.partitionBy("symbol").orderBy("date")
     shifted = secondary.select("date", *((F.lag(c, lag).over(own) if lag else F.col(c)).alias(prefix + c) for c in columns))
+    one = F.when(F.count("*") > 1, F.raise_error(F.lit("the secondary series has several rows of one date")).cast("boolean")).otherwise(F.lit(True))
+    shifted = shifted.groupBy("date").agg(one.alias("_one"), *(F.first(prefix + c).alias(prefix + c) for c in columns)).where("_one").drop("_one")
     joined = master.join(shifted, "date", "left")
     w = by_symbol()
     return joined.withColumns({prefix + c: bounded_fill(prefix + c, limit, w) for c in columns})

@@ -40,29 +40,30 @@ def historical_var(df: DataFrame, q: float, *, ret: str = "return_pct", window:
     return df.withColumn(f"es_hs_{tag}", F.when(ok, mean)).drop("_loss", "_held")
 
 
-def historical_var_panel(df: DataFrame, levels: Sequence[float] = (0.95, 0.99), *, ret: str = "return_pct", window: int = 750) -> DataFrame:
-    """The same for long series, several levels at once: one Arrow group per symbol and a sorted frame that
-    gains and loses one value a row, so the work is rows x window moves rather than a sort per row."""
+def historical_var_panel(df: DataFrame, levels: Sequence[float] = (0.95, 0.99), *, ret: str = "return_pct", window: int = 750, at_once: int = 1024) -> DataFrame:
+    """The same for long series, several levels at once: one Arrow group per symbol, whose frames are sorted as rows of
+    a matrix, ``at_once`` of them at a time; missing returns sort to the end."""
     least = max(window // 2, 100)
     names = [f"{m}_hs_{round(q * 100)}" for q in levels for m in ("var", "es")]
 
     def rolling(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
-        loss = -pdf["_r"].to_numpy(float)
-        frame = np.empty(0)
-        out = np.full((len(loss), len(names)), np.nan)
-        for i, x in enumerate(loss):
-            if i >= window and not np.isnan(loss[i - window]):
-                frame = np.delete(frame, np.searchsorted(frame, loss[i - window]))
-            if not np.isnan(x):
-                frame = np.insert(frame, np.searchsorted(frame, x), x)
-            if len(frame) < least:
-                continue
+        loss = np.concatenate([np.full(window - 1, np.nan), -pdf["_r"].to_numpy(float)])
+        out = np.full((len(pdf), len(names)), np.nan)
+        frames = np.lib.stride_tricks.sliding_window_view(loss, window)
+        for lo in range(0, len(pdf), at_once):
+            part = np.sort(frames[lo : lo + at_once], axis=1)
+            n = np.count_nonzero(~np.isnan(part), axis=1)
+            enough = np.flatnonzero(n >= least)
+            part, n = part[enough], n[enough]
+            row = np.arange(len(n))
             for j, q in enumerate(levels):
-                at = q * (len(frame) - 1)
-                k = int(at)
-                v = frame[k] + (frame[min(k + 1, len(frame) - 1)] - frame[k]) * (at - k)
-                out[i, 2 * j], out[i, 2 * j + 1] = v, frame[np.searchsorted(frame, v, "left") :].mean()
+                at = q * (n - 1)
+                k = at.astype(int)
+                v = part[row, k] + (part[row, np.minimum(k + 1, n - 1)] - part[row, k]) * (at - k)
+                tail = part >= v[:, None]  # false for missing values
+                out[lo + enough, 2 * j] = v
+                out[lo + enough, 2 * j + 1] = np.where(tail, part, 0.0).sum(axis=1) / np.count_nonzero(tail, axis=1)
         res = pdf[["symbol", "date"]].copy()
         for j, n in enumerate(names):
             res[n] = out[:, j]
@@ -112,14 +113,27 @@ def gpd_shortfall(z: Column, u: Column, xi: Column, beta: Column) -> Column:
 
 
 def mean_residual_life(df: DataFrame, loss: str, *, points: int = 50, lo: float = 0.70, hi: float = 0.98) -> DataFrame:
-    """Mean excess over a grid of thresholds with a 95 % band where more than ten losses exceed it."""
-    grid = df.groupBy("symbol").agg(F.expr(f"percentile({loss}, {lo})").alias("_lo"), F.expr(f"percentile({loss}, {hi})").alias("_hi"))
-    grid = grid.select("symbol", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"), "_lo", "_hi")
-    grid = grid.select("symbol", "point", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("point") / (points - 1)).alias("threshold"))
-    over = df.select("symbol", F.col(loss).alias("_x")).join(F.broadcast(grid), "symbol").where("_x > threshold")  # points rows a symbol
-    got = over.groupBy("symbol", "point", "threshold").agg(F.count("*").alias("n"), F.avg(F.col("_x") - F.col("threshold")).alias("mean_excess"), F.stddev_samp(F.col("_x") - F.col("threshold")).alias("_sd"))
-    half = F.when(F.col("n") > 10, 1.96 * F.col("_sd") / F.sqrt("n"))
-    return got.select("symbol", "point", "threshold", "n", "mean_excess", (F.col("mean_excess") - half).alias("lower"), (F.col("mean_excess") + half).alias("upper"))
+    """Mean excess over a grid of thresholds with a 95 % band where more than ten losses exceed it.
+
+    A loss is counted once, at the highest threshold below it; sums from the highest threshold down give the rest."""
+    w = Window.partitionBy("symbol")
+    x = F.col("_x")
+    rows = df.select("symbol", F.col(loss).cast("double").alias("_x")).where("_x is not null")
+    rows = rows.withColumns({"_lo": F.percentile("_x", F.lit(lo)).over(w), "_hi": F.percentile("_x", F.lit(hi)).over(w)})
+    at = lambda k: F.col("_lo") + (F.col("_hi") - F.col("_lo")) * k / (points - 1)
+    k = F.coalesce(F.floor(F.try_divide(x - F.col("_lo"), F.col("_hi") - F.col("_lo")) * (points - 1)), F.lit(points - 1))
+    k = F.greatest(F.lit(0), F.least(F.lit(points - 1), k))
+    rows = rows.withColumn("_k", k)
+    near = F.when((F.col("_k") < points - 1) & (x > at(F.col("_k") + 1)), F.col("_k") + 1).when(x > at(F.col("_k")), F.col("_k")).otherwise(F.col("_k") - 1)
+    rows = rows.withColumns({"point": near.cast("int"), "_d": x - F.col("_lo")}).where("point >= 0")
+    sums = rows.groupBy("symbol", "_lo", "_hi", "point").agg(F.count("*").alias("n"), F.sum("_d").alias("d"), F.sum(F.col("_d") * F.col("_d")).alias("d2"))
+    grid = sums.select("symbol", "_lo", "_hi").distinct().withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    down = Window.partitionBy("symbol").orderBy(F.desc("point")).rowsBetween(Window.unboundedPreceding, 0)
+    got = grid.join(sums.drop("_lo", "_hi"), ["symbol", "point"], "left").select("symbol", "point", at(F.col("point")).alias("threshold"), "_lo", *(F.sum(c).over(down).alias(c) for c in ("n", "d", "d2"))).where("n > 0")
+    mean = F.col("d") / F.col("n") - (F.col("threshold") - F.col("_lo"))
+    sd = F.sqrt(F.greatest(F.lit(0.0), (F.col("d2") - F.col("d") * F.col("d") / F.col("n")) / F.when(F.col("n") > 1, F.col("n") - 1)))
+    half = F.when(F.col("n") > 10, 1.96 * sd / F.sqrt("n"))
+    return got.select("symbol", "point", "threshold", "n", mean.alias("mean_excess"), (mean - half).alias("lower"), (mean + half).alias("upper"))
 
 
 def _xlog(n: Column, p: Column) -> Column:

@@ -83,7 +83,13 @@ def alarms(df: DataFrame, index: str, primary: float = PRIMARY, secondary: float
     return df.withColumns({"alarm_primary": F.col(index) >= primary, "alarm_secondary": F.col(index) >= secondary})
 
 
-def contributions(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Parts of the equally weighted index: they add up to it; NULL where the component is missing."""
+def contributions(df: DataFrame, cols: Sequence[str], weights: Mapping[str, float | Column] | None = None) -> DataFrame:
+    """Parts of the index that add up to it (before it is clipped); NULL where the component is missing. With weights they are those of the weighted
+    index: scaled to one over the columns present, one over their number for a column without a weight."""
     present = sum((F.col(c).isNotNull().cast("int") for c in cols), F.lit(0))
-    return df.withColumns({f"contrib_{c.removeprefix('c_')}": F.try_divide(F.col(c) * 100, present) for c in cols})
+    equal = F.try_divide(F.lit(1.0), present)
+    if weights is None:
+        return df.withColumns({f"contrib_{c.removeprefix('c_')}": F.try_divide(F.col(c) * 100, present) for c in cols})
+    w = {c: F.coalesce(weights[c] if isinstance(weights.get(c), Column) else F.lit(weights.get(c)).cast("double"), equal) for c in cols}
+    whole = sum((F.when(F.col(c).isNotNull(), w[c]).otherwise(F.lit(0.0)) for c in cols), F.lit(0.0))
+    return df.withColumns({f"contrib_{c.removeprefix('c_')}": F.try_divide(F.col(c) * w[c] * 100, whole) for c in cols})

@@ -47,6 +47,12 @@ def quality_profile(bars: DataFrame, *, large_move: float = 0.10, gap_days: int
     )
 
 
+def large_moves(bars: DataFrame, *, large_move: float = 0.10) -> DataFrame:
+    """symbol, date and return in percent of every log return beyond the limit."""
+    ret = F.ln("close") - F.lag(F.ln("close")).over(by_symbol())
+    return bars.withColumn("_ret", ret).where(F.abs("_ret") > large_move).select("symbol", "date", (F.col("_ret") * 100).alias("return_pct"))
+
+
 def volume_usable(bars: DataFrame, least: float = 0.90) -> DataFrame:
     """symbol, use_volume: whether enough rows have a positive volume."""
     return bars.groupBy("symbol").agg((ratio(F.count_if(F.col("volume") > 0), F.count("*")) >= least).alias("use_volume"))

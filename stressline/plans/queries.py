@@ -265,9 +265,22 @@ def feature_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out, keep=("mean_return",))
 
 
-@query()
+@query(
+    PANEL + RET
+    + f""", ok as (select *, not ({' or '.join(_RULES.values())}) valid_ohlc, ln(nullif(volume, 0)) lv from r),
+f1 as (select *, {_g('stddev_samp', 'ret', 5)} * sqrt(252.0) rv_5, {_g('stddev_samp', 'ret', 20)} * sqrt(252.0) rv_20, {_g('stddev_samp', 'ret', 60)} * sqrt(252.0) rv_60,
+ case when valid_ohlc then power(ln(greatest(high / low, 1.0)), 2) / (4 * ln(2.0)) end pd, case when ret is not null then power(least(ret, 0.0), 2) end dn, {_g('avg', 'close', 50)} s50, {_g('avg', 'close', 200)} s200 from ok),
+f2 as (select *, case when rv_20 is not null then ln(greatest(rv_20, 1e-6)) end ln20, sqrt({_g('avg', 'pd', 20)}) * sqrt(252.0) p20 from f1)
+select symbol, date, round(open, 6) as open, round(high, 6) high, round(low, 6) low, round(close, 6) as close, round(volume, 6) volume, valid_ohlc, rn, round(ret, 6) as "return", round(100 * ret, 6) return_pct,
+ round({_g('sum', 'ret', 5)}, 6) rolling_ret_5, round({_g('sum', 'ret', 20)}, 6) momentum_20, round({_g('sum', 'ret', 60)}, 6) momentum_60, round(close / max(close) over ({BY} rows unbounded preceding) - 1, 6) drawdown, round(close / ({_g('max', 'close', 252)}) - 1, 6) drawdown_252,
+ round(rv_5, 6) rv_5, round(rv_20, 6) rv_20, round(rv_60, 6) rv_60, round(ln20, 6) ln_rv20, case when rv_5 is not null and rv_20 is not null then round(ln(greatest(rv_5 / nullif(rv_20, 0), 1e-6)), 6) end vol_ratio_5_20, round(pd, 6) parkinson_daily, round(p20, 6) parkinson_20,
+ round(sqrt({_g('avg', 'dn', 20)}) * sqrt(252.0), 6) downside_semi_dev, round({_g('skewness', 'ret', 60)}, 4) skew_60_descriptive, round({_g('kurtosis', 'ret', 60)}, 4) kurt_60_descriptive, case when p20 is not null then round(ln(greatest(p20, 1e-6)), 6) end ln_parkinson,
+ round((ln20 - {_g('avg', 'ln20', 252)}) / greatest({_g('stddev_samp', 'ln20', 252)}, 1e-6), 5) vol_zscore_252, round(ln(close / s50), 6) ln_p_sma50, round(ln(s50 / s200), 6) ln_sma50_sma200, round((lv - {_g('avg', 'lv', 60)}) / greatest({_g('stddev_samp', 'lv', 60)}, 1e-6), 5) volume_z_60 from f2"""
+)
 def feature_matrix(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(FT.build_features(VA.validate_ohlc(panel_bars(spark, d))))
+    df = FT.build_features(VA.validate_ohlc(panel_bars(spark, d)))
+    coarse = {"skew_60_descriptive": 4, "kurt_60_descriptive": 4, "vol_zscore_252": 5, "volume_z_60": 5}
+    return rounded(df.withColumns({c: F.round(c, n) for c, n in coarse.items()}))
 
 
 # --- events -----------------------------------------------------------------------------------------------------------
@@ -347,6 +360,15 @@ def pr_roc_auc(spark: SparkSession, d: str) -> DataFrame:
     return rounded(EV.curve_areas(_alarmed(EV.label_events(panel_bars(spark, d))), "score", "event_label"), 8)
 
 
+_WARNING = """, pairs as (select e.symbol, e.episode_id, c.sid, e.rn - c.s lead_ from al e join sc c on e.symbol = c.symbol and e.crisis_onset and e.rn - c.s between 1 and 30),
+led as (select symbol, episode_id, min(lead_) ld from pairs group by 1, 2), lagg as (select symbol, count(*) detected, avg(ld) mean_lead, median(ld) median_lead, quantile_cont(ld, 0.75) - quantile_cont(ld, 0.25) iqr_lead from led group by 1),
+hit as (select symbol, count(distinct sid) good from pairs group by 1), ns as (select symbol, count(*) spells from sc group by 1),
+rows_ as (select symbol, count_if(alarm and event_label = 1) tp, count_if(alarm and event_label = 0) fp, count_if(not alarm and event_label = 0) tn, count_if(not alarm and event_label = 1) fn, count_if(crisis_onset) episodes from al group by 1),
+t as (select r.*, coalesce(spells, 0) spells, coalesce(detected, 0) detected, coalesce(detected * 1.0 / nullif(episodes, 0), 0) rec, coalesce(good * 1.0 / nullif(spells, 0), 0) prec, mean_lead, median_lead, iqr_lead, roc_auc, pr_auc from rows_ r left join ns using (symbol) left join hit using (symbol) left join lagg using (symbol) left join auc using (symbol))"""
+_WARNING_COLUMNS = """episodes, spells, detected, round(rec, 6) episode_recall, round(prec, 6) spell_precision, round(coalesce(2 * rec * prec / nullif(rec + prec, 0), 0), 6) f1, round(mean_lead, 6) mean_lead, round(median_lead, 6) median_lead, round(iqr_lead, 6) iqr_lead, tp, fp, tn, fn,
+round(coalesce(tp * 1.0 / nullif(tp + fp, 0), 0), 6) daily_precision, round(coalesce(tp * 1.0 / nullif(tp + fn, 0), 0), 6) daily_recall, round(coalesce(fp * 1.0 / nullif(fp + tn, 0), 0), 6) false_alarm_rate, round(coalesce(roc_auc, 0.5), 6) roc_auc, round(coalesce(pr_auc, 0), 6) pr_auc"""
+
+
 @query(
     _recursive(
         PANEL
@@ -355,23 +377,29 @@ def pr_roc_auc(spark: SparkSession, d: str) -> DataFrame:
         + ", al0 as (select *, close / max(close) over (partition by symbol order by date rows between 59 preceding and current row) - 1 dd from onsets), al as (select *, dd <= -0.05 as alarm, -dd score from al0)"
         + _SPELLS
         + _AUC.format(src="al")
-        + """, pairs as (select e.symbol, e.episode_id, c.sid, e.rn - c.s lead_ from al e join sc c on e.symbol = c.symbol and e.crisis_onset and e.rn - c.s between 1 and 30),
-led as (select symbol, episode_id, min(lead_) ld from pairs group by 1, 2), lagg as (select symbol, count(*) detected, avg(ld) mean_lead, median(ld) median_lead, quantile_cont(ld, 0.75) - quantile_cont(ld, 0.25) iqr_lead from led group by 1),
-hit as (select symbol, count(distinct sid) good from pairs group by 1), ns as (select symbol, count(*) spells from sc group by 1),
-rows_ as (select symbol, count_if(alarm and event_label = 1) tp, count_if(alarm and event_label = 0) fp, count_if(not alarm and event_label = 0) tn, count_if(not alarm and event_label = 1) fn, count_if(crisis_onset) episodes from al group by 1),
-t as (select r.*, coalesce(spells, 0) spells, coalesce(detected, 0) detected, coalesce(detected * 1.0 / nullif(episodes, 0), 0) rec, coalesce(good * 1.0 / nullif(spells, 0), 0) prec, mean_lead, median_lead, iqr_lead, roc_auc, pr_auc from rows_ r left join ns using (symbol) left join hit using (symbol) left join lagg using (symbol) left join auc using (symbol))
-select symbol, episodes, spells, detected, round(rec, 6) episode_recall, round(prec, 6) spell_precision, round(coalesce(2 * rec * prec / nullif(rec + prec, 0), 0), 6) f1, round(mean_lead, 6) mean_lead, round(median_lead, 6) median_lead, round(iqr_lead, 6) iqr_lead, tp, fp, tn, fn,
-round(coalesce(tp * 1.0 / nullif(tp + fp, 0), 0), 6) daily_precision, round(coalesce(tp * 1.0 / nullif(tp + fn, 0), 0), 6) daily_recall, round(coalesce(fp * 1.0 / nullif(fp + tn, 0), 0), 6) false_alarm_rate, round(coalesce(roc_auc, 0.5), 6) roc_auc, round(coalesce(pr_auc, 0), 6) pr_auc from t"""
+        + _WARNING
+        + " select symbol, " + _WARNING_COLUMNS + " from t"
     )
 )
 def early_warning_eval(spark: SparkSession, d: str) -> DataFrame:
     return rounded(EV.evaluate_alarms(_alarmed(_events(spark, d)), "alarm", "score"))
 
 
-@query()
+@query(
+    _recursive(
+        PANEL + EVENTS_SQL + ONSETS_SQL
+        + f""", rt as (select *, ln(close) - lag(ln(close)) over ({BY}) ret, close / max(close) over ({BY} rows unbounded preceding) - 1 dd, close / ({_g('max', 'close', 252)}) - 1 dd252 from onsets),
+vv as (select *, {_g('stddev_samp', 'ret', 20)} * sqrt(252.0) rv_20, {_g('stddev_samp', 'ret', 60)} * sqrt(252.0) * 100 lvl from rt), ct as (select *, quantile_cont(rv_20, 0.9) over (partition by symbol) cut_ from vv),
+al as (select symbol || '|' || m symbol, date, rn, event_label, crisis_onset, episode_id, coalesce(a, false) alarm, s score from (
+ select *, 'Stress index' m, least(100.0, -dd * 500) >= 50 a, least(100.0, -dd * 500) s from ct union all select *, 'Realised volatility', rv_20 >= cut_, rv_20 from ct
+ union all select *, 'Drawdown', dd252 <= -0.05, -dd252 from ct union all select *, 'Level', lvl >= 24, lvl from ct))"""
+        + _SPELLS + _AUC.format(src="al") + _WARNING
+        + " select split_part(symbol, '|', 1) symbol, split_part(symbol, '|', 2) model, " + _WARNING_COLUMNS + " from t"
+    )
+)
 def baseline_comparison(spark: SparkSession, d: str) -> DataFrame:
-    df = FT.build_features(panel_bars(spark, d)).withColumn("msi_headline", F.least(F.lit(100.0), -F.col("drawdown") * 500))
-    return rounded(EV.compare_baselines(EV.crisis_onsets(EV.label_events(df))))
+    df = FT.build_features(panel_bars(spark, d)).withColumns({"msi_headline": F.least(F.lit(100.0), -F.col("drawdown") * 500), "level": F.col("rv_60") * 100})
+    return rounded(EV.compare_baselines(EV.crisis_onsets(EV.label_events(df)), vix="level"))
 
 
 @query()
@@ -379,6 +407,11 @@ def block_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return rounded(EV.block_bootstrap(_alarmed(EV.label_events(panel_bars(spark, d))), "score", "event_label"))
 
 
+@query()
+def block_bootstrap_roc(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(EV.block_bootstrap(_alarmed(EV.label_events(panel_bars(spark, d))), "score", "event_label", metric="roc_auc"))
+
+
 @query(
     PANEL + EVENTS_SQL + _ALARM
     + """, src as (select *, -dd score from al), g as (select symbol, score threshold, sum(event_label) p, count(*) n from src where score is not null group by 1, 2)
@@ -402,7 +435,16 @@ def lead_matches(spark: SparkSession, d: str) -> DataFrame:
     return EV.match_leads(episodes, EV.alarm_spells(df, "alarm"))
 
 
-@query()
+@query(
+    _recursive(
+        PANEL + EVENTS_SQL + ONSETS_SQL
+        + ", al as (select *, close / max(close) over (partition by symbol order by date rows between 59 preceding and current row) - 1 <= -0.05 as alarm from onsets)"
+        + _SPELLS
+        + """, led as (select e.symbol, e.episode_id, min(e.rn - c.s) ld from al e join sc c on e.symbol = c.symbol and e.crisis_onset and e.rn - c.s between 1 and 30 group by 1, 2),
+hb as (select *, least(12, greatest(count(*) over v, 3)) bins, min(ld) over v lo, max(ld) over v hi from led window v as (partition by symbol))
+select symbol, cast(least(floor((ld - case when hi > lo then lo else lo - 0.5 end) / case when hi > lo then (hi - lo) * 1.0 / bins else 1.0 / bins end), bins - 1) as int) bin, count(*) episodes from hb group by 1, 2"""
+    )
+)
 def lead_histogram(spark: SparkSession, d: str) -> DataFrame:
     df = _alarmed(_events(spark, d))
     episodes = df.where("crisis_onset").select("symbol", "episode_id", F.col("rn").alias("onset_rn"))
@@ -445,7 +487,14 @@ def cond_normal_var(spark: SparkSession, d: str) -> DataFrame:
     return rounded(df.select("symbol", "date", *(c.alias(n) for n, c in cols.items())))
 
 
-@query()
+_T6 = 3.142668403290985  # fixed value: the 0.99 quantile of Student's t with six degrees
+
+
+@query(
+    PANEL + RET + _COND
+    + f""", t as (select {_T6} t, sqrt(4.0 / 6) k, gamma(3.5) / (sqrt(6 * pi()) * gamma(3.0)) * power(1 + {_T6} * {_T6} / 6, -3.5) f)
+select symbol, date, round(-mu + sg * k * t, 6) var_t_99, round(-mu + sg * k * f / 0.01 * (6 + t * t) / 5, 6) es_t_99 from c, t"""
+)
 def cond_student_var(spark: SparkSession, d: str) -> DataFrame:
     df = _conditional(spark, d)
     v, e = RK.student_var_es("mu", "sg", 6.0, 0.99)
@@ -528,6 +577,30 @@ def var_scorecard(spark: SparkSession, d: str) -> DataFrame:
     return rounded(RK.var_scorecard(long[0].unionByName(long[1])))
 
 
+_SCORES = {f"{m}|{a}": (v, a) for a, m, v in ((0.05, "Normal", 1.6448536269514722), (0.05, "Student", "1.9431802805153018 * sqrt(4.0 / 6)"), (0.01, "Normal", 2.3263478740408408), (0.01, "Student", f"{_T6} * sqrt(4.0 / 6)"))}
+
+
+@query(
+    PANEL + RET + _COND
+    + ", lg as (" + " union all ".join(f"select symbol || '|{k}' symbol, date, loss, -mu + sg * {v} vr, {a} alpha from c where loss is not null and sg is not null" for k, (v, a) in _SCORES.items()) + ")"
+    + """, b as (select *, loss > vr br from lg), bl as (select *, lag(br) over (partition by symbol order by date) pb from b),
+k as (select symbol, alpha, count(*) n, count_if(br) x, count_if(pb = false and br = false) n00, count_if(pb = false and br) n01, count_if(pb and br = false) n10, count_if(pb and br) n11 from bl group by 1, 2),
+pr as (select *, greatest(1e-10, least(1 - 1e-10, coalesce(n01 * 1.0 / nullif(n00 + n01, 0), 0))) p01, greatest(1e-10, least(1 - 1e-10, coalesce(n11 * 1.0 / nullif(n10 + n11, 0), 0))) p11, greatest(1e-10, least(1 - 1e-10, (n01 + n11) * 1.0 / (n00 + n01 + n10 + n11))) pp from k where n >= 20),
+lr as (select *, greatest(0, -2 * ((n - x) * ln(1 - alpha) + x * ln(alpha) - case when n > x then (n - x) * ln(1 - x * 1.0 / n) else 0 end - case when x > 0 then x * ln(x * 1.0 / n) else 0 end)) ku,
+ greatest(0, -2 * ((n00 + n10) * ln(1 - pp) + (n01 + n11) * ln(pp) - n00 * ln(1 - p01) - n01 * ln(p01) - n10 * ln(1 - p11) - n11 * ln(p11))) ch from pr)
+select split_part(symbol, '|', 1) symbol, split_part(symbol, '|', 2) model, round(cast(alpha as double), 6) alpha, round(x * 1.0 / n, 6) observed_rate, x breaches, n as "days", round(ku, 6) kupiec_lr, round(ch, 6) christoffersen_lr, round(exp(-(ku + ch) / 2), 6) joint_cc_p,
+ case when alpha <= 0.02 then case when x * 250.0 / n <= 4.9 then 'Green' when x * 250.0 / n <= 9.9 then 'Yellow' else 'Red' end else case when ku <= 3.841458820694124 then 'Green' when ku <= 6.634896601021213 then 'Yellow' else 'Red' end end traffic_light from lr"""
+)
+def coverage_scorecard(spark: SparkSession, d: str) -> DataFrame:
+    """The columns of the scorecard that need no bootstrap and no chi-square tail."""
+    return var_scorecard(spark, d).select("symbol", "model", "alpha", "observed_rate", "breaches", "days", "kupiec_lr", "christoffersen_lr", "joint_cc_p", "traffic_light")
+
+
+@query(PANEL + RET + " select symbol, date, round(100 * ret, 6) return_pct from r where abs(ret) > 0.1")
+def large_moves(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(VA.large_moves(panel_bars(spark, d)))
+
+
 # --- statistics -------------------------------------------------------------------------------------------------------
 
 
@@ -554,12 +627,38 @@ def acf(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ST.acf_bands(ST.autocorrelations(FT.add_returns(panel_bars(spark, d)), "return")).select("symbol", "lag", "acf", "band", "outside"), 7)
 
 
+_ACF_OF = {"squared": "ret * ret", "absolute": "abs(ret)"}
+
+
+@query(
+    PANEL + RET
+    + ", rs as (" + " union all ".join(f"select symbol || '|{k}' symbol, date, {v} ret from r where ret is not null" for k, v in _ACF_OF.items()) + ")"
+    + _ACF.replace("from r where", "from rs where")
+    + ", lb as (select symbol, m, max(n) * (max(n) + 2.0) * sum(acf * acf / (n - lag_)) q from acf join (values (10), (20)) v(m) on lag_ <= m group by 1, 2) select split_part(symbol, '|', 1) symbol, split_part(symbol, '|', 2) series, cast(m as int) lag, round(q, 4) q from lb"
+)
+def ljung_box_of_volatility(spark: SparkSession, d: str) -> DataFrame:
+    """Ljung-Box statistics of squared and absolute returns."""
+    r = F.col("return")
+    df = FT.add_returns(panel_bars(spark, d)).withColumns({"squared": r * r, "absolute": F.abs(r)})
+    parts = [ST.ljung_box(ST.autocorrelations(df, k)).select("symbol", F.lit(k).alias("series"), "lag", F.round("q", 4).alias("q")) for k in _ACF_OF]
+    return parts[0].unionByName(parts[1])
+
+
 @query(PANEL + RET + _ACF + ", lb as (select symbol, m, max(n) * (max(n) + 2.0) * sum(acf * acf / (n - lag_)) q from acf join (values (10), (20)) v(m) on lag_ <= m group by 1, 2) select symbol, cast(m as int) lag, round(q, 5) q from lb")
 def acf_ljung_box(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ST.ljung_box(ST.autocorrelations(FT.add_returns(panel_bars(spark, d)), "return")).select("symbol", "lag", "q"), 5)
 
 
-@query()
+@query(
+    _recursive(
+        PANEL + RET + _ACF
+        + """, ad as (select symbol, list(acf * n / (n - lag_) order by lag_) rk from acf group by 1),
+dl(symbol, k, phi, last_, rk) as (select symbol, 1, [rk[1]], rk[1], rk from ad union all
+ select symbol, k + 1, list_append([phi[j] - p * phi[k + 1 - j] for j in range(1, k + 1)], p), p, rk
+ from (select *, (rk[k + 1] - list_sum([phi[j] * rk[k + 1 - j] for j in range(1, k + 1)])) / (1 - list_sum([phi[j] * rk[j] for j in range(1, k + 1)])) p from dl where k < 25))
+select symbol, cast(k as int) lag, round(last_, 6) pacf from dl"""
+    )
+)
 def pacf(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ST.partial_autocorrelations(FT.add_returns(panel_bars(spark, d)), "return"))
 
@@ -772,7 +871,17 @@ def regime_ahead(spark: SparkSession, d: str) -> DataFrame:
     return rounded(FL.stress_ahead(FL.hmm_forward(df, ["return_pct"], HMM), HMM["transmat"]).select("symbol", "date", "stress_1", "stress_5", "stress_10"), 7)
 
 
-@query()
+@query(
+    _recursive(
+        PANEL + RET
+        + """, x as (select symbol, row_number() over (partition by symbol order by date) i, date, 100 * ret r from r where ret is not null),
+g as (select symbol, i, date, r, cast(1.0 as double) v from x where i = 1 union all select x.symbol, x.i, x.date, x.r, 0.02 + (0.08 + case when g.r - 0.02 < 0 then 0.04 else 0 end) * power(g.r - 0.02, 2) + 0.88 * g.v from g join x on x.symbol = g.symbol and x.i = g.i + 1),
+f as (select *, 0.02 + (0.08 + case when r - 0.02 < 0 then 0.04 else 0 end) * power(r - 0.02, 2) + 0.88 * v first_ from g)
+select symbol, date, round(sqrt(v), 6) sigma, round((r - 0.02) / sqrt(v), 6) z, """
+        + ", ".join(f"round(first_ * power(0.98, {h - 1}) + 0.02 * (1 - power(0.98, {h - 1})) / (1 - 0.98), 6) var_{h}" for h in range(1, 11))
+        + " from f union all select symbol, min(date), null, null, " + ", ".join(["null"] * 10) + " from r group by symbol"
+    )
+)
 def garch_forecast(spark: SparkSession, d: str) -> DataFrame:
     return rounded(FL.garch_forecasts(FL.garch_filter(FT.add_returns(panel_bars(spark, d)), GARCH), GARCH))
 

@@ -17,6 +17,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,7 +141,10 @@ def fit_refits(panel: DataFrame, c: WalkForwardConfig) -> DataFrame:
     need = ["return_pct", "drawdown_252", "event_label", *c.hmm_features, *c.forest_features, *([c.corr] if c.corr else [])]
     cols = list(dict.fromkeys(need))
     n = panel.groupBy("symbol").agg(F.count("*").alias("n"))
-    grid = n.where(F.col("n") > c.initial_train + c.cadence).select("symbol", "n", F.posexplode(F.expr(f"sequence({c.initial_train}, cast(n - 1 as int), {c.cadence})")).alias("refit_idx", "t_refit"))
+    least = c.initial_train + c.cadence
+    short = F.raise_error(F.concat(F.lit("series "), "symbol", F.lit(f" has no more than initial_train + cadence = {least} rows"))).cast("long")
+    n = n.withColumn("n", F.when(F.col("n") > least, F.col("n")).otherwise(short))
+    grid = n.select("symbol", "n", F.posexplode(F.expr(f"sequence({c.initial_train}, cast(n - 1 as int), {c.cadence})")).alias("refit_idx", "t_refit"))
     grid = grid.withColumn("t_next", F.least(F.col("t_refit") + c.cadence, F.col("n")).cast("int")).drop("n")
     prefix = panel.select("symbol", "date", "rn", *cols).join(grid, "symbol").where("rn < t_refit")
 
@@ -163,42 +167,56 @@ OOS_SCHEMA = (
 )
 
 
-def filter_series(rows: pd.DataFrame, refits: pd.DataFrame, c: WalkForwardConfig) -> pd.DataFrame:
-    """Out-of-sample columns of one series: frozen parameters block by block, CUSUM state carried across blocks."""
-    rows, refits = rows.sort_values("rn").reset_index(drop=True), refits.sort_values("refit_idx")
+def filter_block(rows: pd.DataFrame, r, c: WalkForwardConfig) -> pd.DataFrame:
+    """Out-of-sample columns of one block: the frozen parameters of refit r, filtered over the rows up to the next refit; without CUSUM."""
+    rows = rows.sort_values("rn").reset_index(drop=True)
     ret, xh, xf = rows["return_pct"].to_numpy(float), rows[list(c.hmm_features)].to_numpy(float), rows[list(c.forest_features)].to_numpy(float)
-    state, blocks = R.CusumState(), []
-    for r in refits.itertuples(index=False):
-        t, u = int(r.t_refit), int(r.t_next)
-        g = dict(r.garch)
-        _, sigma, z = R.garch_filter(R.GarchState(), ret[:u], g, g["start"])
-        hmm = {k: np.array(_nested(getattr(r, k)), float) for k in ("startprob", "transmat", "means", "covars")}
-        _, probs = R.hmm_filter(None, xh[:u], hmm)
-        forest = unpack_arrays(r.forest)
-        score = E.forest_score(forest, np.nan_to_num(xf[t:u]))
-        pct, _ = E.ecdf(forest["train"], score)
-        state.mean, state.std = r.cusum_mean, r.cusum_std
-        state, cus = R.cusum(state, z[t:u], c.cusum_k, c.cusum_h)
-        nu = g["nu"] if np.isfinite(g["nu"]) else 1e6
-        (t95, e95), (t99, e99) = (RK.student_constants(nu, q) for q in c.levels)
-        dd = np.abs(rows["drawdown_252"].to_numpy(float)[t:u])
-        share = lambda train, v: np.where(np.isnan(v), np.nan, E.ecdf(np.asarray(train, float), v)[0])
-        p = probs[t:u]
-        out = pd.DataFrame({"symbol": rows["symbol"][t:u], "date": rows["date"][t:u], "refit_idx": r.refit_idx})
-        out["conditional_vol"], out["std_resid"] = sigma[t:u], z[t:u]
-        out["prob_calm"], out["prob_elevated"], out["prob_stress"] = p[:, 0], p[:, 1] if p.shape[1] > 2 else np.nan, p[:, -1]
-        out["regime"] = pd.Series(np.where(np.isnan(p[:, 0]), -1, np.nan_to_num(p).argmax(axis=1)), index=out.index)
-        for name, v in {"mu": g["mu"], "nu": nu, "z_95": r.z_95, "es_z_95": r.es_95, "z_99": r.z_99, "es_z_99": r.es_99, "t_95": t95, "et_95": e95, "t_99": t99, "et_99": e99}.items():
-            out[name] = float(v)
-        out["anomaly_score"], out["anomaly_percentile"], out["anomaly_flag"] = score, pct, pct >= c.anomaly_percentile
-        out["cusum_alarm_high"], out["cusum_alarm_low"], out["cusum_s_pos"], out["cusum_s_neg"], out["days_since_cusum"] = cus["alarm_high"], cus["alarm_low"], cus["s_pos"], cus["s_neg"], cus["days_since"]
-        out["c_hmm"], out["c_vol"], out["c_drawdown"], out["c_anomaly"] = p[:, -1], share(r.ecdf_vol, sigma[t:u]), share(r.ecdf_dd, dd), pct
-        out["c_cross_asset"] = share(r.ecdf_corr, rows[c.corr].to_numpy(float)[t:u]) if c.corr and len(r.ecdf_corr) else np.nan
-        for name, w in zip(("w_hmm", "w_vol", "w_drawdown", "w_anomaly"), r.pca, strict=True):
-            out[name] = float(w)
-        out["logit"] = [None if r.logit is None else list(map(float, r.logit))] * len(out)
-        blocks.append(out)
-    return pd.concat(blocks, ignore_index=True)
+    t, u = int(r.t_refit), int(r.t_next)
+    g = dict(r.garch)
+    _, sigma, z = R.garch_filter(R.GarchState(), ret[:u], g, g["start"])
+    hmm = {k: np.array(_nested(getattr(r, k)), float) for k in ("startprob", "transmat", "means", "covars")}
+    _, probs = R.hmm_filter(None, xh[:u], hmm)
+    forest = unpack_arrays(r.forest)
+    score = E.forest_score(forest, np.nan_to_num(xf[t:u]))
+    pct, _ = E.ecdf(forest["train"], score)
+    nu = g["nu"] if np.isfinite(g["nu"]) else 1e6
+    (t95, e95), (t99, e99) = (RK.student_constants(nu, q) for q in c.levels)
+    dd = np.abs(rows["drawdown_252"].to_numpy(float)[t:u])
+    share = lambda train, v: np.where(np.isnan(v), np.nan, E.ecdf(np.asarray(train, float), v)[0])
+    p = probs[t:u]
+    out = pd.DataFrame({"symbol": rows["symbol"][t:u], "date": rows["date"][t:u], "refit_idx": r.refit_idx})
+    out["conditional_vol"], out["std_resid"] = sigma[t:u], z[t:u]
+    out["prob_calm"], out["prob_elevated"], out["prob_stress"] = p[:, 0], p[:, 1] if p.shape[1] > 2 else np.nan, p[:, -1]
+    out["regime"] = pd.Series(np.where(np.isnan(p[:, 0]), -1, np.nan_to_num(p).argmax(axis=1)), index=out.index)
+    for name, v in {"mu": g["mu"], "nu": nu, "z_95": r.z_95, "es_z_95": r.es_95, "z_99": r.z_99, "es_z_99": r.es_99, "t_95": t95, "et_95": e95, "t_99": t99, "et_99": e99}.items():
+        out[name] = float(v)
+    out["anomaly_score"], out["anomaly_percentile"], out["anomaly_flag"] = score, pct, pct >= c.anomaly_percentile
+    out["cusum_mean"], out["cusum_std"] = float(r.cusum_mean), float(r.cusum_std)
+    out["c_hmm"], out["c_vol"], out["c_drawdown"], out["c_anomaly"] = p[:, -1], share(r.ecdf_vol, sigma[t:u]), share(r.ecdf_dd, dd), pct
+    out["c_cross_asset"] = share(r.ecdf_corr, rows[c.corr].to_numpy(float)[t:u]) if c.corr and len(r.ecdf_corr) else np.nan
+    for name, w in zip(("w_hmm", "w_vol", "w_drawdown", "w_anomaly"), r.pca, strict=True):
+        out[name] = float(w)
+    out["logit"] = [None if r.logit is None else list(map(float, r.logit))] * len(out)
+    return out
+
+
+CUSUM_COLUMNS = ("cusum_alarm_high", "cusum_alarm_low", "cusum_s_pos", "cusum_s_neg", "days_since_cusum")
+
+
+def cusum_series(table: pa.Table, c: WalkForwardConfig) -> pa.Table:
+    """CUSUM columns of one series: its state is carried across the blocks, each with the calibration of its refit."""
+    table = table.sort_by("date")
+    refit = table["refit_idx"].to_numpy()
+    z, mean, std = (table[c].to_numpy(zero_copy_only=False).astype(float) for c in ("std_resid", "cusum_mean", "cusum_std"))
+    state, parts = R.CusumState(), []
+    for at in np.split(np.arange(len(refit)), np.flatnonzero(np.diff(refit)) + 1):
+        state.mean, state.std = float(mean[at[0]]), float(std[at[0]])
+        state, found = R.cusum(state, z[at], c.cusum_k, c.cusum_h)
+        parts.append(found)
+    out = table.drop_columns(["cusum_mean", "cusum_std"])
+    for name, key in zip(CUSUM_COLUMNS, ("alarm_high", "alarm_low", "s_pos", "s_neg", "days_since"), strict=True):
+        out = out.append_column(name, pa.array(np.concatenate([np.asarray(x[key]) for x in parts])))
+    return out
 
 
 def _nested(v):
@@ -206,14 +224,23 @@ def _nested(v):
 
 
 def frozen_filter(panel: DataFrame, refits: DataFrame, c: WalkForwardConfig) -> DataFrame:
+    """Every block is filtered in a group of its own over the prefix it needs, so the blocks of a series run in parallel; only CUSUM goes through the series."""
     cols = list(dict.fromkeys(["return_pct", "drawdown_252", *c.hmm_features, *c.forest_features, *([c.corr] if c.corr else [])]))
-    left, right = panel.select("symbol", "date", "rn", *cols).groupBy("symbol"), refits.groupBy("symbol")
+    rows = panel.select("symbol", "date", "rn", *cols).join(refits.select("symbol", F.col("refit_idx").alias("block"), F.col("t_next").alias("until")), "symbol").where("rn < until")
+    parts = max(int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions")), panel.sparkSession.sparkContext.defaultParallelism)
+    left, right = ["symbol", "block"], ["symbol", "refit_idx"]
 
     def run(rows: pd.DataFrame, fits: pd.DataFrame) -> pd.DataFrame:
-        return filter_series(rows, fits, c) if len(rows) and len(fits) else pd.DataFrame(columns=[x.strip().split()[0] for x in OOS_SCHEMA.split(",")])
+        return filter_block(rows, next(fits.itertuples(index=False)), c) if len(rows) and len(fits) else pd.DataFrame(columns=names)
 
-    raw = left.cogroup(right).applyInPandas(run, OOS_SCHEMA)
-    return raw.select(*(F.when(~F.isnan(n), F.col(n)).alias(n) if t == "double" else F.col(n) for n, t in raw.dtypes))
+    fields = [x.strip() for x in OOS_SCHEMA.split(",")]
+    late = {f"{n} {k}" for n, k in zip(CUSUM_COLUMNS, ("boolean", "boolean", "double", "double", "long"), strict=True)}
+    kind = [x for x in fields if x not in late] + ["cusum_mean double", "cusum_std double"]
+    names = [x.split()[0] for x in kind]
+    blocks = rows.repartition(parts, *left).groupBy(*left).cogroup(refits.repartition(parts, *right).groupBy(*right)).applyInPandas(run, ", ".join(kind))
+    done = blocks.groupBy("symbol").applyInArrow(lambda t: cusum_series(t, c), ", ".join([*kind[:-2], *(x for x in fields if x in late)]))
+    done = done.select(*(x.split()[0] for x in fields))
+    return done.select(*(F.when(~F.isnan(n), F.col(n)).alias(n) if t == "double" else F.col(n) for n, t in done.dtypes))
 
 
 VAR_MODELS = {"Historical Simulation": "hs", "Conditional Normal": "norm", "Conditional Student-t": "t", "GARCH-EVT (POT)": "evt"}
@@ -233,6 +260,8 @@ def assemble(panel: DataFrame, filtered: DataFrame, c: WalkForwardConfig) -> Dat
         new |= {f"var_evt_{tag}": v, f"es_evt_{tag}": e}
         v, e = -mu + sigma * F.col(f"t_{tag}"), -mu + sigma * F.col(f"et_{tag}")
         new |= {f"var_t_{tag}": v, f"es_t_{tag}": F.when(e < v, v * 1.05).otherwise(e)}
+    names = F.array(*(F.lit(x) for x in E.regime_names(c.regimes)))
+    new["regime_name"] = F.when(F.col("regime") >= 0, F.element_at(names, F.col("regime") + 1))
     df = df.withColumns(new)
     df = df.withColumns({f"breach_{m}_{t}": F.coalesce(F.col("loss_pct") > F.col(f"var_{m}_{t}"), F.lit(False)) for m in VAR_MODELS.values() for t in (95, 99)})
     weights = {f"c_{k}": F.col(f"w_{k}") for k in ("hmm", "vol", "drawdown", "anomaly")}

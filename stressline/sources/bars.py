@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+import logging
+import time
+import urllib.parse
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
+
 PRICES = ("open", "high", "low", "close")
 DATE_NAMES = ("date", "timestamp")
 
@@ -94,6 +100,38 @@ def index_bars(df: DataFrame, *, symbol: Column, date: str, value: str, shock: f
     )
 
 
+def load_series(
+    spark: SparkSession, symbol: str, cache: str, sources: Sequence[Callable[[], DataFrame | None]], *, refresh: bool = False, attempts: int = 3, wait: float = 2.0, sleep: Callable[[float], None] = time.sleep
+) -> DataFrame | None:
+    """A symbol's bars: from the cache folder, else from the first source that has rows, which are then written to the cache
+    and read back. A source that fails is tried again after ``wait`` seconds, twice as long each time. refresh asks the
+    sources first and the cache last. None where nothing has rows."""
+    path = f"{cache.rstrip('/')}/symbol={urllib.parse.quote(symbol, safe='')}"
+
+    def cached() -> DataFrame | None:
+        try:
+            df = spark.read.parquet(path).withColumn("symbol", F.lit(symbol))
+            return df if df.limit(1).count() else None
+        except AnalysisException:  # nothing is cached yet
+            return None
+
+    if not refresh and (df := cached()) is not None:
+        return df
+    for source in sources:
+        for attempt in range(attempts):
+            try:
+                df = source()
+                if df is not None and df.limit(1).count():
+                    df.drop("symbol").coalesce(1).sortWithinPartitions("date").write.mode("overwrite").parquet(path)  # one series
+                    return cached()
+                break
+            except Exception as e:  # noqa: BLE001 - whatever a source raises, it gets its further attempts
+                log.warning("source of %s failed (attempt %d of %d): %s", symbol, attempt + 1, attempts, e)
+                if attempt + 1 < attempts:
+                    sleep(wait * 2**attempt)
+    return cached()
+
+
 def resolve(primary: DataFrame | None, fallbacks: Sequence[DataFrame | None], optional: dict[str, DataFrame | None]) -> DataFrame:
     """The first source of the primary that has rows, united with those optional series that have some."""
     chosen = next((x for x in (primary, *fallbacks) if x is not None and x.limit(1).count()), None)
