@@ -24,9 +24,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bytehash import document_chunks
 from .storage import Scratch
 
-
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -34,10 +34,13 @@ class WordTokenizer:
     """Ids of whole texts for a tokenizer that never joins words across white space.
 
     Words are encoded by the tokenizer the first time they come up and joined from a
-    bounded cache after that; new words are encoded in lots of ``lot`` joined by blanks. ASCII upper case is folded before, as the vocabulary
-    is lower case; texts with the strings of special tokens go to the tokenizer whole."""
+    cache of at most ``most`` bytes after that; new words are encoded in lots of ``lot`` joined by blanks. ASCII upper case is folded before, as the vocabulary
+    is lower case; texts with the strings of special tokens go to the tokenizer whole. A word is taken apart before its closing marks only where the
+    tokenizer itself, after its own normalisation, cuts there."""
+
+    ENTRY = 180  # bytes of the objects of a cached word beside its own
 
-    def __init__(self, path: str, most: int = 1_000_000, lot: int = 512):
+    def __init__(self, path: str, most: int = 240_000_000, lot: int = 512):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -48,7 +51,8 @@ class WordTokenizer:
         for token, i in vocab.items():
             self.final[i] = token.endswith("</w>")
         self.cache: dict[bytes, bytes] = {}
-        self.most, self.lot = most, lot
+        self.apart: dict[str, bool] = {}
+        self.held, self.most, self.lot = 0, most, lot
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -56,12 +60,24 @@ class WordTokenizer:
     def _bytes(self, ids: list[int]) -> bytes:
         return array(self.kind, ids).tobytes()
 
+    def _cuts_after(self, c: str) -> bool:
+        """Whether the tokenizer cuts between this character and closing marks: a letter that normalises to letter and mark is not cut there."""
+        found = self.apart.get(c)
+        if found is None:
+            pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(f"{c}."))
+            found = self.apart[c] = len(pieces) > 1 and pieces[-1][0] == "."
+        return found
+
+    def _keep(self, word: bytes, ids: bytes) -> None:
+        self.cache[word] = ids
+        self.held += self.ENTRY + len(word) + len(ids)
+
     def _learn(self, words: set[bytes]) -> None:
         parts: dict[bytes, int] = {}  # length of the letters of a word that ends in ASCII punctuation
         whole: set[bytes] = set()
         for w in words:
             n = len(w.rstrip(_MARKS))
-            if 0 < n < len(w) and (w[n - 1 : n].isalnum() or w[:n].decode()[-1].isalnum()):
+            if 0 < n < len(w) and (w[n - 1 : n].isalnum() or (w[n - 1] > 127 and self._cuts_after(w[:n].decode()[-1]))):
                 parts[w] = n
                 whole.add(w[:n])
                 whole.add(w[n:])
@@ -81,17 +97,18 @@ class WordTokenizer:
                 continue
             raw, lo = ids.astype(self.kind).tobytes(), 0
             for i, hi in zip(lot, (ends * step).tolist(), strict=True):
-                self.cache[keys[i]] = raw[lo:hi]
+                self._keep(keys[i], raw[lo:hi])
                 lo = hi
         for i, e in zip(other, self._ids([texts[i] for i in other]), strict=True):
-            self.cache[keys[i]] = self._bytes(e)
+            self._keep(keys[i], self._bytes(e))
         for w, n in parts.items():
-            self.cache[w] = self.cache[w[:n]] + self.cache[w[n:]]
+            self._keep(w, self.cache[w[:n]] + self.cache[w[n:]])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian ids of each text."""
-        if len(self.cache) > self.most:
+        if self.held > self.most:
             self.cache.clear()
+            self.held = 0
         split = [None if t and "<|" in t else (t or "").encode().lower().replace(b"\n", b" ").split(b" ") for t in texts]
         self.cache.setdefault(b"", b"")
         new: set[bytes] = set()
@@ -108,7 +125,7 @@ class WordTokenizer:
 _loaded: dict[str, WordTokenizer] = {}
 
 
-def _tokenise(path: str, end_id: int, rows_at_once: int = 256):
+def _tokenise(path: str, end_id: int, bytes_at_once: int = 1 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _loaded.get(path) or _loaded.setdefault(path, WordTokenizer(path))
         step = array(tok.kind).itemsize
@@ -116,8 +133,8 @@ def _tokenise(path: str, end_id: int, rows_at_once: int = 256):
         part = TaskContext.get().partitionId()
         total = row = 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, rows_at_once):
-                piece = batch.slice(lo, rows_at_once)
+            for lo, hi, _, _ in document_chunks(batch.column("text"), bytes_at_once):
+                piece = batch.slice(lo, hi - lo)
                 ids = [b + end for b in tok.encode(piece.column("text").to_pylist())]
                 n = np.array([len(b) // step for b in ids], np.int64)
                 base = total + np.cumsum(n) - n

@@ -28,6 +28,26 @@ def test_cached_words_are_the_tokenizers_ids():
             assert np.frombuffer(raw, "<u2").tolist() == ref.encode(t or "", add_special_tokens=False).ids, t
 
 
+def test_every_letter_before_and_after_marks():
+    """Letters such as U+0130 or U+0958 normalise to letter and mark, which joins the marks that follow."""
+    ref, tok = Tokenizer.from_file(PATH), P.WordTokenizer(PATH)
+    for form in ("a{}, b", "{}. {}", "({}A)!", ".{}\u0301;"):
+        texts = [form.format(chr(c), chr(c)) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+        want = ref.encode_batch(texts, add_special_tokens=False)
+        assert [t for t, raw, e in zip(texts, tok.encode(texts), want, strict=True) if np.frombuffer(raw, "<u2").tolist() != e.ids] == []
+
+
+def test_random_strings_of_letters_that_normalise():
+    ref, tok = Tokenizer.from_file(PATH), P.WordTokenizer(PATH, most=20_000)
+    r = random.Random(5)
+    signs = [*"İıŞşaZé.,!?;:)(\"'-_ ", "s", "\u0958", "\u0929", "\u09dc", "\u0a33", "\u0f43", "\ufb1d", "\u05b4", "\u05d9", "\u0301", "\u0307", "\u1100", "\u1161", "\u11a8", "\u212b", "TARİHİ, ŞEHİR."]
+    for _ in range(60):
+        texts = ["".join(r.choice(signs) for _ in range(r.randint(1, 40))) for _ in range(100)]
+        for t, raw in zip(texts, tok.encode(texts), strict=True):
+            assert np.frombuffer(raw, "<u2").tolist() == ref.encode(t, add_special_tokens=False).ids, t
+        assert tok.held < 20_000 + 200_000
+
+
 @pytest.mark.parametrize("size", [2048, 16])
 def test_round_trip(spark, size):
     ref = Tokenizer.from_file(PATH)
