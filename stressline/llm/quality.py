@@ -5,8 +5,9 @@ Expectation-maximisation over the vote patterns (counted over all rows; the
 number of patterns depends on the labellers alone) estimates how each labeller
 votes on good and on bad texts, without any given label, and so the posterior of every
 pattern. A linear scorer over hashed word endings, word shapes and
-repeats is then fitted to the posteriors of at most ``fit_rows`` texts, one for each of the
-first ids by a hash, none longer than ``fit_chars``, and scores all texts. A text stays when its score is ``keep_from`` or more.
+repeats is then fitted to the posteriors of at most ``fit_rows`` whole texts of any length, one for each of the
+first ids by a hash, and scores all texts. Of a text in the fit the ``fit_features`` features with the largest shares of its words
+are held, which bounds the driver. A text stays when its score is ``keep_from`` or more.
 
 Null, empty and blank texts score 0 and go. Repeated rows score alike; a score equal to ``keep_from`` stays; of several texts
 under one sampled id the first by digest is used. Very long texts are scored whole. An empty table gives no rows. Other columns, whatever
@@ -167,12 +168,26 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(votes(data, offsets, found)), pa.array(words.astype(np.int64))], names=["doc_id", "pattern", "n_words"])
 
 
-def _features(bits: int):
+def largest(doc: np.ndarray, feat: np.ndarray, value: np.ndarray, most: int) -> np.ndarray:
+    """Which features stay if every document keeps its ``most`` largest values (ties: smaller feature); in the order given."""
+    if not len(doc) or np.bincount(doc).max() <= most:
+        return np.ones(len(doc), bool)
+    order = np.lexsort((feat, -value, doc))
+    n = np.bincount(doc)
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    keep = np.empty(len(doc), bool)
+    keep[order] = place < most
+    return keep
+
+
+def _features(bits: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in document_chunks(batch.column("text")):
                 found = word_hashes(data, offsets)
                 doc, feat, value = hashed_features(data, offsets, bits, found)
+                keep = largest(doc, feat, value, most)
+                doc, feat, value = doc[keep], feat[keep], value[keep]
                 ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=hi - lo))]).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (feat.astype(np.int32), value)]
                 yield pa.RecordBatch.from_arrays([batch.column("key").slice(lo, hi - lo), pa.array(votes(data, offsets, found)), *lists], names=["key", "pattern", "features", "shares"])
@@ -200,7 +215,7 @@ def _score(model, bits: int):
     return run
 
 
-def train(docs: DataFrame, *, bits: int = 16, fit_rows: int = 8000, fit_chars: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def train(docs: DataFrame, *, bits: int = 16, fit_rows: int = 8000, fit_features: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(patterns, posterior of good, scorer weights, P(vote | class))."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counted = texts.mapInArrow(_vote, _VOTES).where("n_words > 0").groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()  # 3**labellers rows at most
@@ -209,9 +224,9 @@ def train(docs: DataFrame, *, bits: int = 16, fit_rows: int = 8000, fit_chars: i
     codes, counts = np.array([r["pattern"] for r in counted]), np.array([r["n"] for r in counted], float)
     post, theta, _ = expectation_maximisation(pattern_votes(codes, len(LABELLERS)), counts)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64(F.col("doc_id"), F.lit(3)), "doc_id").limit(fit_rows)
-    sample = texts.join(F.broadcast(ids), "doc_id").where(F.length("text") <= fit_chars).withColumn("key", F.xxhash64("text"))
-    sample = sample.groupBy("doc_id").agg(F.min(F.struct("key", "text")).alias("one")).select("one.text", "one.key")  # fit_rows texts of fit_chars at most
-    sample = sample.mapInArrow(_features(bits), "key long, pattern long, features array<int>, shares array<double>").toArrow().sort_by("key")  # in an order of its own
+    sample = texts.join(F.broadcast(ids), "doc_id").withColumn("key", F.xxhash64("text"))
+    sample = sample.groupBy("doc_id").agg(F.min(F.struct("key", "text")).alias("one")).select("one.text", "one.key")  # fit_rows texts at most
+    sample = sample.mapInArrow(_features(bits, fit_features), "key long, pattern long, features array<int>, shares array<double>").toArrow().sort_by("key")  # in an order of its own
     if not sample.num_rows:
         return codes, post, np.zeros((1 << bits) + 1), theta
     feats, shares = sample["features"].combine_chunks(), sample["shares"].combine_chunks()

@@ -7,9 +7,9 @@ class-prior-corrected risk, whose negative part is kept from going below zero.
 
 Labels are read only for training rows (crc32 of the id as text, modulo ``folds``, is not
 ``held_out``); lang, source, doc_id and labels are no inputs of a score. The fit
-uses at most ``positives`` toxic and ``unlabelled`` other texts, one for each of the first ids by a hash (of several texts the first by
-digest), none longer than ``fit_chars``; scores cover whole texts of all rows. A feature gets a weight if at least ``least`` positives have it and their share
-exceeds the usual one by ``z_score`` standard errors. Null, empty and blank texts get the bias; without labels every score is the prior. A score equal to the
+uses at most ``positives`` toxic and ``unlabelled`` other whole texts of any length, one for each of the first ids by a hash (of several texts the first by
+digest); scores cover whole texts of all rows. A feature gets a weight if at least ``least`` positives have it and their share
+exceeds the usual one by ``z_score`` standard errors; features are counted by Spark, and only those with a weight come to the driver. Null, empty and blank texts get the bias; without labels every score is the prior. A score equal to the
 threshold is predicted toxic; repeated rows score alike; very long texts are scored whole; an empty table gives no rows. Of a labelled id
 that is repeated any toxic row counts. Other columns, whatever their names, are not read.
 """
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .bytehash import LOWER, document_chunks, word_keys, word_prefix, word_spans
 from .linear import Rows, fit_nnpu, sigmoid
+from .storage import Scratch
 
 BEGINNINGS = (4, 6, 8)
 
@@ -60,6 +61,9 @@ def word_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.bincount(word_spans(data, offsets)[2], minlength=len(offsets) - 1)
 
 
+_SETS = "key long, toxic int, features array<int>, shares array<float>"
+
+
 def _feature_sets(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,15 +95,29 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
 
 
-def _rows(table: pa.Table, known: np.ndarray) -> Rows:
+def _only(known):
+    """Keeps the features with a weight."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = known.value
+        for batch in batches:
+            lists, shares = batch.column("features"), batch.column("shares")
+            flat, ends = lists.flatten().to_numpy(), np.asarray(lists.offsets)
+            keep = mask[flat]
+            upto = pa.array(np.concatenate([[0], np.cumsum(keep)])[ends - ends[0]].astype(np.int32))
+            kept = [pa.ListArray.from_arrays(upto, pa.array(x[keep])) for x in (flat, shares.flatten().to_numpy())]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("toxic"), *kept], names=["key", "toxic", "features", "shares"])
+
+    return run
+
+
+def _rows(table: pa.Table) -> Rows:
     lists, shares = table["features"].combine_chunks(), table["shares"].combine_chunks()
-    flat, ends = lists.flatten().to_numpy(), np.asarray(lists.offsets)
-    keep = known[flat]
-    upto = np.concatenate([[0], np.cumsum(keep)])[ends[1:] - ends[0]]
-    return Rows(flat[keep].astype(np.int64), shares.flatten().to_numpy()[keep].astype(float), upto)
+    ends = np.asarray(lists.offsets).astype(np.int64)
+    return Rows(lists.flatten().to_numpy().astype(np.int64), shares.flatten().to_numpy().astype(float), ends[1:] - ends[0])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, folds: int = 4, held_out: int = 2, bits: int = 18, positives: int = 3000, unlabelled: int = 9000, least: int = 3, z_score: float = 4.0, fit_chars: int = 20_000) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, *, folds: int = 4, held_out: int = 2, bits: int = 18, positives: int = 3000, unlabelled: int = 9000, least: int = 3, z_score: float = 4.0) -> np.ndarray:
     """Weights of the hashed features and, last, the bias."""
     seen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold_of(F.col("doc_id"), folds) != held_out))
     n, n_toxic = seen.agg(F.count("*"), F.sum("toxic")).first()
@@ -113,18 +131,21 @@ def train(docs: DataFrame, labels: DataFrame, *, folds: int = 4, held_out: int =
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id"), folds) != held_out)).distinct()
     u = ids.orderBy(F.xxhash64(F.col("doc_id"), F.lit(8)), "doc_id").limit(unlabelled).withColumn("toxic", F.lit(0))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = texts.join(F.broadcast(p.union(u)), "doc_id").where(F.length("text") <= fit_chars).withColumn("key", F.xxhash64("text"))  # positives + unlabelled ids at most
+    sample = texts.join(F.broadcast(p.union(u)), "doc_id").withColumn("key", F.xxhash64("text"))  # positives + unlabelled ids at most
     sample = sample.groupBy("doc_id", "toxic").agg(F.min(F.struct("key", "text")).alias("one")).select("toxic", "one.text", "one.key")
-    table = sample.mapInArrow(_feature_sets(bits), "key long, toxic int, features array<int>, shares array<float>").toArrow().sort_by("key")
-    toxic = table["toxic"].to_numpy() == 1
-    pos, unl = table.filter(pa.array(toxic)), table.filter(pa.array(~toxic))
-    if not pos.num_rows or not unl.num_rows:
+    sample = Scratch(docs.sparkSession, "toxicity").save(sample.mapInArrow(_feature_sets(bits), _SETS), "sample")
+    sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    if not sizes.get(0) or not sizes.get(1):
         weight[-1] = np.log(n_toxic / (n - n_toxic))
         return weight
-    held, base = (np.bincount(t["features"].combine_chunks().flatten().to_numpy(), minlength=1 << bits) for t in (pos, unl))
-    usual = (base + 0.5) / (unl.num_rows + 1)
-    known = (held >= least) & ((held / pos.num_rows - usual) >= z_score * np.sqrt(usual * (1 - usual) / pos.num_rows))
-    weight[:] = fit_nnpu(_rows(pos, known), _rows(unl, known), n_toxic / n, 1 << bits)
+    counted = sample.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(F.count_if(F.col("toxic") == 1).alias("held"), F.count_if(F.col("toxic") == 0).alias("base")).where(F.col("held") >= least).toArrow()  # 2**bits rows at most
+    held, base = np.zeros(1 << bits), np.zeros(1 << bits)
+    held[counted["f"].to_numpy()], base[counted["f"].to_numpy()] = counted["held"].to_numpy(), counted["base"].to_numpy()
+    usual = (base + 0.5) / (sizes[0] + 1)
+    known = (held >= least) & ((held / sizes[1] - usual) >= z_score * np.sqrt(usual * (1 - usual) / sizes[1]))
+    table = sample.mapInArrow(_only(docs.sparkSession.sparkContext.broadcast(known)), _SETS).toArrow().sort_by("key")
+    toxic = table["toxic"].to_numpy() == 1
+    weight[:] = fit_nnpu(_rows(table.filter(pa.array(toxic))), _rows(table.filter(pa.array(~toxic))), n_toxic / n, 1 << bits)
     weight[:-1][~known] = 0
     return weight
 

@@ -15,15 +15,15 @@ def _held(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 4 == 2
 
 
-def _toxic_rows(n=900, seed=4):
+def _toxic_rows(n=900, seed=4, words_of=(8, 120)):
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7)))
     docs, labels = [], []
     for i in range(n):
-        words = [word() for _ in range(r.randint(8, 120))]
+        words = [word() for _ in range(r.randint(*words_of))]
         toxic = int(r.random() < 0.2)
         if toxic:
-            for _ in range(3):
+            for _ in range(max(3, len(words) // 40)):
                 words[r.randrange(len(words))] = r.choice(["vilest,", "Grubby", "zzqqling", "zzqqster", "zzqqish."])
         docs.append((i, " ".join(words), "s"))
         if r.random() < 0.6:
@@ -72,12 +72,12 @@ def test_nnpu_separates():
     assert np.mean((z > 0) == y[2000:]) > 0.75
 
 
-def _quality_rows(n=600, seed=8):
+def _quality_rows(n=600, seed=8, words_of=(12, 150)):
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8)))
     rows, good = [], {}
     for i in range(n):
-        words = [word() for _ in range(r.randint(12, 150))]
+        words = [word() for _ in range(r.randint(*words_of))]
         kind = r.choice(["good"] * 12 + ["shout", "symbols", "repeat", "bars"])
         if kind == "good":
             text = ". ".join(" ".join(words[k : k + 9]).capitalize() for k in range(0, len(words), 9)) + "."
@@ -86,7 +86,7 @@ def _quality_rows(n=600, seed=8):
         elif kind == "symbols":
             text = " ".join(w + r.choice(["###", "$$$", "%%%"]) for w in words)
         elif kind == "repeat":
-            text = " ".join(w for w in words[:5] for _ in range(30))
+            text = " ".join(w for w in words[:5] for _ in range(len(words) // 4 + 5))
         else:
             text = " | ".join(words)
         rows.append((i, text))
@@ -107,6 +107,24 @@ def test_quality_against_truth(spark):
     assert Q.score_quality(df.limit(0)).count() == 0
 
 
+def test_a_corpus_of_long_texts_is_fitted_and_scored(spark):
+    """Texts of over 21,000 characters only: the classifiers tell them apart as they do short ones."""
+    rows, good = _quality_rows(160, words_of=(4600, 4900))
+    assert sum(len(t) > 21_000 for _, t in rows) > 150
+    got = {x["doc_id"]: x for x in Q.score_quality(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert np.mean([got[d]["keep"] == g for d, g in good.items()]) > 0.95 and len({x["score"] for x in got.values()}) > 50
+    docs, labels, truth = _toxic_rows(240, words_of=(4600, 4900))
+    scored = X.score_toxicity(spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(4), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    held = [(x["score"], truth[x["doc_id"]]) for x in scored if x["doc_id"] in truth and _held(x["doc_id"])]
+    assert min(s for s, t in held if t) > max(s for s, t in held if not t)
+
+
+def test_the_fit_holds_the_largest_shares():
+    doc, feat, value = np.array([0, 0, 0, 2, 2]), np.array([5, 3, 9, 1, 2]), np.array([0.2, 0.5, 0.2, 0.1, 0.9])
+    assert Q.largest(doc, feat, value, 2).tolist() == [True, True, False, True, True]
+    assert Q.largest(doc, feat, value, 3).all() and Q.largest(doc[:0], feat[:0], value[:0], 1).all()
+
+
 def test_em_finds_accuracies():
     rng = np.random.default_rng(2)
     n = 20_000
