@@ -98,12 +98,12 @@ def document_chunks(column: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tupl
         lo = hi
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and document of every maximal run of non-space bytes."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document of every maximal run of bytes that do not keep words apart."""
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, z
-    word = ~SPACE[data]
+    word = ~apart[data]
     first = np.zeros(len(data), bool)
     cut = offsets[:-1]
     first[cut[cut < len(data)]] = True

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, prefix_trie, url_filters
+from . import exact_dedup, jaccard_join, prefix_trie, ranked_search, url_filters
 from .exact_dedup import exact_groups
 from .hilbert_shards import document_shards
 from .jaccard_join import jaccard_classes
@@ -14,6 +14,7 @@ from .media import media_columns
 from .packing import pack_documents
 from .prefix_trie import conversation_trie
 from .quality import score_quality
+from .ranked_search import rank_documents
 from .repeated_spans import remove_repeats
 from .source_mixing import mix_digest
 from .toxicity import score_toxicity
@@ -71,6 +72,10 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(_table(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(_table(spark, sf_dir, "conversations"))
 
@@ -81,9 +86,9 @@ def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_quality_classifier, op2_source_mixing, op3_hilbert_sharding, op4_warc_index_merge, op5_media_columns, op6_ngram_jaccard_join, op7_toxicity_pu, op8_packing, op9_exact_dedup, op10_suffix_array_dedup, op12_conversation_prefix_trie, op13_url_filters)
+    ops = (op1_quality_classifier, op2_source_mixing, op3_hilbert_sharding, op4_warc_index_merge, op5_media_columns, op6_ngram_jaccard_join, op7_toxicity_pu, op8_packing, op9_exact_dedup, op10_suffix_array_dedup, op11_ranked_search, op12_conversation_prefix_trie, op13_url_filters)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_ngram_jaccard_join": jaccard_join.ORACLE_SQL, "op9_exact_dedup": exact_dedup.ORACLE_SQL, "op12_conversation_prefix_trie": prefix_trie.ORACLE_SQL, "op13_url_filters": url_filters.ORACLE_SQL}
+    return {"op6_ngram_jaccard_join": jaccard_join.ORACLE_SQL, "op9_exact_dedup": exact_dedup.ORACLE_SQL, "op11_ranked_search": ranked_search.ORACLE_SQL, "op12_conversation_prefix_trie": prefix_trie.ORACLE_SQL, "op13_url_filters": url_filters.ORACLE_SQL}
