@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stressline.functions.columns import by_symbol, ratio
+from stressline.functions.prefix import running_totals
+from stressline.sources.once import written_once
 
 
 def label_events(df: DataFrame, *, h: int = 10, x: float = 0.05, price: str = "close") -> DataFrame:
@@ -94,28 +96,33 @@ def match_leads(episodes: DataFrame, spells: DataFrame, *, min_lead: int = 1, ma
 
 def curve_areas(df: DataFrame, score: str, label: str, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """roc_auc (ties share their rank) and pr_auc (trapezoids of the precision-recall curve, ending at recall 0, precision 1);
-    0.5 and 0 where a class is missing. Scores are grouped first, then summed from the highest down."""
-    rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    g = rows.groupBy(*keys, F.col(score).alias("_s")).agg(F.sum(label).cast("double").alias("_p"), F.count("*").cast("double").alias("_n"))
-    w = Window.partitionBy(*keys).orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    g = g.withColumns({"_tp": F.sum("_p").over(w), "_all": F.sum("_n").over(w), "_P": F.sum("_p").over(whole), "_N": F.sum("_n").over(whole)})
-    step = Window.partitionBy(*keys).orderBy(F.desc("_s"))
-    g = g.withColumns({"_fp": F.col("_all") - F.col("_tp"), "_prec": F.col("_tp") / F.col("_all")})
-    tp0, fp0, prec0 = (F.coalesce(F.lag(c).over(step), F.lit(d)) for c, d in (("_tp", 0.0), ("_fp", 0.0), ("_prec", 1.0)))
-    g = g.withColumns({"_roc": (F.col("_tp") + tp0) / 2 * (F.col("_fp") - fp0), "_pr": (F.col("_prec") + prec0) / 2 * (F.col("_tp") - tp0)})
-    out = g.groupBy(*keys).agg(F.sum("_roc").alias("_roc"), F.sum("_pr").alias("_pr"), F.first("_P").alias("_P"), F.first("_N").alias("_N"))
+    0.5 and 0 where a class is missing. A missing score counts as 0, as no alarm was raised there. Scores are grouped first, then summed from the highest
+    down in two levels, so one key may hold most of the rows."""
+    keys = list(keys)
+    rows = df.where(F.col(label).isNotNull()).select(*keys, F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("_s"), F.col(label).alias("_y"))
+    g = rows.groupBy(*keys, "_s").agg(F.sum("_y").cast("double").alias("_p"), F.count("*").cast("double").alias("_n"))
+    g = running_totals(g, keys, "_s", ("_p", "_n"), descending=True)
+    tp, seen = F.col("_p_upto"), F.col("_n_upto")
+    tp0, seen0 = tp - F.col("_p"), seen - F.col("_n")
+    fp, fp0 = seen - tp, seen0 - tp0
+    before = F.coalesce(F.try_divide(tp0, seen0), F.lit(1.0))
+    areas = g.groupBy(*keys).agg(
+        F.sum((tp + tp0) / 2 * (fp - fp0)).alias("_roc"), F.sum((tp / seen + before) / 2 * (tp - tp0)).alias("_pr"), F.max("_p_all").alias("_P"), F.max("_n_all").alias("_N")
+    )
     both = (F.col("_P") > 0) & (F.col("_P") < F.col("_N"))
-    return out.select(
+    return areas.select(
         *keys, F.when(both, F.try_divide("_roc", F.col("_P") * (F.col("_N") - F.col("_P")))).otherwise(0.5).alias("roc_auc"), F.when(both, F.try_divide("_pr", "_P")).otherwise(0.0).alias("pr_auc")
     )
 
 
 def evaluate_alarms(df: DataFrame, alarm: str, score: str, *, max_gap: int = 5, max_lead: int = 30, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """One row a key: episode recall, spell precision, F1, lead times, row confusion and curve areas.
+    """One row a key: episode recall, spell precision, F1, lead times (0 where nothing was led), row confusion and curve areas over
+    all rows, where a missing score counts as 0.
 
-    df needs rn, event_label, crisis_onset, episode_id, the alarm and the score; rn counts rows of df."""
+    df needs rn, event_label, crisis_onset, episode_id, the alarm and the score; rn counts rows of df. Five plans read df, so its columns are written once."""
     keys = list(keys)
+    df = written_once(df.select(*keys, "date", "rn", "event_label", "crisis_onset", "episode_id", F.col(alarm).alias("_alarm"), F.col(score).cast("double").alias("_score")), "alarms")
+    alarm, score = "_alarm", "_score"
     spells = alarm_spells(df, alarm, max_gap=max_gap, score=score, keys=keys)
     episodes = df.where("crisis_onset").select(*keys, "episode_id", F.col("rn").alias("onset_rn"))
     pairs = match_leads(episodes, spells, max_lead=max_lead, keys=keys)
@@ -132,7 +139,7 @@ def evaluate_alarms(df: DataFrame, alarm: str, score: str, *, max_gap: int = 5,
     recall, precision = ratio(zero("detected"), F.col("episodes"), 0), ratio(zero("_good"), zero("spells"), 0)
     return out.select(
         *keys, "episodes", zero("spells").alias("spells"), zero("detected").alias("detected"), recall.alias("episode_recall"), precision.alias("spell_precision"), ratio(2 * recall * precision, recall + precision, 0).alias("f1"),
-        "mean_lead", "median_lead", "iqr_lead", "tp", "fp", "tn", "fn", ratio(F.col("tp"), F.col("tp") + F.col("fp"), 0).alias("daily_precision"), ratio(F.col("tp"), F.col("tp") + F.col("fn"), 0).alias("daily_recall"),
+        *(zero(c).alias(c) for c in ("mean_lead", "median_lead", "iqr_lead")), "tp", "fp", "tn", "fn", ratio(F.col("tp"), F.col("tp") + F.col("fp"), 0).alias("daily_precision"), ratio(F.col("tp"), F.col("tp") + F.col("fn"), 0).alias("daily_recall"),
         ratio(F.col("fp"), F.col("fp") + F.col("tn"), 0).alias("false_alarm_rate"), F.coalesce("roc_auc", F.lit(0.5)).alias("roc_auc"), F.coalesce("pr_auc", F.lit(0.0)).alias("pr_auc"),
     )
 
@@ -140,9 +147,9 @@ def evaluate_alarms(df: DataFrame, alarm: str, score: str, *, max_gap: int = 5,
 def compare_baselines(df: DataFrame, *, msi: str = "msi_headline", vix: str | None = None, vol: str = "rv_20", drawdown: str = "drawdown_252", max_gap: int = 5) -> DataFrame:
     """One row a model: the index against volatility, drawdown and level rules, evaluated in one pass over a long table.
 
-    The volatility threshold is the 90th percentile of the evaluated slice."""
+    The volatility threshold is the 90th percentile of the evaluated slice. Without ``vix`` the level scores 0 everywhere and never alarms."""
     df = df.withColumn("_cut", F.percentile(vol, F.lit(0.9)).over(Window.partitionBy("symbol")))
-    level = F.col(vix) if vix else F.lit(None).cast("double")
+    level = F.col(vix) if vix else F.lit(0.0)
     models = [("Stress index", F.col(msi) >= 50, F.col(msi)), ("Realised volatility", F.col(vol) >= F.col("_cut"), F.col(vol)), ("Drawdown", F.col(drawdown) <= -0.05, -F.col(drawdown)), ("Level", level >= 24, level)]
     parts = F.array(*(F.struct(F.lit(n).alias("model"), a.alias("alarm"), s.cast("double").alias("score")) for n, a, s in models))
     long = df.select("symbol", "date", "rn", "event_label", "crisis_onset", "episode_id", F.explode(parts).alias("_m")).select("symbol", "date", "rn", "event_label", "crisis_onset", "episode_id", "_m.*")

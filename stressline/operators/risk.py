@@ -113,13 +113,13 @@ def gpd_shortfall(z: Column, u: Column, xi: Column, beta: Column) -> Column:
 
 
 def mean_residual_life(df: DataFrame, loss: str, *, points: int = 50, lo: float = 0.70, hi: float = 0.98) -> DataFrame:
-    """Mean excess over a grid of thresholds with a 95 % band where more than ten losses exceed it.
+    """Mean excess over a grid of thresholds with its 95 % band; NULL at thresholds that ten losses or fewer exceed. Every grid point is returned.
 
     A loss is counted once, at the highest threshold below it; sums from the highest threshold down give the rest."""
-    w = Window.partitionBy("symbol")
     x = F.col("_x")
     rows = df.select("symbol", F.col(loss).cast("double").alias("_x")).where("_x is not null")
-    rows = rows.withColumns({"_lo": F.percentile("_x", F.lit(lo)).over(w), "_hi": F.percentile("_x", F.lit(hi)).over(w)})
+    ends = rows.groupBy("symbol").agg(F.percentile("_x", F.lit(lo)).alias("_lo"), F.percentile("_x", F.lit(hi)).alias("_hi"))
+    rows = rows.join(ends, "symbol")
     at = lambda k: F.col("_lo") + (F.col("_hi") - F.col("_lo")) * k / (points - 1)
     k = F.coalesce(F.floor(F.try_divide(x - F.col("_lo"), F.col("_hi") - F.col("_lo")) * (points - 1)), F.lit(points - 1))
     k = F.greatest(F.lit(0), F.least(F.lit(points - 1), k))
@@ -127,10 +127,10 @@ def mean_residual_life(df: DataFrame, loss: str, *, points: int = 50, lo: float
     near = F.when((F.col("_k") < points - 1) & (x > at(F.col("_k") + 1)), F.col("_k") + 1).when(x > at(F.col("_k")), F.col("_k")).otherwise(F.col("_k") - 1)
     rows = rows.withColumns({"point": near.cast("int"), "_d": x - F.col("_lo")}).where("point >= 0")
     sums = rows.groupBy("symbol", "_lo", "_hi", "point").agg(F.count("*").alias("n"), F.sum("_d").alias("d"), F.sum(F.col("_d") * F.col("_d")).alias("d2"))
-    grid = sums.select("symbol", "_lo", "_hi").distinct().withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    grid = ends.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     down = Window.partitionBy("symbol").orderBy(F.desc("point")).rowsBetween(Window.unboundedPreceding, 0)
-    got = grid.join(sums.drop("_lo", "_hi"), ["symbol", "point"], "left").select("symbol", "point", at(F.col("point")).alias("threshold"), "_lo", *(F.sum(c).over(down).alias(c) for c in ("n", "d", "d2"))).where("n > 0")
-    mean = F.col("d") / F.col("n") - (F.col("threshold") - F.col("_lo"))
+    got = grid.join(sums.drop("_lo", "_hi"), ["symbol", "point"], "left").select("symbol", "point", at(F.col("point")).alias("threshold"), "_lo", *(F.coalesce(F.sum(c).over(down), F.lit(0)).alias(c) for c in ("n", "d", "d2")))
+    mean = F.when(F.col("n") > 10, F.col("d") / F.col("n") - (F.col("threshold") - F.col("_lo")))
     sd = F.sqrt(F.greatest(F.lit(0.0), (F.col("d2") - F.col("d") * F.col("d") / F.col("n")) / F.when(F.col("n") > 1, F.col("n") - 1)))
     half = F.when(F.col("n") > 10, 1.96 * sd / F.sqrt("n"))
     return got.select("symbol", "point", "threshold", "n", mean.alias("mean_excess"), (mean - half).alias("lower"), (mean + half).alias("upper"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stressline.functions.columns import clip, row_mean
+from stressline.functions.prefix import running_totals
 
 COMPONENTS = ("c_hmm", "c_vol", "c_drawdown", "c_anomaly", "c_cross_asset")
 #: Lower ends of the bands.
@@ -18,20 +19,20 @@ PRIMARY, SECONDARY = 50.0, 75.0
 def ecdf_columns(df: DataFrame, specs: Mapping[str, str], train_rows: int, flags: bool = True) -> DataFrame:
     """For each {name: value}: the share of training values (rn < train_rows) up to this value, and whether it exceeds them all.
 
-    Training counts are taken by value and summed over the sorted union of values, so nothing is held in one
-    array; without training values the share is 0 and the flag false."""
+    Training counts are taken by value and summed over the sorted union of values in two levels, so nothing is held in one
+    array and a symbol may hold most of the rows; without training values the share is 0 and the flag false."""
     for name, value in specs.items():
         v, train = F.col(value), F.col("rn") < train_rows
-        counts = df.where(v.isNotNull()).groupBy("symbol", v.alias("_v")).agg(F.count_if(train).alias("_t"))
-        w = Window.partitionBy("symbol").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-        whole = Window.partitionBy("symbol")
-        counts = counts.select(F.col("symbol").alias("_s"), "_v", F.sum("_t").over(w).alias("_le"), F.sum("_t").over(whole).alias("_n"), F.max(F.when(F.col("_t") > 0, F.col("_v"))).over(whole).alias("_max"))
+        counts = df.where(v.isNotNull()).groupBy("symbol", v.cast("double").alias("_v")).agg(F.count_if(train).alias("_t"))
+        counts = running_totals(counts, ["symbol"], "_v", ["_t"])
+        beyond = (F.col("_t") == 0) & (F.col("_t_upto") == F.col("_t_all")) & (F.col("_t_all") > 0)
+        counts = counts.select(F.col("symbol").alias("_s"), "_v", F.col("_t_upto").alias("_le"), F.col("_t_all").alias("_n"), beyond.alias("_new"))
         df = df.join(counts, (F.col("symbol") == F.col("_s")) & (v == F.col("_v")), "left")
         share = F.coalesce(F.try_divide(F.col("_le").cast("double"), F.col("_n")), F.lit(0.0))
         new = {name: F.when(v.isNotNull(), share)}
         if flags:
-            new[f"{name}_exceeds"] = F.when(v.isNotNull(), F.coalesce(v > F.col("_max"), F.lit(False)))
-        df = df.withColumns(new).drop("_s", "_v", "_le", "_n", "_max")
+            new[f"{name}_exceeds"] = F.when(v.isNotNull(), F.coalesce("_new", F.lit(False)))
+        df = df.withColumns(new).drop("_s", "_v", "_le", "_n", "_new")
     return df
 
 

@@ -348,11 +348,12 @@ def alarm_spells(spark: SparkSession, d: str) -> DataFrame:
     return rounded(EV.alarm_spells(_alarmed(EV.label_events(panel_bars(spark, d))), "alarm", score="score"), 8)
 
 
-_AUC = """, g as (select symbol, score, sum(event_label) p, count(*) n from {src} where score is not null group by 1, 2),
+# Every row counts: a score that is missing is filled with 0.
+_AUC = """, g as (select symbol, coalesce(score, 0.0) score, sum(event_label) p, count(*) n from {src} group by 1, 2),
 gc as (select *, sum(p) over w tp, sum(n) over w al_, sum(p) over (partition by symbol) pp, sum(n) over (partition by symbol) nn from g window w as (partition by symbol order by score desc rows unbounded preceding)),
 gd as (select *, al_ - tp fp, tp * 1.0 / al_ prec from gc),
 gl as (select *, coalesce(lag(tp) over v, 0) tp0, coalesce(lag(fp) over v, 0) fp0, coalesce(lag(prec) over v, 1.0) prec0 from gd window v as (partition by symbol order by score desc)),
-auc as (select symbol, sum((tp + tp0) / 2.0 * (fp - fp0)) / (max(pp) * (max(nn) - max(pp)) * 1.0) roc_auc, sum((prec + prec0) / 2 * (tp - tp0)) / max(pp) pr_auc from gl group by 1)"""
+auc as (select symbol, sum((tp + tp0) / 2.0 * (fp - fp0)) / nullif(max(pp) * (max(nn) - max(pp)) * 1.0, 0) roc_auc, case when max(pp) between 1 and max(nn) - 1 then sum((prec + prec0) / 2 * (tp - tp0)) / max(pp) end pr_auc from gl group by 1)"""
 
 
 @query(PANEL + EVENTS_SQL + _ALARM + ", src as (select *, -dd score from al)" + _AUC.format(src="src") + " select symbol, round(roc_auc, 8) roc_auc, round(pr_auc, 8) pr_auc from auc")
@@ -365,7 +366,7 @@ led as (select symbol, episode_id, min(lead_) ld from pairs group by 1, 2), lagg
 hit as (select symbol, count(distinct sid) good from pairs group by 1), ns as (select symbol, count(*) spells from sc group by 1),
 rows_ as (select symbol, count_if(alarm and event_label = 1) tp, count_if(alarm and event_label = 0) fp, count_if(not alarm and event_label = 0) tn, count_if(not alarm and event_label = 1) fn, count_if(crisis_onset) episodes from al group by 1),
 t as (select r.*, coalesce(spells, 0) spells, coalesce(detected, 0) detected, coalesce(detected * 1.0 / nullif(episodes, 0), 0) rec, coalesce(good * 1.0 / nullif(spells, 0), 0) prec, mean_lead, median_lead, iqr_lead, roc_auc, pr_auc from rows_ r left join ns using (symbol) left join hit using (symbol) left join lagg using (symbol) left join auc using (symbol))"""
-_WARNING_COLUMNS = """episodes, spells, detected, round(rec, 6) episode_recall, round(prec, 6) spell_precision, round(coalesce(2 * rec * prec / nullif(rec + prec, 0), 0), 6) f1, round(mean_lead, 6) mean_lead, round(median_lead, 6) median_lead, round(iqr_lead, 6) iqr_lead, tp, fp, tn, fn,
+_WARNING_COLUMNS = """episodes, spells, detected, round(rec, 6) episode_recall, round(prec, 6) spell_precision, round(coalesce(2 * rec * prec / nullif(rec + prec, 0), 0), 6) f1, round(coalesce(mean_lead, 0), 6) mean_lead, round(coalesce(median_lead, 0), 6) median_lead, round(coalesce(iqr_lead, 0), 6) iqr_lead, tp, fp, tn, fn,
 round(coalesce(tp * 1.0 / nullif(tp + fp, 0), 0), 6) daily_precision, round(coalesce(tp * 1.0 / nullif(tp + fn, 0), 0), 6) daily_recall, round(coalesce(fp * 1.0 / nullif(fp + tn, 0), 0), 6) false_alarm_rate, round(coalesce(roc_auc, 0.5), 6) roc_auc, round(coalesce(pr_auc, 0), 6) pr_auc"""
 
 
@@ -531,8 +532,8 @@ def gpd_quantiles(spark: SparkSession, d: str) -> DataFrame:
     PANEL
     + RET
     + """, l as (select symbol, -100 * ret loss from r where ret is not null), q7 as (select symbol, quantile_cont(loss, 0.7) a, quantile_cont(loss, 0.98) b from l group by 1), gr as (select symbol, point, a + (b - a) * point / 49 threshold from q7, range(0, 50) t(point)),
-m as (select l.symbol, point, threshold, count(*) n, avg(loss - threshold) me, stddev_samp(loss - threshold) sd from l join gr on l.symbol = gr.symbol and loss > threshold group by 1, 2, 3)
-select symbol, cast(point as int) as point, round(threshold, 6) threshold, n, round(me, 6) mean_excess, case when n > 10 then round(me - 1.96 * sd / sqrt(n), 6) end as lower, case when n > 10 then round(me + 1.96 * sd / sqrt(n), 6) end as upper from m"""
+m as (select gr.symbol, point, threshold, count(loss) n, avg(loss - threshold) me, stddev_samp(loss - threshold) sd from gr left join l on l.symbol = gr.symbol and loss > threshold group by 1, 2, 3)
+select symbol, cast(point as int) as point, round(threshold, 6) threshold, n, case when n > 10 then round(me, 6) end mean_excess, case when n > 10 then round(me - 1.96 * sd / sqrt(n), 6) end as lower, case when n > 10 then round(me + 1.96 * sd / sqrt(n), 6) end as upper from m"""
 )
 def mean_residual_life(spark: SparkSession, d: str) -> DataFrame:
     df = FT.add_returns(panel_bars(spark, d)).where("return is not null").withColumn("loss", -F.col("return_pct"))

@@ -1,18 +1,12 @@
-"""Every core query against its SQL on the smallest tables."""
+"""Every core query with SQL against its SQL on the smallest tables."""
 
 import os
-import zlib
 
 import duckdb
 import pytest
 
 from stressline.plans import queries as Q
 
-#: A third of the queries with SQL by a checksum of their name, and these; the driver compares all.
-ALWAYS = ("bars_daily", "crisis_onsets", "feature_matrix", "baseline_comparison", "lead_histogram", "garch_forecast", "coverage_scorecard", "mean_residual_life", "hs_var", "pacf", "calendar_align")
-FAST = sorted({n for n in Q.ORACLES if zlib.crc32(n.encode()) % 3 == 0} | set(ALWAYS))
-
-
 @pytest.fixture(scope="module")
 def duck(sf):
     c = duckdb.connect()
@@ -21,7 +15,7 @@ def duck(sf):
     return c
 
 
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", sorted(Q.ORACLES))
 def test_query_equals_sql(spark, sf, duck, name):
     got, want = Q.QUERIES[name](spark, sf).toPandas(), duck.sql(Q.ORACLES[name]).df()
     cols = sorted(got.columns)
