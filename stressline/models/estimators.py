@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections import deque
 from collections.abc import Callable
 
 import numpy as np
@@ -405,72 +404,6 @@ def pelt_grid(x: np.ndarray, factors=(1.0, 2.0, 3.0, 4.0, 5.0, 7.5, 10.0), *, le
     return {c: pelt(x, c * math.log(len(x)), least=least) for c in factors}
 
 
-# --- mean models ------------------------------------------------------------------------------------------------------
-
-
-def fit_arma(x: np.ndarray, p: int, q: int, constant: bool) -> dict:
-    """Conditional least squares ARMA by Gauss-Newton from a long autoregression."""
-    x = np.asarray(x, float)
-    n, lag = len(x), max(p, q, 1)
-    k = p + q + constant
-
-    def residuals(b: np.ndarray) -> np.ndarray:
-        c, ar, ma = (b[0] if constant else 0.0), b[constant : constant + p], b[constant + p :]
-        base = x - c
-        for i, a in enumerate(ar, 1):
-            base[i:] -= a * x[:-i]
-        if not q:
-            return base[lag:]
-        m, past, e = ma.tolist(), deque([0.0] * q, q), []
-        for v in base[lag:].tolist():
-            for c, u in zip(m, past):
-                v -= c * u
-            past.appendleft(v)
-            e.append(v)
-        return np.array(e)
-
-    b = np.zeros(k)
-    if constant:
-        b[0] = x.mean()
-    if p:
-        design = np.column_stack([np.ones(n - p), *(x[p - i : n - i] for i in range(1, p + 1))])
-        ar = np.linalg.lstsq(design, x[p:], rcond=None)[0]
-        b[constant : constant + p] = ar[1:]
-        if constant:
-            b[0] = ar[0]
-    e = residuals(b)
-    best = float(e @ e)
-    for _ in range(30 if q else 1):
-        if not k:
-            break
-        jac = np.column_stack([(residuals(b + d) - e) / 1e-6 for d in np.eye(k) * 1e-6])
-        step = np.linalg.lstsq(jac, -e, rcond=None)[0]
-        for shrink in (1.0, 0.5, 0.25, 0.1, 0.02):
-            new = b + shrink * step
-            if np.abs(new[constant + p :]).sum() < 0.999 * max(q, 1):
-                with np.errstate(all="ignore"):
-                    f = residuals(new)
-                    total = float(f @ f)
-                if total < best * (1 - 1e-10):
-                    b, e, best, moved = new, f, total, True
-                    break
-        else:
-            break
-    m = len(e)
-    s2 = max(best / m, 1e-300)
-    ll = -0.5 * m * (math.log(2 * math.pi * s2) + 1)
-    last = np.concatenate([np.zeros(q), e])[-q:] if q else np.zeros(0)
-    forecast = (b[0] if constant else 0.0) + sum(a * x[-i] for i, a in enumerate(b[constant : constant + p], 1)) + sum(a * last[-i] for i, a in enumerate(b[constant + p :], 1))
-    return {"p": p, "q": q, "constant": constant, "n_params": k + 1, "bic": (k + 1) * math.log(m) - 2 * ll, "aic": 2 * (k + 1) - 2 * ll, "sigma2": s2, "coef": b, "forecast": float(forecast)}
-
-
-def select_arma(x: np.ndarray, *, p_max: int = 3, q_max: int = 3, within: float = 2.0) -> dict:
-    """Of the orders within ``within`` of the least BIC, the one with fewest parameters, then least BIC."""
-    fits = [fit_arma(x, p, q, c) for p in range(p_max + 1) for q in range(q_max + 1) for c in (True, False)]
-    least = min(f["bic"] for f in fits)
-    return min((f for f in fits if f["bic"] <= least + within), key=lambda f: (f["n_params"], f["bic"]))
-
-
 # --- index weights ----------------------------------------------------------------------------------------------------
 
 

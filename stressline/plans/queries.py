@@ -20,6 +20,7 @@ from stressline.operators import stress as SX
 from stressline.operators import validation as VA
 from stressline.plans import arma as AR
 from stressline.plans import reports as RP
+from stressline.plans import slices as SL
 from stressline.plans import walk_forward as WF
 from stressline.sources import bars as B
 from stressline.streaming import stateful as SM
@@ -961,11 +962,9 @@ def pelt(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def arma_select(spark: SparkSession, d: str) -> DataFrame:
-    def fit(x: np.ndarray) -> list[dict]:
-        m = E.select_arma(x)
-        return [{k: m[k] for k in ("p", "q", "constant", "n_params", "bic", "forecast")}]
-
-    return rounded(_per_symbol(_spread(FT.add_returns(panel_bars(spark, d))), "return_pct", fit, "p int, q int, constant boolean, n_params int, bic double, forecast double"), 3)
+    df = FT.add_returns(FT.with_row_number(panel_bars(spark, d)))
+    fits = AR.order_fits(df, "return_pct", slices=SL.parallelism(df))
+    return rounded(AR.chosen(fits, ["symbol"]).select("symbol", "p", "q", "constant", "n_params", "bic", "forecast"), 3)
 
 
 @query()

@@ -5,6 +5,7 @@ import datetime as dt
 import numpy as np
 import pytest
 
+from stressline.models import arma as A
 from stressline.models import estimators as E
 from stressline.operators import features as FT
 from stressline.plans import queries as Q
@@ -26,7 +27,7 @@ def long_orders(spark, tmp_path_factory):
 def test_arma_select_tries_all_orders_on_all_rows(spark, long_orders):
     bars = FT.add_returns(Q.panel_bars(spark, long_orders)).orderBy("date").toPandas()
     x = bars["return_pct"].dropna().to_numpy(float)
-    want = E.select_arma(x)
+    want = A.select_arma(x)
     got = Q.QUERIES["arma_select"](spark, long_orders).collect()
     assert len(x) > 700 and want["p"] == 3 and len(got) == 1
     assert (got[0]["p"], got[0]["q"], got[0]["constant"]) == (want["p"], want["q"], want["constant"])
