@@ -5,44 +5,67 @@ NaN marks a missing value here; callers turn it into NULL."""
 from __future__ import annotations
 
 import math
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 
 
 @dataclass
 class GarchState:
+    """Variance and shock of the last row; past holds (square, negative square, variance) of the last rows, latest first, where a model has more than one lag."""
+
     variance: float | None = None
     shock: float = 0.0
+    past: list[list[float]] = field(default_factory=list)
+
+
+def garch_lags(p: dict) -> tuple[list[float], list[float], list[float]]:
+    """Weights of squared shocks, of negative ones and of variances, by lag; the first lag has no number."""
+    out = []
+    for name in ("alpha", "gamma", "beta"):
+        w = [float(p.get(name, 0.0))]
+        while f"{name}_{len(w) + 1}" in p:
+            w.append(float(p[f"{name}_{len(w) + 1}"]))
+        out.append(w)
+    return out[0], out[1], out[2]
 
 
 def garch_filter(state: GarchState, returns: np.ndarray, p: dict, start: float) -> tuple[GarchState, np.ndarray, np.ndarray]:
     """sigma of each row from earlier rows only, and the standardised shock. A missing return leaves the state as it is."""
-    mu, omega, alpha, gamma, beta = (p.get(k, 0.0) for k in ("mu", "omega", "alpha", "gamma", "beta"))
+    mu, omega = p.get("mu", 0.0), p.get("omega", 0.0)
+    lags = garch_lags(p)
+    (alpha, *_), (gamma, *_), (beta, *_) = lags
+    m = max(map(len, lags))
     sigma, z = np.full(len(returns), np.nan), np.full(len(returns), np.nan)
     for i, r in enumerate(returns):
         if math.isnan(r):
             continue
         if state.variance is None:
             state.variance = start
+        elif m > 1:
+            state.variance = omega + sum(w * x[j] for j, ws in enumerate(lags) for w, x in zip(ws, state.past))
         else:
             e2 = state.shock * state.shock
             state.variance = omega + alpha * e2 + (gamma * e2 if state.shock < 0 else 0.0) + beta * state.variance
-        state.shock = r - mu
+        state.shock = float(r - mu)
+        if m > 1:
+            e2 = state.shock * state.shock
+            before = state.past or [[start, start / 2, start]] * m
+            state.past = [[e2, e2 if state.shock < 0 else 0.0, float(state.variance)], *before[: m - 1]]
         sigma[i] = math.sqrt(state.variance)
         z[i] = state.shock / sigma[i]
     return state, sigma, z
 
 
-def garch_forecast(p: dict, variance: float, shock: float, horizon: int) -> np.ndarray:
-    """Variances of the next ``horizon`` rows."""
+def garch_forecast(p: dict, variance: float, shock: float, horizon: int, past: list[list[float]] | None = None) -> np.ndarray:
+    """Variances of the next ``horizon`` rows; past as in GarchState for models of more than one lag."""
     out = np.empty(horizon)
-    persistence = p["alpha"] + p["beta"] + p.get("gamma", 0.0) / 2
+    lags = garch_lags(p)
+    m = max(map(len, lags))
+    rows = [list(x) for x in past] if past else [[shock**2, shock**2 if shock < 0 else 0.0, variance]]
     for h in range(horizon):
-        if h == 0:
-            out[h] = p["omega"] + p["alpha"] * shock**2 + (p.get("gamma", 0.0) * shock**2 if shock < 0 else 0.0) + p["beta"] * variance
-        else:
-            out[h] = p["omega"] + persistence * out[h - 1]
+        out[h] = p["omega"] + sum(w * x[j] for j, ws in enumerate(lags) for w, x in zip(ws, rows))
+        rows = [[out[h], out[h] / 2, out[h]], *rows[: m - 1]]  # a shock ahead has its variance, half of it from below
     return out
 
 

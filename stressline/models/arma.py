@@ -13,6 +13,8 @@ import math
 
 import numpy as np
 
+from stressline.models.optim import quasi_newton
+
 BLOCK = 64
 
 
@@ -163,32 +165,7 @@ def fit_arma(x: np.ndarray, p: int, q: int, constant: bool, *, rounds: int = 100
         u[int(constant) :] = np.concatenate(_start(x - shift, p, q))
         both = np.stack([u, np.zeros(k)])
         u = both[int(np.argmin(value(both)))]
-    f = float(value(u[None])[0])
-    if k:
-        h = np.eye(k)
-        slope = _gradient(value, u)
-        for _ in range(rounds):
-            step = -h @ slope
-            if step @ slope > -1e-14:
-                h = np.eye(k)
-                step = -slope
-            step *= min(1.0, 2.0 / (np.linalg.norm(step) + 1e-300))
-            sizes = np.array([2.0, 1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 0.001])
-            tried = value(u + sizes[:, None] * step)
-            best = int(np.argmin(tried))
-            if tried[best] >= f - tol:
-                if (h == np.eye(k)).all():
-                    break
-                h = np.eye(k)
-                continue
-            moved = sizes[best] * step
-            u, f = u + moved, float(tried[best])
-            new = _gradient(value, u)
-            turn = new - slope
-            slope = new
-            if (sy := float(moved @ turn)) > 1e-12:
-                a = np.eye(k) - np.outer(moved, turn) / sy
-                h = a @ h @ a.T + np.outer(moved, moved) / sy
+    u, _ = quasi_newton(value, u, rounds=rounds, tol=tol)
     mean, ar, ma = parts(u[None])
     ll, s2, ahead = log_likelihood(x, mean, ar, ma)
     coef = np.concatenate([mean[:1] if constant else np.zeros(0), ar[0], ma[0]])
@@ -198,13 +175,6 @@ def fit_arma(x: np.ndarray, p: int, q: int, constant: bool, *, rounds: int = 100
     }
 
 
-def _gradient(value, u: np.ndarray, h: float = 1e-5) -> np.ndarray:
-    k = len(u)
-    steps = h * np.eye(k)
-    both = value(np.concatenate([u + steps, u - steps]))
-    return (both[:k] - both[k:]) / (2 * h)
-
-
 def orders(p_max: int = 3, q_max: int = 3) -> list[tuple[int, int, bool]]:
     return [(p, q, c) for p in range(p_max + 1) for q in range(q_max + 1) for c in (True, False)]
 

@@ -9,6 +9,7 @@ import numpy as np
 
 from stressline.functions import dist
 from stressline.functions.recursions import emission_logs
+from stressline.models.garch import fit_garch, garch_summary  # noqa: F401 - among the estimators of this module
 
 
 def nelder_mead(f: Callable[[np.ndarray], float], x0: np.ndarray, step: float | np.ndarray = 0.1, *, tol: float = 1e-9, most: int = 2000) -> tuple[np.ndarray, float]:
@@ -43,76 +44,6 @@ def nelder_mead(f: Callable[[np.ndarray], float], x0: np.ndarray, step: float |
     return simplex[best], float(value[best])
 
 
-# --- volatility -------------------------------------------------------------------------------------------------------
-
-
-def garch_variances(e: np.ndarray, omega: float, alpha: float, gamma: float, beta: float, start: float) -> np.ndarray:
-    drive = omega + (alpha + gamma * (e < 0)) * e * e
-    out = np.empty(len(e))
-    v = start
-    out[0] = v
-    for i, d in enumerate(drive[:-1].tolist()):
-        v = d + beta * v
-        out[i + 1] = v
-    return out
-
-
-def fit_garch(returns: np.ndarray, *, leverage: bool = False, density: str = "t") -> dict:
-    """GARCH(1,1), with a leverage term if asked, constant mean, normal or Student t shocks, on percent returns."""
-    if density not in ("t", "normal"):
-        raise ValueError(f"unknown density {density}")
-    r = np.asarray(returns, float)
-    r = r[~np.isnan(r)]
-    m, v = float(r.mean()), float(max(r.var(), 1e-8))
-    names = ["mu", "omega", "alpha", *(["gamma"] if leverage else []), "beta", *(["nu"] if density == "t" else [])]
-
-    def unpack(x: np.ndarray) -> dict:
-        p = {"mu": x[0], "gamma": 0.0}
-        total = 0.9999 / (1 + math.exp(-x[2]))  # persistence
-        share = 1 / (1 + math.exp(-x[3]))  # of the shocks in it
-        p["beta"] = total * (1 - share)
-        if leverage:
-            lean = 1 / (1 + math.exp(-x[4]))
-            p["alpha"], p["gamma"] = total * share * (1 - lean), 2 * total * share * lean
-        else:
-            p["alpha"] = total * share
-        p["omega"] = math.exp(x[1]) * (1 - total)
-        if density == "t":
-            p["nu"] = 2.05 + math.exp(min(x[-1], 6.0))
-        return p
-
-    def loss(x: np.ndarray) -> float:
-        p = unpack(x)
-        e = r - p["mu"]
-        s2 = garch_variances(e, p["omega"], p["alpha"], p["gamma"], p["beta"], v)
-        if density == "t":
-            ll = dist.t_logpdf(e / np.sqrt(s2), p["nu"], unit_variance=True) - 0.5 * np.log(s2)
-        else:
-            ll = -0.5 * (math.log(2 * math.pi) + np.log(s2) + e * e / s2)
-        total = float(ll.sum())
-        return -total if math.isfinite(total) else 1e12
-
-    x0 = [m, math.log(v), 3.0, -2.5, *([0.0] if leverage else []), *([1.5] if density == "t" else [])]
-    x, f = nelder_mead(loss, np.array(x0), np.array([0.1 * math.sqrt(v), *([0.5] * (len(x0) - 1))]), most=250 * len(x0))
-    p = unpack(x)
-    e = r - p["mu"]
-    sigma = np.sqrt(garch_variances(e, p["omega"], p["alpha"], p["gamma"], p["beta"], v))
-    return {**{k: float(p.get(k, 0.0)) for k in ("mu", "omega", "alpha", "gamma", "beta")}, "nu": float(p.get("nu", math.inf)), "start": v, "loglik": -f, "n_params": len(names), "n": len(r), "sigma": sigma, "z": e / sigma}
-
-
-def garch_summary(fit: dict) -> dict:
-    """Persistence, long-run variance, half-life and information criteria."""
-    total = fit["alpha"] + fit["beta"] + fit.get("gamma", 0.0) / 2
-    k, n, ll = fit["n_params"], fit["n"], fit["loglik"]
-    return {
-        "persistence": total,
-        "unconditional_variance": fit["omega"] / (1 - total) if total < 1 else math.inf,
-        "half_life": math.log(0.5) / math.log(total) if 0 < total < 1 else math.inf,
-        "aic": 2 * k - 2 * ll,
-        "bic": k * math.log(n) - 2 * ll,
-    }
-
-
 # --- tails ------------------------------------------------------------------------------------------------------------
 
 
