@@ -29,23 +29,25 @@ def by_slice(df: DataFrame, columns: Sequence[str], slices: int, run: Callable[[
     drop = lambda pdf: pdf.sort_values("rn").drop(columns="slice").reset_index(drop=True)
     if beside is None:
         return left.applyInPandas(lambda pdf: run(drop(pdf), int(pdf["slice"].iloc[0])), schema)
-    names = [x.strip().split()[0] for x in _fields(schema)]
+    names = [x.split()[0] for x in fields(schema)]
+
     def both(pdf: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
         return run(drop(pdf), int(pdf["slice"].iloc[0]), other) if len(pdf) and len(other) else pd.DataFrame(columns=names)
 
     return left.cogroup(beside.repartition(parts, *keys).groupBy(*keys)).applyInPandas(both, schema)
 
 
-def _fields(schema: str) -> list[str]:
+def fields(schema: str) -> list[str]:
     """Top-level fields of a DDL schema."""
-    out, depth = [""], 0
+    out: list[str] = [""]
+    depth = 0
     for c in schema:
         depth += (c == "<") - (c == ">")
         if c == "," and not depth:
             out.append("")
         else:
             out[-1] += c
-    return out
+    return [x.strip() for x in out]
 
 
 def lengths(df: DataFrame, least: int, why: str) -> DataFrame:

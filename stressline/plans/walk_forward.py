@@ -1,13 +1,13 @@
 """Walk-forward evaluation: expanding refits fanned out as rows, then frozen parameters filtered forward.
 
-refit grid -> every refit is one Arrow group that holds its own training prefix (fits of one series run in
-parallel over refits) -> one row of parameters a refit -> one Arrow group a series runs the recursions
-with the parameters of each block -> everything else is plain columns: VaR and ES, components, index,
-bands, alarms, contributions, scorecards, evaluation.
+refit grid -> random starts of the regime fits, dealt over slices of a series -> one chain a series, in which every refit also starts from the one before
+-> all other fits, dealt over slices again -> one row of parameters a refit -> frozen parameters filtered over each block, by slice -> everything else is plain
+columns: VaR and ES, components, index, bands, alarms, contributions, scorecards, evaluation. A slice holds a series once and cuts the prefixes of its refits itself, so slices x rows
+are shuffled, not refits x rows / 2.
 
 Choices where intent and code of the usual recipe differ: sigma of a day uses earlier returns only; regime
 filtering starts at the first complete row; the fitted logit uses the four fitted components; all three headline
-methods work. A refit's regime fit starts from random points only, so refits stay independent."""
+methods work."""
 
 from __future__ import annotations
 
@@ -27,6 +27,8 @@ from stressline.models import estimators as E
 from stressline.operators import events as EV
 from stressline.operators import risk as RK
 from stressline.operators import stress as S
+from stressline.plans import slices as SL
+from stressline.sources.once import written_once
 
 
 @dataclass(frozen=True)
@@ -42,6 +44,7 @@ class WalkForwardConfig:
     regimes: int = 3
     hmm_features: tuple[str, ...] = ("return", "ln_rv20", "drawdown")
     hmm_starts: int = 10
+    hmm_chain: bool = True
     trees: int = 300
     anomaly_percentile: float = 0.99
     forest_features: tuple[str, ...] = ("return", "ln_rv20", "vol_ratio_5_20", "drawdown_252", "momentum_20", "ln_parkinson")
@@ -97,8 +100,61 @@ def unpack_arrays(raw: bytes) -> dict:
         return {k: z[k] for k in z.files}
 
 
-def fit_refit(train: pd.DataFrame, c: WalkForwardConfig) -> dict:
-    """All parameters from one training prefix."""
+HMM_SCHEMA = "symbol string, refit_idx int, start int, loglik double, startprob array<double>, transmat array<array<double>>, means array<array<double>>, covars array<array<array<double>>>, occupancy array<double>"
+_HMM = ("startprob", "transmat", "means", "covars", "occupancy")
+
+
+def _regime_rows(rows: pd.DataFrame, until: int, c: WalkForwardConfig) -> np.ndarray:
+    x = rows.loc[rows["rn"] < until, list(c.hmm_features)].to_numpy(float)
+    return x[_complete(x)]
+
+
+def _model_row(symbol: str, refit: int, start: int, m: dict) -> dict:
+    return {"symbol": symbol, "refit_idx": refit, "start": start, "loglik": float(m["loglik"])} | {k: np.asarray(m[k]).tolist() for k in _HMM}
+
+
+def _model(row) -> dict:
+    return {k: np.array(_nested(getattr(row, k)), float) for k in _HMM} | {"loglik": float(row.loglik)}
+
+
+def chain_regimes(rows: pd.DataFrame, found: dict[int, dict], c: WalkForwardConfig) -> list[dict]:
+    """The best model of every refit of one series in order: the best random start, or the model of the refit before taken on over the longer prefix."""
+    out, last = [], None
+    for i, t, _ in refit_grid(len(rows), c.initial_train, c.cadence):
+        best = found[i]
+        if last is not None and c.hmm_chain:
+            warm = E.baum_welch(_regime_rows(rows, t, c), last)
+            best = max(best, warm, key=lambda m: m["loglik"])
+        last = E.relabel(best, c.hmm_features.index("ln_rv20"), c.hmm_features.index("return"))
+        out.append(_model_row(rows["symbol"].iloc[0], i, -1 if best is not found[i] else 0, last))
+    return out
+
+
+def fit_regimes(panel: DataFrame, c: WalkForwardConfig, slices: int) -> DataFrame:
+    """One regime model a (symbol, refit). Random starts are independent and dealt over slices; the chain runs through a series in order, one start a refit."""
+    columns = [x.split()[0] for x in SL.fields(HMM_SCHEMA)]
+
+    def starts(rows: pd.DataFrame, k: int) -> pd.DataFrame:
+        tasks = [(i, t, s) for i, t, _ in refit_grid(len(rows), c.initial_train, c.cadence) for s in range(c.hmm_starts)]
+        out = []
+        for i, t, s in tasks[k::slices]:
+            x = _regime_rows(rows, t, c)
+            out.append(_model_row(rows["symbol"].iloc[0], i, s, E.baum_welch(x, E.hmm_start(x, c.regimes, c.seed + 100 * s))))
+        return pd.DataFrame(out, columns=columns)
+
+    need = list(c.hmm_features)
+    tried = SL.by_slice(panel, need, slices, starts, HMM_SCHEMA)
+    rest = [x for x in columns if x not in ("symbol", "refit_idx")]
+    best = tried.groupBy("symbol", "refit_idx").agg(F.max_by(F.struct(*rest), F.struct("loglik", -F.col("start"))).alias("b")).select("symbol", "refit_idx", "b.*")  # ties: the earlier start
+
+    def chain(rows: pd.DataFrame, _: int, found: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(chain_regimes(rows, {int(r.refit_idx): _model(r) for r in found.itertuples(index=False)}, c), columns=columns)
+
+    return SL.by_slice(panel, need, 1, chain, HMM_SCHEMA, beside=best.withColumn("slice", F.lit(0)))
+
+
+def fit_refit(train: pd.DataFrame, c: WalkForwardConfig, hmm: dict) -> dict:
+    """All parameters from one training prefix and its regime model."""
     ret = train["return_pct"].to_numpy(float)
     garch = E.fit_garch(ret, leverage=c.leverage, density=c.density)
     sigma, z = garch.pop("sigma"), garch.pop("z")
@@ -110,7 +166,7 @@ def fit_refit(train: pd.DataFrame, c: WalkForwardConfig) -> dict:
     tail = [E.gpd_quantile_es(gpd, q, losses) for q in c.levels]
     xh = train[list(c.hmm_features)].to_numpy(float)
     ok = _complete(xh)
-    hmm = E.fit_hmm(xh[ok], c.regimes, starts=c.hmm_starts, seed=c.seed, sort_by=c.hmm_features.index("ln_rv20"), tie=c.hmm_features.index("return"))
+    bic = E.hmm_parameters(c.regimes, xh.shape[1]) * np.log(ok.sum()) - 2 * hmm["loglik"]
     _, probs = R.hmm_filter(None, xh[ok], hmm)
     xf = train[list(c.forest_features)].to_numpy(float)
     forest = E.fit_forest(xf[_complete(xf)], trees=c.trees, seed=c.seed)
@@ -131,32 +187,28 @@ def fit_refit(train: pd.DataFrame, c: WalkForwardConfig) -> dict:
     return {
         "garch": {k: float(v) for k, v in (garch | E.garch_summary(garch)).items()}, "gpd": {k: float(v) for k, v in gpd.items()},
         "z_95": tail[0][0], "es_95": tail[0][1], "z_99": tail[1][0], "es_99": tail[1][1],
-        **{k: hmm[k].tolist() for k in ("startprob", "transmat", "means", "covars", "occupancy")}, "hmm_bic": hmm["bic"], "cusum_mean": cus.mean, "cusum_std": cus.std,
+        **{k: hmm[k].tolist() for k in ("startprob", "transmat", "means", "covars", "occupancy")}, "hmm_bic": float(bic), "cusum_mean": cus.mean, "cusum_std": cus.std,
         "ecdf_vol": ecdf_vol.tolist(), "ecdf_dd": ecdf_dd.tolist(), "ecdf_corr": corr.tolist() if len(corr) > 10 else [], "pca": E.pca_weights(comp).tolist(), "logit": None if logit is None else logit.tolist(), "forest": pack_arrays(forest),
     }
 
 
 def fit_refits(panel: DataFrame, c: WalkForwardConfig) -> DataFrame:
-    """One row of parameters a (symbol, refit). Each group is the prefix that the refit may see: rn < t_refit."""
+    """One row of parameters a (symbol, refit), each from the prefix that the refit may see: rn < t_refit."""
     need = ["return_pct", "drawdown_252", "event_label", *c.hmm_features, *c.forest_features, *([c.corr] if c.corr else [])]
     cols = list(dict.fromkeys(need))
-    n = panel.groupBy("symbol").agg(F.count("*").alias("n"))
-    least = c.initial_train + c.cadence
-    short = F.raise_error(F.concat(F.lit("series "), "symbol", F.lit(f" has no more than initial_train + cadence = {least} rows"))).cast("long")
-    n = n.withColumn("n", F.when(F.col("n") > least, F.col("n")).otherwise(short))
-    grid = n.select("symbol", "n", F.posexplode(F.expr(f"sequence({c.initial_train}, cast(n - 1 as int), {c.cadence})")).alias("refit_idx", "t_refit"))
-    grid = grid.withColumn("t_next", F.least(F.col("t_refit") + c.cadence, F.col("n")).cast("int")).drop("n")
-    prefix = panel.select("symbol", "date", "rn", *cols).join(grid, "symbol").where("rn < t_refit")
+    symbols = SL.lengths(panel, c.initial_train + c.cadence, "initial_train + cadence").agg(F.count_if(F.col("n") > 0)).first()[0]
+    slices = SL.slices_for(panel, symbols)
+    regimes = written_once(fit_regimes(panel, c, slices), "regimes")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rn")
-        first = pdf.iloc[0]
-        head = {"symbol": first["symbol"], "refit_idx": int(first["refit_idx"]), "t_refit": int(first["t_refit"]), "t_next": int(first["t_next"]), "train_start": pdf["date"].iloc[0], "train_end": pdf["date"].iloc[-1]}
-        return pd.DataFrame([head | fit_refit(pdf, c)])
+    def run(rows: pd.DataFrame, k: int, models: pd.DataFrame) -> pd.DataFrame:
+        out, by = [], {int(m.refit_idx): _model(m) for m in models.itertuples(index=False)}
+        for i, t, u in refit_grid(len(rows), c.initial_train, c.cadence)[k::slices]:
+            train = rows[rows["rn"] < t]
+            head = {"symbol": rows["symbol"].iloc[0], "refit_idx": i, "t_refit": t, "t_next": u, "train_start": train["date"].iloc[0], "train_end": train["date"].iloc[-1]}
+            out.append(head | fit_refit(train, c, by[i]))
+        return pd.DataFrame(out, columns=[x.split()[0] for x in SL.fields(REFIT_SCHEMA)])
 
-    # Small rows, heavy fits: a fixed number of partitions, so that adaptive execution does not put all refits into one task.
-    parts = max(int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions")), panel.sparkSession.sparkContext.defaultParallelism)
-    return prefix.repartition(parts, "symbol", "refit_idx").groupBy("symbol", "refit_idx").applyInPandas(run, REFIT_SCHEMA)
+    return SL.by_slice(panel, ["date", *cols], slices, run, REFIT_SCHEMA, beside=regimes.withColumn("slice", F.col("refit_idx") % slices))
 
 
 OOS_SCHEMA = (
@@ -224,20 +276,18 @@ def _nested(v):
 
 
 def frozen_filter(panel: DataFrame, refits: DataFrame, c: WalkForwardConfig) -> DataFrame:
-    """Every block is filtered in a group of its own over the prefix it needs, so the blocks of a series run in parallel; only CUSUM goes through the series."""
+    """Blocks are dealt over slices of a series, each of which holds the series once; only CUSUM goes through the blocks in order."""
     cols = list(dict.fromkeys(["return_pct", "drawdown_252", *c.hmm_features, *c.forest_features, *([c.corr] if c.corr else [])]))
-    rows = panel.select("symbol", "date", "rn", *cols).join(refits.select("symbol", F.col("refit_idx").alias("block"), F.col("t_next").alias("until")), "symbol").where("rn < until")
-    parts = max(int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions")), panel.sparkSession.sparkContext.defaultParallelism)
-    left, right = ["symbol", "block"], ["symbol", "refit_idx"]
+    slices = SL.slices_for(panel, refits.select("symbol").distinct().count())
 
-    def run(rows: pd.DataFrame, fits: pd.DataFrame) -> pd.DataFrame:
-        return filter_block(rows, next(fits.itertuples(index=False)), c) if len(rows) and len(fits) else pd.DataFrame(columns=names)
+    def run(rows: pd.DataFrame, _: int, fits: pd.DataFrame) -> pd.DataFrame:
+        done = [filter_block(rows[rows["rn"] < r.t_next], r, c) for r in fits.itertuples(index=False)]
+        return pd.concat(done, ignore_index=True)
 
     fields = [x.strip() for x in OOS_SCHEMA.split(",")]
     late = {f"{n} {k}" for n, k in zip(CUSUM_COLUMNS, ("boolean", "boolean", "double", "double", "long"), strict=True)}
     kind = [x for x in fields if x not in late] + ["cusum_mean double", "cusum_std double"]
-    names = [x.split()[0] for x in kind]
-    blocks = rows.repartition(parts, *left).groupBy(*left).cogroup(refits.repartition(parts, *right).groupBy(*right)).applyInPandas(run, ", ".join(kind))
+    blocks = SL.by_slice(panel, ["date", *cols], slices, run, ", ".join(kind), beside=refits.withColumn("slice", F.col("refit_idx") % slices))
     done = blocks.groupBy("symbol").applyInArrow(lambda t: cusum_series(t, c), ", ".join([*kind[:-2], *(x for x in fields if x in late)]))
     done = done.select(*(x.split()[0] for x in fields))
     return done.select(*(F.when(~F.isnan(n), F.col(n)).alias(n) if t == "double" else F.col(n) for n, t in done.dtypes))

@@ -1,9 +1,11 @@
+import dataclasses
 import datetime as dt
 
 import numpy as np
 import pytest
 
 from stressline.functions import recursions as R
+from stressline.models import estimators as E
 from stressline.operators import features as FT
 from stressline.operators import filters as FL
 from stressline.plans import walk_forward as WF
@@ -81,3 +83,21 @@ def test_entry_points(spark, sf):
 
     assert e.entry(spark).count() == 5
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_chained_regimes_are_never_worse_and_follow_a_plain_loop(spark):
+    df = WF.label_panel(FT.build_features(panel(spark, 420)), WF.WalkForwardConfig(hs_window=200)).cache()
+    c = WF.WalkForwardConfig(initial_train=300, cadence=30, hmm_starts=2)
+    fits = {on: {x["refit_idx"]: x for x in WF.fit_regimes(df, dataclasses.replace(c, hmm_chain=on), 3).collect()} for on in (True, False)}
+    assert sorted(fits[True]) == sorted(fits[False]) == [0, 1, 2, 3]
+    rows = df.orderBy("date").toPandas()
+    last = None
+    for i, t in enumerate(range(300, 420, 30)):
+        x = rows[list(c.hmm_features)].to_numpy(float)[:t]
+        x = x[~np.isnan(x).any(axis=1)]
+        cold = E.fit_hmm(x, 3, starts=2)
+        best = E.fit_hmm(x, 3, starts=2, warm=last)
+        assert fits[False][i]["loglik"] == pytest.approx(cold["loglik"], abs=1e-8)
+        assert fits[True][i]["loglik"] == pytest.approx(best["loglik"], abs=1e-6) and fits[True][i]["loglik"] >= cold["loglik"] - 1e-8
+        assert np.allclose(fits[True][i]["means"], best["means"], atol=1e-5)
+        last = best
