@@ -5,12 +5,11 @@ Texts are equal when they are identical after every character of
 the most code points in the original text stays, then the smallest doc_id
 (nulls last), then the smallest digest of the original text. Empty and blank texts are one group.
 
-Rows are first merged by (hash, normalised bytes); the partial aggregate leaves one row
-of a hot group in each task. A hash with one normalised text names its group; where bytes of one
-hash differ (a collision) its rows meet their group by hash and bytes instead, so bytes decide in both
-cases. The merged table is written, so that the join which hands every document its group
-has two plain exchanges, and adaptive execution splits it on a hot key. Very long texts are moved once, like
-any other. Other columns, whatever their names, are not read; an empty table gives no rows.
+Every row becomes a record of fixed size (ids, lengths, digests and a number of its own), written once; hashes are grouped over those records, with one record of a hot group
+left in each task. Bytes are compared where a hash occurs more than once: a blocked Bloom filter of such hashes, of bounded size, says which texts
+to read again, and those that pass are merged by (hash, bytes), so a text that occurs once is not moved. A hash with one normalised text names its group;
+where bytes of one hash differ (a collision) its rows meet their group by hash and bytes. The join which hands every record its
+group has two plain exchanges, which adaptive execution splits on a hot key. Other columns, whatever their names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import Scratch, fresh, once_each, without
+from .url_filters import build_filter, probe_filter
 
 _SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
@@ -44,28 +44,25 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("norm"), F.length(text).alias("points"), F.xxhash64(text).alias("digest"))
     keyed = base.withColumn("h", hash_fn(F.col("norm")))
-    order = F.struct((-F.col("points")).alias("less"), F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
-    merged = keyed.groupBy("h", "norm").agg(F.count("*").alias("group_size"), F.min(order).alias("best"))
-    groups = scratch.save(merged.select("h", "group_size", "best"), "groups")
-    clash = scratch.save(groups.groupBy("h").count().where("count > 1").select("h"), "clash")  # hashes that several texts share
-    rows = keyed.withColumn("sha", F.sha2(F.col("norm").cast("binary"), 256))
-    short = rows.select("doc_id", "points", "digest", "h", "sha")
-    if clash.limit(1).count():
-        exact = scratch.save(merged.join(clash.hint("merge"), "h", "left_semi"), "exact")
-        out = short.join(groups.join(clash, "h", "left_anti"), "h").unionByName(rows.join(exact, ["h", "norm"]).drop("norm"))
-    else:
-        out = short.join(groups.hint("merge"), "h")
-    # Repeats of a row meet by its own digest and id, an exchange of its own, so that the join above can still be split.
+    sha = F.sha2(F.col("norm").cast("binary"), 256).alias("sha")
+    short = scratch.save(keyed.select("doc_id", "points", "digest", "h", sha, F.monotonically_increasing_id().alias("u")), "short")
+    order = [(-F.col("points")).alias("less"), F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("digest")]
+    groups = scratch.save(short.groupBy("h").agg(F.count("*").alias("group_size"), F.min(F.struct(*order, "u")).alias("best")), "groups")
+    blocks, n_blocks = build_filter(groups.where("group_size > 1"), "h")
+    again = probe_filter(keyed.select("h", "norm"), "h", scratch.save(blocks, "filter"), n_blocks, "possible").where("possible").select("h", "norm").distinct()
+    clash = scratch.save(again.groupBy("h").count().where("count > 1").select("h"), "clash")  # hashes that several texts share
+    found = ["doc_id", F.col("best.doc_id").alias("keep_id"), "group_size"]
+    ends = [F.col("sha").alias("text_sha256"), *(["digest"] if with_digest else [])]
+    out = short.join(groups.hint("merge"), "h")
+    if not clash.limit(1).count():
+        return out.select(*found, (F.col("u") == F.col("best.u")).alias("kept"), *ends)
+    clear = out.join(clash, "h", "left_anti").select(*found, (F.col("u") == F.col("best.u")).alias("kept"), *ends)
+    hit = keyed.join(clash.hint("merge"), "h", "left_semi")
+    exact = scratch.save(hit.groupBy("h", "norm").agg(F.count("*").alias("group_size"), F.min(F.struct(*order)).alias("best")), "exact")
+    rows = hit.select("*", sha).join(exact, ["h", "norm"]).drop("norm")
     nth = F.row_number().over(Window.partitionBy("sha", "doc_id", "digest").orderBy("points"))
     stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("digest") == F.col("best.digest")) & (F.col("points") == -F.col("best.less"))
-    return out.withColumn("nth", nth).select(
-        "doc_id",
-        F.col("best.doc_id").alias("keep_id"),
-        "group_size",
-        (stays & (F.col("nth") == 1)).alias("kept"),
-        F.col("sha").alias("text_sha256"),
-        *(["digest"] if with_digest else []),
-    )
+    return clear.unionByName(rows.withColumn("nth", nth).select(*found, (stays & (F.col("nth") == 1)).alias("kept"), *ends))
 
 
 ORACLE_SQL = r"""
