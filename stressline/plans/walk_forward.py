@@ -113,8 +113,13 @@ def _model_row(symbol: str, refit: int, start: int, m: dict) -> dict:
     return {"symbol": symbol, "refit_idx": refit, "start": start, "loglik": float(m["loglik"])} | {k: np.asarray(m[k]).tolist() for k in _HMM}
 
 
+def regime_model(row) -> dict:
+    """Start, transitions, means and covariances of a row of parameters."""
+    return {k: np.array(_nested(getattr(row, k)), float) for k in _HMM[:4]}
+
+
 def _model(row) -> dict:
-    return {k: np.array(_nested(getattr(row, k)), float) for k in _HMM} | {"loglik": float(row.loglik)}
+    return regime_model(row) | {"occupancy": np.array(_nested(row.occupancy), float), "loglik": float(row.loglik)}
 
 
 def chain_regimes(rows: pd.DataFrame, found: dict[int, dict], c: WalkForwardConfig) -> list[dict]:
@@ -226,7 +231,7 @@ def filter_block(rows: pd.DataFrame, r, c: WalkForwardConfig) -> pd.DataFrame:
     t, u = int(r.t_refit), int(r.t_next)
     g = dict(r.garch)
     _, sigma, z = R.garch_filter(R.GarchState(), ret[:u], g, g["start"])
-    hmm = {k: np.array(_nested(getattr(r, k)), float) for k in ("startprob", "transmat", "means", "covars")}
+    hmm = regime_model(r)
     _, probs = R.hmm_filter(None, xh[:u], hmm)
     forest = unpack_arrays(r.forest)
     score = E.forest_score(forest, np.nan_to_num(xf[t:u]))
