@@ -7,11 +7,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stressline.functions import dist
 from stressline.functions.columns import by_symbol, col
+from stressline.functions.order_stats import rolling_tails
 
 TRADING_DAYS = 250
 #: Most exceptions a 250-day year of each light at the 1 % level, and p-value limits beyond it.
@@ -19,59 +22,47 @@ GREEN_EXCEPTIONS, YELLOW_EXCEPTIONS = 4.9, 9.9
 GREEN_P, YELLOW_P = 0.05, 0.01
 
 
+def rolling_tail_columns(df: DataFrame, levels: Sequence[float], *, ret: str, window: int, lag: int, strict_nulls: bool, names: Sequence[str], block: int = 4096) -> DataFrame:
+    """df with a quantile and a tail mean for each level. A series is cut into blocks of rows, each with the window - 1 + lag rows before it, so it
+    runs in several tasks; in a block a Fenwick tree over ranks holds the frame."""
+    halo, least = window - 1 + lag, max(window // 2, 100)
+    block = max(block, halo + 1)  # rows of a halo come from one block
+    numbered = df.withColumns({"_rn": F.row_number().over(by_symbol()) - 1, "_loss": -F.col(ret).cast("double")})
+    own = F.expr(f"_rn div {block}")
+    blocks = F.when(F.col("_rn") % block >= block - halo, F.array(own, own + 1)).otherwise(F.array(own))
+    dealt = numbered.withColumn("_block", F.explode(blocks))
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("_rn")
+        first = int(np.count_nonzero(t["_rn"].to_numpy() < t["_block"][0].as_py() * block))
+        loss = t["_loss"].to_numpy(zero_copy_only=False).astype(float)
+        out = rolling_tails(loss, levels, window, lag=lag, least=least, first=first)
+        if strict_nulls:
+            seen = np.concatenate([[0], np.cumsum(np.isnan(loss))])
+            at = np.arange(first, len(loss)) - lag + 1
+            missing = seen[np.maximum(at, 0)] - seen[np.maximum(at - window, 0)] > 0
+            out[missing, 1::2] = np.nan
+        t = t.slice(first).drop_columns(["_rn", "_loss", "_block"])
+        for j, name in enumerate(names):
+            t = t.append_column(name, pa.array(out[:, j], mask=np.isnan(out[:, j])))
+        return t
+
+    kind = T.StructType([*df.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
+    return dealt.groupBy("symbol", "_block").applyInArrow(run, kind)
+
+
 def historical_var(df: DataFrame, q: float, *, ret: str = "return_pct", window: int = 750, lag: int = 0, strict_nulls: bool = False, suffix: str | None = None) -> DataFrame:
     """Rolling quantile of losses and the mean of losses from it on; the frame holds day t unless lag is 1.
 
     strict_nulls leaves the shortfall NULL while the frame holds a missing return."""
-    w = by_symbol()
-    least = max(window // 2, 100)
     tag = suffix or f"{round(q * 100)}"
-    frame = w.rowsBetween(-(window - 1) - lag, -lag)
-    loss = -F.col(ret)
-    df = df.withColumn("_loss", loss)
-    enough = F.count("_loss").over(frame) >= least
-    df = df.withColumn(f"var_hs_{tag}", F.when(enough, F.expr(f"percentile(_loss, {q})").over(frame)))
-    df = df.withColumn("_held", F.collect_list("_loss").over(frame))
-    tail = F.filter("_held", lambda x: x >= F.col(f"var_hs_{tag}"))
-    mean = F.try_divide(F.aggregate(tail, F.lit(0.0), lambda a, x: a + x), F.size(tail))
-    ok = F.col(f"var_hs_{tag}").isNotNull()
-    if strict_nulls:
-        ok = ok & (F.count(F.lit(1)).over(frame) == F.count("_loss").over(frame))
-    return df.withColumn(f"es_hs_{tag}", F.when(ok, mean)).drop("_loss", "_held")
-
-
-def historical_var_panel(df: DataFrame, levels: Sequence[float] = (0.95, 0.99), *, ret: str = "return_pct", window: int = 750, at_once: int = 1024) -> DataFrame:
-    """The same for long series, several levels at once: one Arrow group per symbol, whose frames are sorted as rows of
-    a matrix, ``at_once`` of them at a time; missing returns sort to the end."""
-    least = max(window // 2, 100)
-    names = [f"{m}_hs_{round(q * 100)}" for q in levels for m in ("var", "es")]
+    return rolling_tail_columns(df, (q,), ret=ret, window=window, lag=lag, strict_nulls=strict_nulls, names=(f"var_hs_{tag}", f"es_hs_{tag}"))
 
-    def rolling(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        loss = np.concatenate([np.full(window - 1, np.nan), -pdf["_r"].to_numpy(float)])
-        out = np.full((len(pdf), len(names)), np.nan)
-        frames = np.lib.stride_tricks.sliding_window_view(loss, window)
-        for lo in range(0, len(pdf), at_once):
-            part = np.sort(frames[lo : lo + at_once], axis=1)
-            n = np.count_nonzero(~np.isnan(part), axis=1)
-            enough = np.flatnonzero(n >= least)
-            part, n = part[enough], n[enough]
-            row = np.arange(len(n))
-            for j, q in enumerate(levels):
-                at = q * (n - 1)
-                k = at.astype(int)
-                v = part[row, k] + (part[row, np.minimum(k + 1, n - 1)] - part[row, k]) * (at - k)
-                tail = part >= v[:, None]  # false for missing values
-                out[lo + enough, 2 * j] = v
-                out[lo + enough, 2 * j + 1] = np.where(tail, part, 0.0).sum(axis=1) / np.count_nonzero(tail, axis=1)
-        res = pdf[["symbol", "date"]].copy()
-        for j, n in enumerate(names):
-            res[n] = out[:, j]
-        return res
-
-    kind = "symbol string, date date, " + ", ".join(f"{n} double" for n in names)
-    out = df.select("symbol", "date", F.col(ret).alias("_r")).groupBy("symbol").applyInPandas(rolling, kind)
-    return out.select("symbol", "date", *(F.when(~F.isnan(n), F.col(n)).alias(n) for n in names))
+
+def historical_var_panel(df: DataFrame, levels: Sequence[float] = (0.95, 0.99), *, ret: str = "return_pct", window: int = 750, block: int = 4096) -> DataFrame:
+    """symbol, date and the same columns for several levels at once."""
+    names = [f"{m}_hs_{round(q * 100)}" for q in levels for m in ("var", "es")]
+    return rolling_tail_columns(df.select("symbol", "date", F.col(ret).alias("_ret")), levels, ret="_ret", window=window, lag=0, strict_nulls=False, names=names, block=block).drop("_ret")
 
 
 def normal_var_es(mu: Column | str, sigma: Column | str, q: float) -> tuple[Column, Column]:

@@ -67,7 +67,7 @@ def test_rolling_quantiles_with_missing_returns(spark):
     r = np.random.default_rng(2)
     v = [None if r.random() < 0.1 else float(x) for x in r.standard_normal(420)]
     df = spark.createDataFrame([("A", dt.date(2020, 1, 1) + dt.timedelta(days=i), x) for i, x in enumerate(v)], "symbol string, date date, return_pct double")
-    got = RK.historical_var_panel(df, window=250, at_once=37).orderBy("date").toPandas()
+    got = RK.historical_var_panel(df, window=250, block=300).orderBy("date").toPandas()
     for i in (0, 100, 200, 300, 419):
         held = -np.array([x for x in v[max(0, i - 249) : i + 1] if x is not None])
         if len(held) < 125:
@@ -110,3 +110,34 @@ def test_diagonal_regimes():
     x = np.concatenate([r.normal(0, 1, (150, 2)), r.normal(4, 1, (150, 2))])
     fit = E.fit_hmm(x, 2, starts=2, sort_by=1, diagonal=True)
     assert all(np.count_nonzero(c - np.diag(np.diag(c))) == 0 for c in fit["covars"]) and abs(fit["means"][0]).max() < 0.5 < fit["means"][1].min()
+
+
+@pytest.mark.parametrize("lag, window", [(0, 7), (1, 7), (0, 300), (2, 50)])
+def test_rolling_tails_equal_sorted_frames(lag, window):
+    from stressline.functions.order_stats import rolling_tails
+
+    r = np.random.default_rng(6)
+    x = np.round(r.standard_t(3, 400), 1)  # many ties
+    x[r.random(400) < 0.1] = np.nan
+    got = rolling_tails(x, (0.0, 0.5, 0.95, 1.0), window, lag=lag, least=3, first=20)
+    for i in range(20, 400):
+        frame = x[max(0, i - lag - window + 1) : i - lag + 1]
+        frame = frame[~np.isnan(frame)]
+        for j, q in enumerate((0.0, 0.5, 0.95, 1.0)):
+            if len(frame) < 3:
+                assert np.isnan(got[i - 20, 2 * j])
+            else:
+                v = np.quantile(frame, q)
+                assert got[i - 20, 2 * j] == pytest.approx(v, abs=1e-12)
+                assert got[i - 20, 2 * j + 1] == pytest.approx(frame[frame >= got[i - 20, 2 * j]].mean(), abs=1e-9)
+
+
+def test_one_long_series_runs_in_several_groups(spark):
+    r = np.random.default_rng(8)
+    rows = [("A", D[0] + dt.timedelta(days=i), float(v)) for i, v in enumerate(r.standard_normal(2500))]
+    df = spark.createDataFrame(rows, "symbol string, date date, return_pct double").repartition(3)
+    whole = RK.historical_var_panel(df, window=250, block=10_000).orderBy("date").toPandas()
+    cut = RK.historical_var_panel(df, window=250, block=250).orderBy("date").toPandas()
+    assert len(cut) == 2500 and np.allclose(whole.iloc[:, 2:], cut.iloc[:, 2:], equal_nan=True)
+    plan = RK.historical_var_panel(df)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "hashpartitioning(symbol" in plan and "_block" in plan
