@@ -1,8 +1,8 @@
 """The whole run: bars -> validation -> alignment -> features -> diagnostics -> walk-forward -> tables, metrics and reports.
 
-    python -m stressline.plans.run --bars PATH --out PATH [--config FILE]
+    python -m stressline.plans.run --bars PATH --out PATH [--config FILE] [--url URL] [--refresh]
 
-PATH of the bars is a Parquet table with symbol, date, open, high, low, close and volume."""
+PATH of the bars is a Parquet cache by symbol with date, open, high, low, close and volume. With a URL, series that it lacks (with --refresh, all) are read from there and kept in it."""
 
 from __future__ import annotations
 
@@ -19,6 +19,7 @@ from stressline.plans import reports as RP
 from stressline.plans import walk_forward as WF
 from stressline.plans.config import EngineConfig, config_hash, load_config
 from stressline.sources import bars as B
+from stressline.sources import remote as RS
 
 
 def prepare(bars: DataFrame, c: EngineConfig) -> DataFrame:
@@ -37,6 +38,14 @@ def prepare(bars: DataFrame, c: EngineConfig) -> DataFrame:
     return df
 
 
+def load_bars(spark: SparkSession, cache: str, c: EngineConfig, *, refresh: bool = False, attempts: int = 3, wait: float = 2.0, **source) -> DataFrame:
+    """The primary series, without which there is no run, and those optional ones that some source has; ``source`` are options of the remote bars. Each
+    series is fetched on an executor, one at a time, as the cache is filled by series."""
+    fetch = lambda s: lambda: RS.read_bars(spark, [s], attempts="1", **source)  # noqa: E731 - load_series does the further attempts
+    load = lambda s: B.load_series(spark, s, cache, [fetch(s)] if source else [], refresh=refresh, attempts=attempts, wait=wait)
+    return B.resolve(load(c.data.primary), [], {s: load(s) for s in c.data.optional})
+
+
 def run(spark: SparkSession, bars: DataFrame, out: str, reports: str, c: EngineConfig) -> WF.WalkForwardResults:
     began = time.time()
 
@@ -63,9 +72,11 @@ def main(argv: list[str] | None = None) -> None:
     a.add_argument("--out", required=True)
     a.add_argument("--reports", default=".")
     a.add_argument("--config")
+    a.add_argument("--url")
+    a.add_argument("--refresh", action="store_true")
     args = a.parse_args(argv)
-    spark = SparkSession.builder.getOrCreate()
-    run(spark, B.read_bars_parquet(spark, args.bars), args.out, args.reports, load_config(args.config))
+    spark, c = SparkSession.builder.getOrCreate(), load_config(args.config)
+    run(spark, load_bars(spark, args.bars, c, refresh=args.refresh, **({"url": args.url} if args.url else {})), args.out, args.reports, c)
 
 
 if __name__ == "__main__":
