@@ -245,6 +245,36 @@ def _path(n: np.ndarray | float) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649015329) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
+def grow_tree(rows: np.ndarray, rng: np.random.Generator) -> dict[str, np.ndarray]:
+    """An isolation tree over all given rows as flat arrays: feature, cut, first child (-1 at a leaf) and path length at a leaf."""
+    depth = max(1, math.ceil(math.log2(max(len(rows), 2))))
+    feature, cut, left, value = [-1], [0.0], [-1], [0.0]
+    todo = [(rows, 0, 0)]
+    while todo:
+        rows, level, node = todo.pop()
+        lo, hi = rows.min(axis=0), rows.max(axis=0)
+        open_ = np.flatnonzero(hi > lo)
+        if level >= depth or len(rows) <= 1 or not len(open_):
+            value[node] = level + float(_path(len(rows)))
+            continue
+        f = int(rng.choice(open_))
+        c = float(rng.uniform(lo[f], hi[f]))
+        at = len(feature)
+        feature[node], cut[node], left[node] = f, c, at
+        for _ in range(2):
+            feature.append(-1), cut.append(0.0), left.append(-1), value.append(0.0)
+        side = rows[:, f] <= c
+        todo += [(rows[side], level + 1, at), (rows[~side], level + 1, at + 1)]
+    return {"feature": np.array(feature), "cut": np.array(cut), "left": np.array(left), "value": np.array(value)}
+
+
+def join_trees(trees: list[dict], mean: np.ndarray, std: np.ndarray) -> dict:
+    """A forest of trees whose rows were standardised by mean and std; each has its size n."""
+    roots = np.cumsum([0, *(len(t["feature"]) for t in trees)])
+    left = [np.where(np.asarray(t["left"]) >= 0, np.asarray(t["left"]) + r, -1) for t, r in zip(trees, roots[:-1], strict=True)]
+    return {"mean": mean, "std": std, **{c: np.concatenate([np.asarray(t[c]) for t in trees]) for c in ("feature", "cut", "value")}, "left": np.concatenate(left), "roots": roots[:-1], "sample": max(t["n"] for t in trees)}
+
+
 def fit_forest(x: np.ndarray, *, trees: int = 300, sample: int = 256, seed: int = 42) -> dict:
     """Isolation forest on standardised columns, as flat arrays, with the sorted scores of the training rows."""
     x = np.asarray(x, float)
@@ -253,29 +283,8 @@ def fit_forest(x: np.ndarray, *, trees: int = 300, sample: int = 256, seed: int
     xs = (x - mean) / std
     rng = np.random.default_rng(seed)
     size = min(sample, len(xs))
-    depth = max(1, math.ceil(math.log2(max(size, 2))))
-    feature, cut, left, value, roots = [], [], [], [], []
-    for _ in range(trees):
-        roots.append(len(feature))
-        stack = [(xs[rng.choice(len(xs), size, replace=False)], 0, -1)]
-        feature.append(-1), cut.append(0.0), left.append(-1), value.append(0.0)
-        todo = [(stack[0][0], 0, roots[-1])]
-        while todo:
-            rows, level, node = todo.pop()
-            lo, hi = rows.min(axis=0), rows.max(axis=0)
-            open_ = np.flatnonzero(hi > lo)
-            if level >= depth or len(rows) <= 1 or not len(open_):
-                value[node] = level + float(_path(len(rows)))
-                continue
-            f = int(rng.choice(open_))
-            c = float(rng.uniform(lo[f], hi[f]))
-            at = len(feature)
-            feature[node], cut[node], left[node] = f, c, at
-            for _ in range(2):
-                feature.append(-1), cut.append(0.0), left.append(-1), value.append(0.0)
-            side = rows[:, f] <= c
-            todo += [(rows[side], level + 1, at), (rows[~side], level + 1, at + 1)]
-    model = {"mean": mean, "std": std, "feature": np.array(feature), "cut": np.array(cut), "left": np.array(left), "value": np.array(value), "roots": np.array(roots), "sample": size}
+    grown = [{"n": size} | grow_tree(xs[rng.choice(len(xs), size, replace=False)], rng) for _ in range(trees)]
+    model = join_trees(grown, mean, std)
     model["train"] = np.sort(forest_score(model, x))
     return model
 
@@ -315,15 +324,17 @@ def pelt(x: np.ndarray, penalty: float, *, least: int = 40) -> list[int]:
     best[0] = -penalty
     starts = np.array([0])
     for t in range(least, n + 1):
-        ok = starts[t - starts >= least]
+        old = np.flatnonzero(t - starts >= least)
+        ok = starts[old]
         m = t - ok
         var = np.maximum((s2[t] - s2[ok]) / m - ((s1[t] - s1[ok]) / m) ** 2, 1e-10)
         cost = m * np.log(var)
         total = best[ok] + cost + penalty
         at = int(total.argmin())
         best[t], last[t] = total[at], ok[at]
-        drop = set(ok[best[ok] + cost > best[t]].tolist())
-        starts = np.array([s for s in starts.tolist() if s not in drop] + [t - least + 1])
+        keep = np.ones(len(starts), bool)
+        keep[old[best[ok] + cost > best[t]]] = False
+        starts = np.append(starts[keep], t - least + 1)
     ends, t = [], n
     while t > 0:
         ends.append(t)

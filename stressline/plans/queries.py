@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stressline.functions.columns import ANNUAL, by_symbol, rounded
 from stressline.models import estimators as E
+from stressline.operators import anomaly as AN
 from stressline.operators import events as EV
 from stressline.operators import features as FT
 from stressline.operators import filters as FL
@@ -925,31 +926,50 @@ def gpd_fit(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def hmm_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Three regimes a series. A series of fewer than 100 complete rows has one row that says so."""
+
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("date")[["return", "ln_rv20", "drawdown"]].dropna().to_numpy(float)
         if len(x) < 100:
-            return pd.DataFrame(columns=["symbol", "regime", "occupancy", "mean_ln_rv20", "expected_days", "stationary", "bic"])
+            return pd.DataFrame({"symbol": pdf["symbol"].iloc[:1], "regime": pd.array([None], "Int32"), "occupancy": np.nan, "mean_ln_rv20": np.nan, "expected_days": np.nan, "stationary": np.nan, "bic": np.nan, "note": f"{len(x)} complete rows, 100 needed"})
         m = E.fit_hmm(x, 3)
-        return pd.DataFrame({"symbol": pdf["symbol"].iloc[0], "regime": [0, 1, 2], "occupancy": m["occupancy"], "mean_ln_rv20": m["means"][:, 1], "expected_days": E.expected_durations(m["transmat"]), "stationary": E.stationary(m["transmat"]), "bic": m["bic"]})
+        return pd.DataFrame({"symbol": pdf["symbol"].iloc[0], "regime": [0, 1, 2], "occupancy": m["occupancy"], "mean_ln_rv20": m["means"][:, 1], "expected_days": E.expected_durations(m["transmat"]), "stationary": E.stationary(m["transmat"]), "bic": m["bic"], "note": None})
 
     df = _spread(FT.add_drawdowns(FT.add_volatility(FT.add_returns(panel_bars(spark, d)))).select("symbol", "date", "return", "ln_rv20", "drawdown"))
-    return rounded(df.groupBy("symbol").applyInPandas(fit, "symbol string, regime int, occupancy double, mean_ln_rv20 double, expected_days double, stationary double, bic double"), 3)
+    out = df.groupBy("symbol").applyInPandas(fit, "symbol string, regime int, occupancy double, mean_ln_rv20 double, expected_days double, stationary double, bic double, note string")
+    return rounded(out.select("symbol", "regime", *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("occupancy", "mean_ln_rv20", "expected_days", "stationary", "bic")), "note"), 3)
 
 
 @query()
 def iforest(spark: SparkSession, d: str) -> DataFrame:
+    """A forest a series, fitted to the first half of its complete rows (50 at least). Rows with a missing feature have NULLs, as have all rows of a series without a complete one."""
     cols = list(WF.WalkForwardConfig().forest_features)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date").dropna()
-        x = pdf[cols].to_numpy(float)
-        m = E.fit_forest(x[: max(50, len(x) // 2)])
-        score = E.forest_score(m, x)
-        pct, _ = E.ecdf(m["train"], score)
+        pdf = pdf.sort_values("date")
+        full = pdf[cols].notna().all(axis=1).to_numpy()
+        x = pdf.loc[full, cols].to_numpy(float)
+        score, pct = np.full(len(pdf), np.nan), np.full(len(pdf), np.nan)
+        if len(x):
+            m = E.fit_forest(x[: max(50, len(x) // 2)])
+            score[full] = E.forest_score(m, x)
+            pct[full] = E.ecdf(m["train"], score[full])[0]
         return pd.DataFrame({"symbol": pdf["symbol"], "date": pdf["date"], "score": score, "percentile": pct, "flag": pct >= 0.99})
 
     df = _spread(FT.add_drawdowns(FT.add_volatility(FT.add_returns(panel_bars(spark, d)))).select("symbol", "date", *cols))
-    return rounded(df.groupBy("symbol").applyInPandas(fit, "symbol string, date date, score double, percentile double, flag boolean"))
+    out = df.groupBy("symbol").applyInPandas(fit, "symbol string, date date, score double, percentile double, flag boolean")
+    known = ~F.isnan("score")
+    return rounded(out.select("symbol", "date", F.when(known, F.col("score")).alias("score"), F.when(known, F.col("percentile")).alias("percentile"), F.when(known, F.col("flag")).alias("flag")))
+
+
+@query()
+def panel_iforest(spark: SparkSession, d: str) -> DataFrame:
+    """One forest over all series, fitted to the first half of each one's complete rows (50 at least)."""
+    cols = list(WF.WalkForwardConfig().forest_features)
+    df = FT.add_drawdowns(FT.add_volatility(FT.add_returns(panel_bars(spark, d))))
+    full = AN.complete(cols).cast("int")
+    df = df.withColumns({"_k": F.sum(full).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum(full).over(Window.partitionBy("symbol"))})
+    return rounded(AN.panel_forest(df, cols, train=F.col("_k") <= F.greatest(F.col("_n") / 2, F.lit(50))))
 
 
 @query()

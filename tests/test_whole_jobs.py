@@ -56,11 +56,13 @@ def test_walks_and_forests_use_the_default_settings(spark, long_orders, monkeypa
 
 def test_iforest_uses_all_features_and_trees(spark, long_orders):
     df = FT.add_drawdowns(FT.add_volatility(FT.add_returns(Q.panel_bars(spark, long_orders)))).orderBy("date").toPandas()
-    rows = df[["date", *Q.WF.WalkForwardConfig().forest_features]].dropna()
-    x = rows.iloc[:, 1:].to_numpy(float)
+    cols = list(Q.WF.WalkForwardConfig().forest_features)
+    full = df[cols].notna().all(axis=1).to_numpy()
+    x = df.loc[full, cols].to_numpy(float)
     want = E.forest_score(E.fit_forest(x[: max(50, len(x) // 2)], trees=300), x)
     got = Q.QUERIES["iforest"](spark, long_orders).orderBy("date").toPandas()
-    assert len(got) == len(want) and np.allclose(got["score"], want, atol=1e-5)
+    assert len(got) == len(df) and np.allclose(got["score"][full], want, atol=1e-5)
+    assert 0 < (~full).sum() == got["score"].isna().sum() and got.loc[~full, ["percentile", "flag"]].isna().all(axis=None)
 
 
 def test_unknown_density_is_refused():
