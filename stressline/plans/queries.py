@@ -958,7 +958,7 @@ def iforest(spark: SparkSession, d: str) -> DataFrame:
 
     df = _spread(FT.add_drawdowns(FT.add_volatility(FT.add_returns(panel_bars(spark, d)))).select("symbol", "date", *cols))
     out = df.groupBy("symbol").applyInPandas(fit, "symbol string, date date, score double, percentile double, flag boolean")
-    known = ~F.isnan("score")
+    known = F.col("score").isNotNull() & ~F.isnan("score")
     return rounded(out.select("symbol", "date", F.when(known, F.col("score")).alias("score"), F.when(known, F.col("percentile")).alias("percentile"), F.when(known, F.col("flag")).alias("flag")))
 
 
