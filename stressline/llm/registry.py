@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, prefix_trie, ranked_search, url_filters
+from . import exact_dedup, jaccard_join, prefix_trie, ranked_search, url_filters, warc
 from .exact_dedup import exact_groups
 from .hilbert_shards import document_shards
 from .jaccard_join import jaccard_classes
@@ -45,7 +45,7 @@ def op3_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return capture_histories(_table(spark, sf_dir, "pages"))
+    return capture_histories(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,4 +91,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_ngram_jaccard_join": jaccard_join.ORACLE_SQL, "op9_exact_dedup": exact_dedup.ORACLE_SQL, "op11_ranked_search": ranked_search.ORACLE_SQL, "op12_conversation_prefix_trie": prefix_trie.ORACLE_SQL, "op13_url_filters": url_filters.ORACLE_SQL}
+    return {"op4_warc_index_merge": warc.ORACLE_SQL, "op6_ngram_jaccard_join": jaccard_join.ORACLE_SQL, "op9_exact_dedup": exact_dedup.ORACLE_SQL, "op11_ranked_search": ranked_search.ORACLE_SQL, "op12_conversation_prefix_trie": prefix_trie.ORACLE_SQL, "op13_url_filters": url_filters.ORACLE_SQL}
