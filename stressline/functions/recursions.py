@@ -95,11 +95,12 @@ def cusum_calibrate(state: CusumState, z: np.ndarray) -> CusumState:
 
 
 def cusum(state: CusumState, z: np.ndarray, k: float = 0.5, h: float = 5.0) -> tuple[CusumState, dict[str, np.ndarray]]:
-    """Alarms, the sums after a reset, and rows since the last alarm. Missing rows report no alarm and change nothing."""
+    """Alarms, the sums after a reset, and rows since the last alarm. Missing rows report no alarm, sums of 0 and the rows since the last alarm so far, and change nothing."""
     n = len(z)
     out = {"alarm_high": np.zeros(n, bool), "alarm_low": np.zeros(n, bool), "s_pos": np.zeros(n), "s_neg": np.zeros(n), "days_since": np.zeros(n, np.int64)}
     for i, v in enumerate(z):
         if math.isnan(v):
+            out["days_since"][i] = state.since
             continue
         x = (math.log(max(abs(v), 1e-4) ** 2) - state.mean) / state.std
         state.s_pos = max(0.0, state.s_pos + x - k)

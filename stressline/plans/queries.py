@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stressline.functions.columns import ANNUAL, by_symbol, rounded
+from stressline.models import arma as AM
 from stressline.models import estimators as E
+from stressline.models import garch as GA
 from stressline.operators import anomaly as AN
 from stressline.operators import events as EV
 from stressline.operators import features as FT
@@ -820,13 +822,62 @@ def ewma_vol(spark: SparkSession, d: str) -> DataFrame:
         + """, x as (select row_number() over (order by date) i, date, ln(power(greatest(abs(100 * ret), 1e-4), 2)) l from r where ret is not null), y as (select i, date, (l + 1.2) / 2.2 x from x),
 c as (select i, date, greatest(0, cast(x - 0.5 as double)) p0, greatest(0, cast(-x - 0.5 as double)) n0, cast(0 as bigint) since, false ah, false al_ from y where i = 1 union all
  select y.i, y.date, greatest(0, (case when c.p0 > 5 then 0 else c.p0 end) + y.x - 0.5), greatest(0, (case when c.n0 > 5 then 0 else c.n0 end) - y.x - 0.5), case when c.p0 > 5 or c.n0 > 5 then 0 else c.since + 1 end, false, false from c join y on y.i = c.i + 1)
-select 'IDX' symbol, date, p0 > 5 alarm_high, n0 > 5 alarm_low, round(case when p0 > 5 then 0 else p0 end, 6) s_pos, round(case when n0 > 5 then 0 else n0 end, 6) s_neg from c"""
+select 'IDX' symbol, date, p0 > 5 alarm_high, n0 > 5 alarm_low, round(case when p0 > 5 then 0 else p0 end, 6) s_pos, round(case when n0 > 5 then 0 else n0 end, 6) s_neg, case when p0 > 5 or n0 > 5 then 0 else since + 1 end days_since from c"""
     )
 )
 def cusum(spark: SparkSession, d: str) -> DataFrame:
     df = FT.add_returns(single_bars(spark, d)).where("return_pct is not null")
     out = FL.cusum(df, "return_pct", mean=-1.2, std=2.2)
-    return rounded(out.select("symbol", "date", "alarm_high", "alarm_low", "s_pos", "s_neg"))
+    return rounded(out.select("symbol", "date", "alarm_high", "alarm_low", "s_pos", "s_neg", "days_since"))
+
+
+@query(
+    _recursive(
+        PANEL + RET
+        + """, x as (select symbol, row_number() over (partition by symbol order by date) - 1 i, date, ln(power(greatest(abs(100 * ret), 1e-4), 2)) l, rn from r where ret is not null),
+k as (select symbol, avg(l) m, stddev_samp(l) s from x where rn < 150 group by 1), y as (select x.symbol, i, date, (l - m) / s x from x join k using (symbol)),
+c as (select symbol, i, date, greatest(0, cast(x - 0.5 as double)) p0, greatest(0, cast(-x - 0.5 as double)) n0, cast(0 as bigint) since from y where i = 0 union all
+ select y.symbol, y.i, y.date, greatest(0, (case when c.p0 > 3 then 0 else c.p0 end) + y.x - 0.5), greatest(0, (case when c.n0 > 3 then 0 else c.n0 end) - y.x - 0.5), case when c.p0 > 3 or c.n0 > 3 then 0 else c.since + 1 end from c join y on y.symbol = c.symbol and y.i = c.i + 1)
+select symbol, date, p0 > 3 alarm_high, n0 > 3 alarm_low, round(case when p0 > 3 then 0 else p0 end, 6) s_pos, round(case when n0 > 3 then 0 else n0 end, 6) s_neg, case when p0 > 3 or n0 > 3 then 0 else since + 1 end days_since from c
+union all select symbol, min(date), false, false, 0, 0, 0 from r group by symbol"""
+    )
+)
+def cusum_calibrated(spark: SparkSession, d: str) -> DataFrame:
+    """Calibrated on the first 150 rows of each series; the first row has no return and reports no alarm."""
+    return rounded(FL.cusum(FT.add_returns(panel_bars(spark, d)), "return_pct", h=3.0, train_rows=150))
+
+
+SKEWED = {"mu": 0.02, "omega": 0.02, "alpha": 0.05, "alpha_2": 0.04, "gamma": 0.06, "beta": 0.85, "nu": 7.0, "skew": -0.1, "start": 1.0}
+
+
+@query(
+    _recursive(
+        PANEL + RET
+        + """, x as (select symbol, row_number() over (partition by symbol order by date) i, 100 * ret r from r where ret is not null),
+k0 as (select exp(lgamma(4.0) - lgamma(3.5)) / sqrt(pi() * 5) c), k1 as (select c, 4 * -0.1 * c * 5 / 6 a from k0), k as (select *, sqrt(1 + 3 * 0.01 - a * a) b from k1),
+g as (select symbol, i, r - 0.02 e, cast(1.0 as double) v, cast(1.0 as double) e2 from x where i = 1 union all
+ select x.symbol, x.i, x.r - 0.02, 0.02 + (0.05 + case when g.e < 0 then 0.06 else 0 end) * g.e * g.e + 0.04 * g.e2 + 0.85 * g.v, g.e * g.e from g join x on x.symbol = g.symbol and x.i = g.i + 1)
+select symbol, count(*) n, round(sum(ln(b) + ln(c) - 4 * ln(1 + power((b * e / sqrt(v) + a) / case when e / sqrt(v) < -a / b then 1.1 else 0.9 end, 2) / 5) - 0.5 * ln(v)), 4) loglik from g, k group by 1"""
+    )
+)
+def garch_likelihood(spark: SparkSession, d: str) -> DataFrame:
+    """Of a GARCH(2,1,1) with skewed t shocks at fixed parameters."""
+    return rounded(_per_symbol(FT.add_returns(panel_bars(spark, d)), "return_pct", lambda x: [{"n": len(x), "loglik": GA.log_likelihood(x, SKEWED, SKEWED["start"], "skewt")}], "n long, loglik double"), 4)
+
+
+@query(
+    PANEL + RET
+    + """, x as (select symbol, row_number() over (partition by symbol order by date) i, 100 * ret - 0.02 y from r where ret is not null), e as (select symbol, i, case when i = 1 then y * sqrt(1 - 0.09) else y - 0.3 * lag(y) over (partition by symbol order by i) end e from x)
+select symbol, count(*) n, round(-0.5 * count(*) * (ln(2 * pi() * avg(e * e)) + 1) + 0.5 * ln(1 - 0.09), 4) loglik, round(avg(e * e), 6) sigma2, round(0.02 + 0.3 * (select y from x z where z.symbol = e.symbol order by i desc limit 1), 6) forecast from e group by 1"""
+)
+def arma_likelihood(spark: SparkSession, d: str) -> DataFrame:
+    """Exact likelihood of a first-order autoregression at fixed parameters, by the filter that all orders use."""
+
+    def at(x: np.ndarray) -> list[dict]:
+        ll, s2, ahead = AM.log_likelihood(x, np.array([0.02]), np.array([[0.3]]), np.zeros((1, 0)))
+        return [{"n": len(x), "loglik": round(float(ll[0]), 4), "sigma2": float(s2[0]), "forecast": 0.02 + float(ahead[0])}]
+
+    return rounded(_per_symbol(FT.add_returns(panel_bars(spark, d)), "return_pct", at, "n long, loglik double, sigma2 double, forecast double"))
 
 
 HMM = {"startprob": [0.6, 0.4], "transmat": [[0.95, 0.05], [0.1, 0.9]], "means": [[0.02], [-0.1]], "covars": [[[0.5]], [[2.5]]]}
