@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import argparse
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from stressline.plans import reports as RP
 from stressline.plans import walk_forward as WF
 from stressline.plans.config import EngineConfig, config_hash, load_config
 from stressline.sources import bars as B
+from stressline.sources import feature_sink as FS
 from stressline.sources import remote as RS
 
 
@@ -54,7 +56,7 @@ def run(spark: SparkSession, bars: DataFrame, out: str, reports: str, c: EngineC
         return spark.read.parquet(f"{out}/{name}")
 
     quality = keep(VA.quality_profile(bars), "quality")
-    features = keep(prepare(bars, c), "features")
+    features = FS.write_features(prepare(bars, c), f"features_{uuid.uuid4().hex}", path=f"{out}/features")  # every later window reads it
     result = WF.walk_forward(features, c.walk, keep=keep)
     tables = {"scorecard": keep(result.scorecard, "scorecard"), "early_warning": keep(result.early_warning, "early_warning"), "baselines": keep(result.baselines, "baselines")}
     diagnostics = {"Stationarity of the close": ST.stationarity(features, "close"), "Stationarity of returns": ST.stationarity(features, "return"), "Ljung-Box": ST.ljung_box(ST.autocorrelations(features, "return")), "Residuals": ST.residual_diagnostics(result.oos, "std_resid")}
