@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytehash import string_buffers
+from .bytehash import document_chunks
 from .storage import Scratch
 
 RATE = 8000
@@ -108,9 +108,8 @@ _COLUMNS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string
 def _store(unit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                data, offsets = string_buffers(part.column("text"))
+            for lo, hi, data, offsets in document_chunks(batch.column("text")):
+                part = batch.slice(lo, hi - lo)
                 media = [write_wav(pad(data[a:b].tobytes(), unit)) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
@@ -123,8 +122,8 @@ def _features(with_media: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo, hi, _, _ in document_chunks(batch.column("media")):
+                part = batch.slice(lo, hi - lo)
                 rows = []
                 for doc, size, stored in zip(part.column("doc_id").to_pylist(), part.column("n_bytes").to_pylist(), part.column("media"), strict=True):
                     media = stored.as_py()
