@@ -86,7 +86,7 @@ def string_levels(df: DataFrame, name: str, levels: int, scratch: Scratch) -> Da
 RESULT = ("hilbert", "rank", "shard", "slot")
 
 
-def shard_by_hilbert(df: DataFrame, dims: list[str], *, shards: int, tie: list[str], bits: int = 4, broadcast_values: int = 200_000, scratch: Scratch | None = None) -> DataFrame:
+def shard_by_hilbert(df: DataFrame, dims: list[str], *, shards: int, tie: list[str], bits: int = 4, broadcast_values: int = 200_000, broadcast_bytes: int = 1 << 25, scratch: Scratch | None = None) -> DataFrame:
     """All columns of df and hilbert (curve index), rank, shard and slot (gapless from 0 in its shard). Columns of df
     with one of these names are renamed: ``_`` is put after them."""
     if not dims or bits * len(dims) > 12:
@@ -113,7 +113,8 @@ def shard_by_hilbert(df: DataFrame, dims: list[str], *, shards: int, tie: list[s
             values = scratch.save(string_levels(df, d, 1 << bits, scratch), f"levels{i}")
             name = f"{level_}{i}"
             side = values.select(F.col("value").alias(f"{name}v"), F.col("level").alias(name))
-            side = F.broadcast(side) if values.count() <= broadcast_values else side.hint("merge")
+            held, size = values.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("value")), F.lit(0))).first()
+            side = F.broadcast(side) if held <= broadcast_values and size <= broadcast_bytes else side.hint("merge")
             keyed = keyed.join(side, F.col(d).cast("string") == F.col(f"{name}v"), "left").drop(f"{name}v")
             level = F.coalesce(F.col(name), F.lit(0))
         cell = cell * (1 << bits) + level
