@@ -372,7 +372,7 @@ def remove_repeats(
         .union(mixed.join(found.hint("merge"), ["core", "phrase"]).select("t1", "t2", lo.alias("lo"), F.explode("found").alias("x")).select("t1", "t2", (F.col("lo") + F.col("x.s")), (F.col("lo") + F.col("x.e"))))
         .union(docs.groupBy("t1", "t2").count().where("count > 1").select("t1", "t2", F.lit(0).cast("long"), F.lit(_WHOLE).cast("long")))
     )
-    spans = spans.groupBy("t1", "t2").agg(F.collect_list(F.struct("s", "e")).alias("spans"))  # a few for each run of one text
+    spans = spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("s", "e")).alias("spans"))  # a few for each run of one text: every task that met a copy brings the same ones
     spans = scratch.save(spans, "spans")
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start: long, end: long>>, kept binary"
     out = docs.join(spans.hint("merge"), ["t1", "t2"], "left").select("doc_id", "text", "spans").mapInArrow(_apply(length, with_bytes), kind)
