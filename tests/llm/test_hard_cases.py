@@ -196,3 +196,18 @@ def test_captures_beyond_a_thousand_million(spark):
     pages = spark.createDataFrame([(i, "http://a/", f"text {i}") for i in ids], "page_id long, url string, html string").repartition(3)
     got = sorted(W.capture_histories(pages).collect(), key=lambda x: (x["merge_part"], x["merge_place"]))
     assert [x["page_id"] for x in got] == ids
+
+
+def test_very_long_texts_pass_the_filtering_stages(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8)))
+    prose = lambda n: ". ".join(" ".join(word() for _ in range(9)).capitalize() for _ in range(n // 9)) + "."
+    long = prose(60_000)
+    shouted = " ".join(word().upper() + "!!" for _ in range(40_000))
+    near = long.rsplit(" ", 40)[0] + " " + " ".join(word() for _ in range(40))
+    rows = [(i, prose(120)) for i in range(40)] + [(100, long), (101, long.replace(" ", "  ")), (102, near), (103, shouted), (104, prose(50_000))]
+    docs = _docs(spark, rows)
+    good = {x["doc_id"] for x in C.quality(spark, docs, "").select("doc_id").collect()}
+    assert good == {i for i, _ in rows} - {103}
+    assert {x["doc_id"] for x in C.exact(spark, docs, "").select("doc_id").collect()} == {i for i, _ in rows} - {100}
+    assert {x["doc_id"] for x in C.near(spark, docs.where("doc_id <> 101"), "").select("doc_id").collect()} == {i for i, _ in rows} - {101, 102}
