@@ -163,6 +163,7 @@ def kpss(x: np.ndarray, trend: str = "c") -> dict:
 
 def stationarity_verdict(adf_p: Column, kpss_p: Column, level: float = 0.05) -> Column:
     a, k = adf_p < level, kpss_p < level
+    # The verdicts' names.
     return (
         F.when(a & ~k, "Stationary").when(~a & k, "Unit Root").when(a & k, "Inconclusive (Both Reject)").otherwise("Inconclusive (Neither Rejects)")
     )

@@ -298,6 +298,7 @@ def frozen_filter(panel: DataFrame, refits: DataFrame, c: WalkForwardConfig) ->
     return done.select(*(F.when(~F.isnan(n), F.col(n)).alias(n) if t == "double" else F.col(n) for n, t in done.dtypes))
 
 
+#: Names of the models.
 VAR_MODELS = {"Historical Simulation": "hs", "Conditional Normal": "norm", "Conditional Student-t": "t", "GARCH-EVT (POT)": "evt"}
 FITTED = ("c_hmm", "c_vol", "c_drawdown", "c_anomaly")
 
