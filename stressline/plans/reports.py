@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from stressline.functions.columns import ratio
@@ -13,14 +13,52 @@ from stressline.functions.columns import ratio
 
 def markdown_table(df: DataFrame, most: int = 1000) -> str:
     """A small DataFrame as a Markdown table; larger ones are refused rather than cut."""
+    return _table(df.columns, _few(df, most))
+
+
+def _few(df: DataFrame, most: int) -> list[Row]:
     rows = df.limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} rows do not make a report table")
+    return rows
+
+
+def _table(columns: Sequence[str], rows: list[Row]) -> str:
     text = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
-    lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
+    lines = ["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns)]
     return "\n".join([*lines, *("| " + " | ".join(text(v).replace("|", "\\|") for v in r) + " |" for r in rows)])
 
 
+def with_notes(df: DataFrame, note: Callable[[Row], str | None], most: int = 1000) -> str:
+    """A table and below it what its rows say, a line each."""
+    rows = _few(df, most)
+    notes = [f"- {x}" for r in rows if (x := note(r))]
+    return "\n\n".join([_table(df.columns, rows), *(["\n".join(notes)] if notes else [])])
+
+
+def stationarity_note(r: Row) -> str | None:
+    said = {
+        (True, False): "the unit root is rejected and stationarity is not: the series reverts to its level",
+        (False, True): "stationarity is rejected and the unit root is not: the series wanders, so work with its differences",
+        (True, True): "both are rejected, as breaks in level or heavy tails can bring about",
+        (False, False): "neither is rejected: the series is too short or too noisy to tell",
+    }
+    return None if r["adf_p"] is None or r["kpss_p"] is None else f"{r['symbol']} ({r['trend']}): {said[r['adf_p'] < 0.05, r['kpss_p'] < 0.05]}."
+
+
+def ljung_box_note(r: Row) -> str | None:
+    if r["p_value"] is None:
+        return None
+    return f"{r['symbol']}, {r['lag']} lags: " + ("values depend on earlier ones at the 5 % level." if r["p_value"] < 0.05 else "no dependence shows at the 5 % level.")
+
+
+def arch_note(r: Row) -> str | None:
+    if r["lm_p"] is None:
+        return None
+    left = "variance still clusters in the residuals, so the volatility model is too small." if r["lm_p"] < 0.05 else "no clustering of variance is left in the residuals."
+    return f"{r['symbol']}: {left}"
+
+
 def write_report(path: str, title: str, sections: dict[str, DataFrame | str]) -> None:
     parts = [f"# {title}"]
     for name, body in sections.items():

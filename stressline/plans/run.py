@@ -59,7 +59,10 @@ def run(spark: SparkSession, bars: DataFrame, out: str, reports: str, c: EngineC
     features = FS.write_features(prepare(bars, c), f"features_{uuid.uuid4().hex}", path=f"{out}/features")  # every later window reads it
     result = WF.walk_forward(features, c.walk, keep=keep)
     tables = {"scorecard": keep(result.scorecard, "scorecard"), "early_warning": keep(result.early_warning, "early_warning"), "baselines": keep(result.baselines, "baselines")}
-    diagnostics = {"Stationarity of the close": ST.stationarity(features, "close"), "Stationarity of returns": ST.stationarity(features, "return"), "Ljung-Box": ST.ljung_box(ST.autocorrelations(features, "return")), "Residuals": ST.residual_diagnostics(result.oos, "std_resid")}
+    diagnostics = {
+        "Stationarity of the close": RP.with_notes(ST.stationarity(features, "close"), RP.stationarity_note), "Stationarity of returns": RP.with_notes(ST.stationarity(features, "return"), RP.stationarity_note),
+        "Ljung-Box": RP.with_notes(ST.ljung_box(ST.autocorrelations(features, "return")), RP.ljung_box_note), "Residuals": RP.with_notes(ST.residual_diagnostics(result.oos, "std_resid"), RP.arch_note),
+    }
     RP.write_report(f"{reports}/data_quality.md", "Data quality", {"Profile": quality, "Violations": VA.ohlc_violations(bars), "Large moves": VA.large_moves(bars)})
     RP.write_report(f"{reports}/diagnostics.md", "Diagnostics", diagnostics)
     RP.write_report(f"{reports}/results.md", "Results", {"Bands": ST.value_shares(result.oos, "stress_band"), "Tail risk": tables["scorecard"], "Early warning": tables["early_warning"], "Baselines": tables["baselines"]})
