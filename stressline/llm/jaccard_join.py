@@ -8,11 +8,12 @@
    Jaccard >= t share a shingle of these prefixes. The order is a heuristic
    (the ``order_terms`` shingles with the highest counts; any other is held by at most that part of
    all shingles); every order gives all pairs.
-3. Shingles held by the same classes collapse into one candidate group; the classes of a
+3. The classes that hold a shingle are a candidate group, named by the least hash of its members;
+   groups of one name are merged, which two groups are with odds equal to the Jaccard index of their members. The classes of a
    common shingle are counted in slices, so none meets in one task. In a
    group a signature tree (OR-combined bitmaps, size ranges) is traversed
    against itself; node pairs whose largest possible overlap is too small are
-   pruned. What is left falls apart into candidate components.
+   pruned. What is left falls apart into candidate components, named and merged in the same way.
 4. Only members of those get their sets computed (from the text, once per class) and
    are verified by the shingles they share, pair by pair of the tree's leaves, skipping pairs that
    are connected already. A spanning forest of links leaves each task.
@@ -252,17 +253,16 @@ def _postings(k: int, percent: int, terms, slices: int):
     return run
 
 
-_GROUP = ["g", "m", "ti", "tj"]
+_GROUP = ["g", "ti", "tj"]
 
 
-def _group_key(members: np.ndarray) -> tuple[int, int]:
-    with np.errstate(over="ignore"):
-        return int(mix(members.view(np.uint64)).sum(dtype=np.uint64).view(np.int64)), len(members)
+def _group_key(members: np.ndarray) -> int:
+    return int(mix(members.view(np.uint64)).view(np.int64).min())
 
 
 def _candidates(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+        out: list[tuple[int, np.ndarray, np.ndarray]] = []
         held = 0
         for t in stream_groups(batches, _GROUP):
             c1, c2 = t["c1"].to_numpy(), t["c2"].to_numpy()
@@ -272,7 +272,7 @@ def _candidates(percent: int):
             at = np.argsort(label, kind="stable")
             for part in np.split(at, np.flatnonzero(np.diff(label[at])) + 1):
                 if len(part) > 1:
-                    out.append((*_group_key(c2[part]), c1[part], c2[part]))
+                    out.append((_group_key(c1[part]), c1[part], c2[part]))
                     held += len(part)
             if held > 1 << 16:
                 yield _members(out)
@@ -283,12 +283,9 @@ def _candidates(percent: int):
     return run
 
 
-def _members(out: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    size = [x[1] for x in out]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.repeat([x[i] for x in out], size)) for i in (0, 1)] + [pa.array(np.concatenate([x[i] for x in out])) for i in (2, 3)],
-        names=["g", "m", "c1", "c2"],
-    )
+def _members(out: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    names = np.repeat([x[0] for x in out], [len(x[1]) for x in out])
+    return pa.RecordBatch.from_arrays([pa.array(names), *(pa.array(np.concatenate([x[i] for x in out])) for i in (1, 2))], names=["g", "c1", "c2"])
 
 
 def _sets(k: int):
@@ -334,11 +331,13 @@ def _links(percent: int):
     return run
 
 
-def _tiled(members: DataFrame, parts: F.Column) -> DataFrame:
-    """One row for each pair of tiles that a member takes part in."""
+def _tiled(members: DataFrame, cut: DataFrame) -> DataFrame:
+    """One row for each pair of tiles that a member takes part in; cut has g and q, the number of tiles, of groups that are
+    cut. They are few: each has more than tile_rows members or tile_shingles shingles."""
     t = F.pmod(F.xxhash64("c1", F.lit(17)), F.col("q"))
     return (
-        members.withColumn("q", parts)
+        members.join(F.broadcast(cut), "g", "left")
+        .withColumn("q", F.coalesce("q", F.lit(1).cast("long")))
         .withColumn("t", t)
         .withColumn("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q") - 1)))
         .withColumn("ti", F.least("t", "u"))
@@ -350,14 +349,6 @@ def _tiled(members: DataFrame, parts: F.Column) -> DataFrame:
 _KEY = ["c1", "c2"]
 
 
-def _without_subsets(part: DataFrame) -> DataFrame:
-    """Groups whose members all share one larger group are joined there already."""
-    largest = part.groupBy(*_KEY).agg(F.max(F.struct("m", "g")).alias("top"))
-    spread = part.join(largest, _KEY).groupBy("g", "m").agg(F.min("top").alias("lo"), F.max("top").alias("hi"))
-    keep = spread.where((F.col("lo") != F.col("hi")) | (F.col("lo.g") == F.col("g"))).select("g", "m")
-    return part.join(keep, ["g", "m"]).select("g", "m", *_KEY)
-
-
 def _digest(text: str) -> Column:
     return F.xxhash64(F.col(text).cast("string"))
 
@@ -398,24 +389,24 @@ def jaccard_classes(
     w = Window.partitionBy("term", "part")  # one shingle that is not common, or a slice of a common one
     spread = (
         held.withColumn("m", F.count("*").over(w))
-        .withColumn("g1", F.sum(F.xxhash64("c1").bitwiseAND(F.lit((1 << 40) - 1))).over(w))
-        .withColumn("g2", F.sum(F.xxhash64("c1", F.lit(5)).bitwiseAND(F.lit((1 << 40) - 1))).over(w))
+        .withColumn("g", F.min(F.xxhash64("c1")).over(w))
         .where("m > 1 or part > 0")
     )
     spread = scratch.save(spread, "spread")
-    slices_of = spread.where("part > 0").groupBy("term", "part").agg(*(F.first(c).alias(c) for c in ("m", "g1", "g2")))
-    whole = scratch.save(slices_of.groupBy("term").agg(*(F.sum(c).alias(c) for c in ("m", "g1", "g2"))).where("m > 1"), "whole")
-    spread = spread.where("part = 0").union(spread.where("part > 0").drop("m", "g1", "g2").join(F.broadcast(whole), "term").select(*spread.columns))  # at most order_terms rows
-    member = spread.select(F.xxhash64("g1", "g2").alias("g"), "m", "c1").dropDuplicates()
-    member = scratch.save(member, "member")
+    slices_of = spread.where("part > 0").groupBy("term", "part").agg(F.first("m").alias("m"), F.first("g").alias("g"))
+    whole = scratch.save(slices_of.groupBy("term").agg(F.sum("m").alias("m"), F.min("g").alias("g")).where("m > 1"), "whole")
+    sliced = spread.where("part > 0").select("term", "c1").join(F.broadcast(whole), "term")  # at most order_terms rows
+    member = scratch.save(spread.where("part = 0").select("g", "c1").union(sliced.select("g", "c1")).dropDuplicates(), "member")
+    scratch.drop(spread, whole)
+    cut = scratch.save(member.groupBy("g").agg(F.ceil(F.count("*") / tile_rows).cast("long").alias("q")).where("q > 1"), "cut")
 
     wanted = member.select("c1").distinct()
     # By c1 alone: two classes that share it are both looked at.
     sig = scan.where("term is null and n > 0").select(*_KEY, "n", "bits").join(wanted, "c1", "left_semi").dropDuplicates(_KEY)
-    grouped = _tiled(member, F.ceil(F.col("m") / tile_rows).cast("long")).join(sig, "c1").select(*_GROUP, *_KEY, "n", "bits")
+    grouped = _tiled(member, cut).join(sig, "c1").select(*_GROUP, *_KEY, "n", "bits")
     grouped = grouped.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
-    part = scratch.save(grouped.mapInArrow(_candidates(percent), "g long, m long, c1 long, c2 long").dropDuplicates(), "part")
-    part = scratch.save(_without_subsets(part), "largest")
+    part = scratch.save(grouped.mapInArrow(_candidates(percent), "g long, c1 long, c2 long").dropDuplicates(), "part")
+    scratch.drop(member, cut)
     # A class is fetched by the key of one of its rows (id and text), so that null and repeated ids lose nothing.
     row_key = F.xxhash64("digest", "doc_id")
     held_by = rows.select(*_KEY, "n", row_key.alias("row_key")).join(part.select(*_KEY).distinct(), _KEY, "left_semi").groupBy(*_KEY, "row_key").agg(F.max("n").alias("n"), F.count("*").alias("same"))
@@ -426,11 +417,12 @@ def jaccard_classes(
     sets = docs.withColumn("row_key", row_key).join(chosen, "row_key", "left_semi").select("text").mapInArrow(_sets(k), "c1 long, c2 long, shingles binary, others binary")
     if members_n.where("same > 1").limit(1).count():  # whole rows are repeated
         sets = sets.dropDuplicates(_KEY)
-    heavy = part.join(members_n.select(*_KEY, "n"), _KEY).groupBy("g", "m").agg(F.sum("n").alias("load"))
-    tiled = _tiled(part.join(heavy, ["g", "m"]), F.greatest(F.ceil(F.col("m") / tile_rows), F.ceil(F.col("load") / tile_shingles)).cast("long"))
+    tiles = F.greatest(F.ceil(F.count("*") / tile_rows), F.ceil(F.sum("n") / tile_shingles)).cast("long")
+    heavy = scratch.save(part.join(members_n.select(*_KEY, "n"), _KEY).groupBy("g").agg(tiles.alias("q")).where("q > 1"), "heavy")
+    tiled = _tiled(part, heavy)
     tiled = tiled.join(sets, _KEY).select(*_GROUP, *_KEY, "shingles", "others").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
     links = scratch.save(tiled.mapInArrow(_links(percent), _LINKS).dropDuplicates(), "links")
-    scratch.drop(member, part, members_n, whole)
+    scratch.drop(part, members_n, heavy)
 
     label = components(links, scratch).select("node.c1", "node.c2", "label")
     classes = rows.where("n > 0").groupBy(*_KEY).agg(F.min("doc_id").alias("least"))

@@ -62,3 +62,28 @@ def test_tree_loses_no_pair():
                 assert label[i] == label[j]
                 return
     raise AssertionError("the fixture holds no pair")
+
+
+def test_groups_of_near_copies_are_merged(spark, monkeypatch):
+    """Near copies share shingles in many different subsets; their signatures and sets are sent about once, not once for each subset."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for _ in range(20):
+        base = [word() for _ in range(150)]
+        for _ in range(12):
+            copy = list(base)
+            for _ in range(3):
+                copy[r.randrange(len(copy))] = word()
+            rows.append((len(rows), " ".join(copy)))
+    saved, save = {}, J.Scratch.save
+
+    def counted(self, df, label):
+        out = save(self, df, label)
+        saved[label] = out.count()
+        return out
+
+    monkeypatch.setattr(J.Scratch, "save", counted)
+    got = J.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted(jaccard_components(rows))
+    assert saved["member"] < 4 * len(rows) and saved["part"] < 2 * len(rows)
