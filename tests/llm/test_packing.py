@@ -79,3 +79,20 @@ def test_round_trip(spark, size):
 
 def test_empty_table(spark):
     assert P.pack_documents(spark.createDataFrame([], "doc_id long, text string"), tokenizer=PATH).count() == 0
+
+
+def test_closing_marks_make_no_new_words():
+    ref, tok, r = Tokenizer.from_file(PATH), P.WordTokenizer(PATH), random.Random(4)
+    words = list({"".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(200)})
+    marks = [",", ".", "!", "...", "###", ";)", '"', "%"]
+    texts = ["\n".join(w + m for w in words) for m in marks]
+    assert [np.frombuffer(raw, "<u2").tolist() for raw in tok.encode(texts)] == [e.ids for e in ref.encode_batch(texts, add_special_tokens=False)]
+    assert len(tok.cache) <= len(words) + len(marks)
+
+
+def test_texts_of_a_chunk_do_not_touch():
+    """Marks of one text and letters of the next, special tokens between and over texts, long runs of marks."""
+    ref, tok = Tokenizer.from_file(PATH), P.WordTokenizer(PATH)
+    texts = ["ab", "...", None, "c", "", "x<", "|y", "d <|endoftext|> e.", "f", "<|", " \n ", "g" + "!" * 40 + " h", "i" + "-" * 16, "j" + "-" * 17, "!" * 50, "'s", "k", "'s", "é", ".,", "́", "<|startoftext|>"]
+    for lot in (texts, texts[::-1], texts[:1], texts[2:3], ["<|"], []):
+        assert [np.frombuffer(raw, "<u2").tolist() for raw in tok.encode(lot)] == [ref.encode(t or "", add_special_tokens=False).ids for t in lot]
