@@ -8,7 +8,7 @@ gives a record on either side. Only the last window can be short, so the padding
 less than one window in all.
 
 Null and empty texts are a single end id; repeated rows are packed once each, and as ids go by place in the stream, ties cannot matter.
-A very long text is tokenised whole and cut into many pieces. An empty table gives no rows. Other columns, whatever their names, are not read.
+A very long text is tokenised whole, in runs that end at blanks, and cut into many pieces. An empty table gives no rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytehash import LOWER, document_chunks, word_spans
+from .bytehash import LOWER, document_chunks, string_buffers, word_spans
 from .storage import Scratch
 
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -66,17 +66,33 @@ def _values(column: pa.Array) -> list[bytes]:
     return [raw[lo:hi] for lo, hi in zip(cuts, cuts[1:], strict=False)]
 
 
+def _runs(data: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of one text that end after a blank: up to most bytes, or up to the first blank after that."""
+    lo = 0
+    while lo < len(data):
+        hi = min(lo + most, len(data))
+        if hi < len(data):
+            blanks = np.flatnonzero(_BLANK[data[lo:hi]])
+            while not len(blanks) and hi < len(data):
+                start, hi = hi, min(hi + most, len(data))
+                blanks = np.flatnonzero(_BLANK[data[start:hi]])[:1] + start - lo
+            hi = lo + int(blanks[-1]) + 1 if len(blanks) else hi
+        yield lo, hi
+        lo = hi
+
+
 class WordTokenizer:
     """Ids of whole texts for a tokenizer that never joins words across white space.
 
     Words and the marks that close them are encoded by the tokenizer the first time they come up and taken from a
     cache of at most ``most`` bytes after that; new words are encoded in lots of ``lot`` joined by blanks. In a chunk of texts each distinct word is looked up once,
     and the ids of all words are gathered at once. ASCII upper case is folded before, as the vocabulary is lower case; texts with the strings of special tokens go to the tokenizer whole. A word is taken apart before its closing marks only where the
-    tokenizer itself, after its own normalisation, cuts there."""
+    tokenizer itself, after its own normalisation, cuts there. What the tokenizer returns takes some hundred bytes an id, so it is handed
+    ``new_bytes`` at once, and a long text goes through in runs of ``run_bytes``."""
 
     ENTRY = 180  # bytes of the objects of a cached word beside its own
 
-    def __init__(self, path: str, most: int = 240_000_000, lot: int = 512):
+    def __init__(self, path: str, most: int = 240_000_000, lot: int = 512, new_bytes: int = 1 << 17, run_bytes: int = 1 << 21):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -88,10 +104,16 @@ class WordTokenizer:
             self.final[i] = token.endswith("</w>")
         self.cache: dict[bytes, bytes] = {}
         self.apart: dict[str, bool] = {}
-        self.held, self.most, self.lot = 0, most, lot
+        self.held, self.most, self.lot, self.new_bytes, self.run_bytes = 0, most, lot, new_bytes, run_bytes
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, words: list[bytes]) -> Iterator[list[int]]:
+        """Ids of each, by groups of new_bytes or one longer."""
+        ends, lo = np.cumsum([len(w) for w in words]), 0
+        while lo < len(words):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + self.new_bytes, "right")))
+            for e in self.tokenizer.encode_batch_fast([w.decode() for w in words[lo:hi]], add_special_tokens=False):
+                yield e.ids
+            lo = hi
 
     def _bytes(self, ids: list[int]) -> bytes:
         return array(self.kind, ids).tobytes()
@@ -126,7 +148,7 @@ class WordTokenizer:
             (plain if w.isalpha() or (not w.isascii() and w.decode().isalpha()) else other).append(w)
         lots = [plain[i : i + self.lot] for i in range(0, len(plain), self.lot)]
         step = array(self.kind).itemsize
-        for lot, e in zip(lots, self._ids([b" ".join(lot).decode() for lot in lots]), strict=True):
+        for lot, e in zip(lots, self._ids([b" ".join(lot) for lot in lots]), strict=True):
             ids = np.array(e, np.int64)
             ends = np.flatnonzero(self.final[ids]) + 1 if len(ids) else ids
             if len(ends) != len(lot) or ends[-1] != len(ids):  # a word of several parts, or none
@@ -134,11 +156,17 @@ class WordTokenizer:
                 continue
             raw, cuts = ids.astype(self.kind).tobytes(), (ends * step).tolist()
             self._keep(lot, [raw[lo:hi] for lo, hi in zip([0, *cuts], cuts, strict=False)])
-        self._keep(other, [self._bytes(e) for e in self._ids([w.decode() for w in other])])
+        self._keep(other, [self._bytes(e) for e in self._ids(other)])
         self._keep(list(parts), [self.cache[w[:n]] + self.cache[w[n:]] for w, n in parts.items()])
 
     def encode_chunk(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and how many each has; text i is data[offsets[i] : offsets[i + 1]], UTF-8."""
+        if len(offsets) != 2 or len(data) <= self.run_bytes:
+            return self._encode_run(data, offsets)
+        flats = [self._encode_run(data[lo:hi], np.array([0, hi - lo]))[0] for lo, hi in _runs(data, self.run_bytes)]
+        return np.concatenate(flats), np.array([sum(map(len, flats))])
+
+    def _encode_run(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self.held > self.most:
             self.cache.clear()
             self.held = 0
@@ -215,28 +243,32 @@ def _tokenise(path: str, end_id: int, bytes_at_once: int = 1 << 21):
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 
 
-def _cut(size: int, with_ids: bool):
+def _cut(size: int, with_ids: bool, ids_at_once: int = 1 << 20):
+    def pieces(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at, n = batch.column("at").to_numpy(), batch.column("doc_tokens").to_numpy()
+        count = (at + n - 1) // size - at // size + 1
+        own = np.repeat(np.arange(len(n)), count)
+        seq = (at // size)[own] + np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+        lo = np.maximum(at[own], seq * size)
+        hi = np.minimum((at + n)[own], (seq + 1) * size)
+        start, length = lo - at[own], hi - lo
+        width = batch.column("width")[0].as_py()  # of one tokenizer, so of all rows
+        ids = string_buffers(batch.column("ids"))[0].view("<u2" if width == 2 else "<u4").astype("<u4")
+        cuts = np.concatenate([[0], np.cumsum(length)])  # the pieces follow one another as the ids do
+        crc = [zlib.crc32(ids[a:b]) for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
+        lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids.view(np.int32))) if with_ids else pa.nulls(len(own), pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id").take(pa.array(own)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(n[own]), pa.array(seq), pa.array(lo - seq * size), lists],
+            names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, n = batch.column("at").to_numpy(), batch.column("doc_tokens").to_numpy()
-            count = (at + n - 1) // size - at // size + 1
-            own = np.repeat(np.arange(len(n)), count)
-            seq = (at // size)[own] + np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
-            lo = np.maximum(at[own], seq * size)
-            hi = np.minimum((at + n)[own], (seq + 1) * size)
-            start, length = lo - at[own], hi - lo
-            width, raw = batch.column("width").to_pylist(), batch.column("ids").to_pylist()
-            crc, ids, last, doc = np.empty(len(own), np.int64), [], -1, None
-            for k, (i, s, m) in enumerate(zip(own.tolist(), start.tolist(), length.tolist(), strict=True)):
-                if i != last:
-                    doc, last = np.frombuffer(raw[i], "<u2" if width[i] == 2 else "<u4").astype("<u4"), i
-                crc[k] = zlib.crc32(doc[s : s + m])
-                if with_ids:
-                    ids.append(doc[s : s + m].astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(own)), pa.array(start), pa.array(length), pa.array(crc), pa.array(n[own]), pa.array(seq), pa.array(lo - seq * size), pa.array(ids, pa.list_(pa.int32())) if with_ids else pa.nulls(len(own), pa.list_(pa.int32()))],
-                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"],
-            )
+            ends, lo = np.cumsum(batch.column("doc_tokens").to_numpy()), 0
+            while lo < len(ends):  # whole documents of up to ids_at_once, or one longer document
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + ids_at_once, "right")))
+                yield pieces(batch.slice(lo, hi - lo))
+                lo = hi
 
     return run
 

@@ -96,3 +96,64 @@ def test_texts_of_a_chunk_do_not_touch():
     texts = ["ab", "...", None, "c", "", "x<", "|y", "d <|endoftext|> e.", "f", "<|", " \n ", "g" + "!" * 40 + " h", "i" + "-" * 16, "j" + "-" * 17, "!" * 50, "'s", "k", "'s", "é", ".,", "́", "<|startoftext|>"]
     for lot in (texts, texts[::-1], texts[:1], texts[2:3], ["<|"], []):
         assert [np.frombuffer(raw, "<u2").tolist() for raw in tok.encode(lot)] == [ref.encode(t or "", add_special_tokens=False).ids for t in lot]
+
+
+def test_the_tokenizer_gets_few_new_words_at_once():
+    """What it returns takes some hundred bytes an id, for texts of words that never came up before."""
+    ref, tok, r, given = Tokenizer.from_file(PATH), P.WordTokenizer(PATH), random.Random(6), []
+
+    class Noted:
+        def __getattr__(self, name):
+            return getattr(ref, name)
+
+        def encode_batch_fast(self, texts, **options):
+            given.append(sum(len(t.encode()) for t in texts))
+            return ref.encode_batch_fast(texts, **options)
+
+    tok.tokenizer = Noted()
+    texts = [" ".join("".join(r.choice(signs) for _ in range(7)) for _ in range(40_000)) for signs in ("abcdefghij", "abcde01234-/", "a" + "日本語年月火水木金土")]
+    assert [np.frombuffer(raw, "<u2").tolist() for raw in tok.encode(texts)] == [e.ids for e in ref.encode_batch(texts, add_special_tokens=False)]
+    assert max(given) <= 200_000 < sum(given)
+
+
+def test_a_long_text_goes_through_in_runs(monkeypatch):
+    ref, tok, seen, spans = Tokenizer.from_file(PATH), P.WordTokenizer(PATH), [], P.word_spans
+
+    def noted(data, *rest):
+        seen.append(len(data))
+        return spans(data, *rest)
+
+    monkeypatch.setattr(P, "word_spans", noted)
+    text = "Untold rats, <|endoftext|> it's.\n" * 70_000 + "x" * 3_000_000 + " the end"
+    got = np.frombuffer(tok.encode([text])[0], "<u2")
+    parts = [ref.encode(t, add_special_tokens=False).ids for t in ("Untold rats, <|endoftext|> it's.\n", "x" * 3_000_000 + " the end")]
+    assert got.tolist() == parts[0] * 70_000 + parts[1]
+    assert max(seen) <= 3_000_000 + (1 << 21) < len(text)
+
+
+def test_runs_end_at_blanks_only():
+    ref, tok = Tokenizer.from_file(PATH), P.WordTokenizer(PATH, run_bytes=9)
+    for t in _texts(7):
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        runs = list(P._runs(data, 9))
+        assert [i for lo, hi in runs for i in range(lo, hi)] == list(range(len(data)))
+        assert all(data[hi - 1] in (10, 32) for _, hi in runs[:-1])
+        assert np.frombuffer(tok.encode([t])[0], "<u2").tolist() == ref.encode(t or "", add_special_tokens=False).ids
+
+
+def test_pieces_of_long_documents_come_in_bounded_batches():
+    import pyarrow as pa
+
+    r = np.random.default_rng(8)
+    n = np.array([*[300_000] * 12, 1, 3_000_000, *[1] * 50])
+    ids = [r.integers(0, 1 << 16, m).astype("<u2") for m in n]
+    at = 777 + np.cumsum(n) - n
+    whole = {"doc_id": pa.array(range(len(n))), "doc_tokens": pa.array(n), "width": pa.array(np.full(len(n), 2, np.int32)), "ids": pa.array([x.tobytes() for x in ids], pa.binary()), "at": pa.array(at)}
+    out = list(P._cut(2048, True)(iter([pa.RecordBatch.from_pydict(whole).slice(0, 5), pa.RecordBatch.from_pydict(whole).slice(5)])))
+    assert all(sum(b.column("length").to_pylist()) <= 1 << 20 or len(set(b.column("doc_id").to_pylist())) == 1 for b in out)
+    rows = [x for b in out for x in b.to_pylist()]
+    for d, (want, first) in enumerate(zip(ids, at.tolist(), strict=True)):
+        mine = [x for x in rows if x["doc_id"] == d]
+        assert [v for x in mine for v in x["ids"]] == want.tolist()
+        assert all(x["sequence_id"] * 2048 + x["offset"] == first + x["start"] and x["offset"] + x["length"] <= 2048 and x["doc_tokens"] == len(want) for x in mine)
+        assert all(x["ids_crc32"] == zlib.crc32(want[x["start"] : x["start"] + x["length"]].astype("<u4").tobytes()) for x in mine)
